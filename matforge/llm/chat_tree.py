@@ -7,9 +7,9 @@ its text, its first position id (the length of its ancestors) and the segment in
 ancestors, which are all it may attend to besides itself. A tree that crosses a segment's end repeats
 the open path at the start of the next, so every segment can be trained on alone.
 
-A turn reads ``[TURN role]body[/TURN]``. In roles and texts each ``\\`` becomes ``\\\\`` and each
-bracket ``[`` or ``]`` gets a ``\\`` in front, and so does the ``<`` of ``<s>`` and ``</s>``: no control string of this or the
-usual template survives in a body, and dropping one ``\\`` before each escaped character gives the text back.
+A turn reads ``[TURN role]body[/TURN]``. In roles and texts each of ``\\ [ ] < >`` gets a ``\\`` in front, so
+no control string of this or another usual template survives in a body, and dropping one ``\\`` before
+each escaped character gives the text back.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ SEGMENT_CHARS = 1 << 18
 #: Conversations in a segment at most, counted so that many copies of one conversation cannot swell it.
 SEGMENT_CONVERSATIONS = 2048
 LOSS_ROLE = "assistant"
-ESCAPED = re.compile(r"[\\\[\]]|<(?=/?s>)")
+ESCAPED = re.compile(r"[\\\[\]<>]")
 UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 TURN = re.compile(r"\[TURN ((?:[^\\\[\]]|\\.)*)\]((?:[^\\\[\]]|\\.)*)\[/TURN\]", re.DOTALL)
 SEGMENT_SCHEMA = (

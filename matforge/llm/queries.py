@@ -85,7 +85,7 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-_ESC = "regexp_replace(regexp_replace({0}, '([\\\\\\[\\]])', '\\\\\\1', 'g'), '<(/?s>)', '\\\\<\\1', 'g')"
+_ESC = "regexp_replace({0}, '([\\\\\\[\\]<>])', '\\\\\\1', 'g')"
 OP3_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

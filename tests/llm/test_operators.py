@@ -270,32 +270,41 @@ def test_components_of_a_long_chain(spark, monkeypatch):
 # --- language model
 
 
-def slow_ppm(text, counts, classes, other):
+def slow_ppm(text, counts, classes, other, words, n):
     """Score from nested context counts by definition."""
     raw, _ = ppm.stream([text])
     sym = [ppm.END] * ppm.ORDER + (ppm.symbols([text], classes)[0] % ppm.CLASSES).tolist()
-    total, inside = 0.0, classes == ppm.OTHER
+    inside, words = classes == ppm.OTHER, dict(words)
+    words = defaultdict(int, words)
+    size = len(words)
+    tokens_, spelt, total = iter([*text.split(), None]), 0.0, 0.0
     for at in range(ppm.ORDER, len(sym)):
         excluded, chance = set(), 1.0
         for k in range(ppm.ORDER, -1, -1):
             node = {s: c for s, c in counts[tuple(sym[at - k : at])].items() if s not in excluded}
             below = ppm.CLASSES - len(excluded) - len(node)
-            n, d = sum(node.values()), len(node)
+            m, d = sum(node.values()), len(node)
             if sym[at] in node:
-                chance *= node[sym[at]] / (n + (d if below else 0))
+                chance *= (node[sym[at]] - (0.5 if below else 0)) / m
                 break
             if d:
-                chance *= d / (n + d)
+                chance *= 0.5 * d / m
                 excluded |= node.keys()
         else:
             chance /= ppm.CLASSES - len(excluded)
         if sym[at] == ppm.OTHER:
             chance *= (other[raw[at - ppm.ORDER]] + 1) / ((other + 1) * inside).sum()
-        total += math.log10(chance)
+        spelt += math.log10(chance)
+        if sym[at] in (ppm.END, ppm.SPACE):
+            total += math.log10(0.5 * (words[next(tokens_)] + 0.1) / (n + 0.1 * (size + 1)) + 0.5 * 10**spelt)
+            spelt = 0.0
+    assert next(tokens_, "none left") == "none left"
     return total
 
 
-def test_scores_match_brute_force(spark):
+@pytest.mark.parametrize("deepest", [1 << 24, 10])
+def test_scores_match_brute_force(spark, monkeypatch, deepest):
+    monkeypatch.setattr(ppm, "DEEPEST_RUNS", deepest)
     texts = ["The cat sat on the mat.", "the DOG sat, été", None, "", "a a a b c", "unseen ωords here", "cat cat mat the"] * 6
     df = spark.createDataFrame(rows_of(texts), SCHEMA)
     got = {r["doc_id"]: r for r in ppm.score_documents(df).collect()}
@@ -306,22 +315,22 @@ def test_scores_match_brute_force(spark):
     raw = np.zeros(256, dtype=np.int64)
     for t, h in zip(lower, held):
         if not h:
-            for b in b" ".join(t.split()):
+            for b in b" ".join([*t.split(), b""]):
                 raw[b] += 1
     classes = ppm.byte_classes(raw)
     counts = defaultdict(Counter)
     for t, h in zip(lower, held):
         if not h:
-            sym = [ppm.END] * 3 + (ppm.symbols([t], classes)[0] % ppm.CLASSES).tolist()
-            for at in range(3, len(sym)):
-                for k in range(4):
+            sym = [ppm.END] * ppm.ORDER + (ppm.symbols([t], classes)[0] % ppm.CLASSES).tolist()
+            for at in range(ppm.ORDER, len(sym)):
+                for k in range(ppm.ORDER + (deepest > 10)):
                     counts[tuple(sym[at - k : at])][sym[at]] += 1
     for i, t in enumerate(lower):
         own = [*t.split(), None]
         assert got[i]["held_out"] == held[i] and got[i]["n_tokens"] == len(own) and got[i]["train_tokens"] == n
         assert got[i]["n_known"] == sum(words[w] > 0 for w in own)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), abs=1e-6)
-        assert got[i]["score"] == pytest.approx(slow_ppm(t, counts, classes, np.where(classes == ppm.OTHER, raw, 0)), rel=1e-4)
+        assert got[i]["score"] == pytest.approx(slow_ppm(t, counts, classes, np.where(classes == ppm.OTHER, raw, 0), words, n), rel=1e-4)
 
 
 def test_rare_words_meet_their_counts(spark, documents, monkeypatch):
@@ -330,6 +339,7 @@ def test_rare_words_meet_their_counts(spark, documents, monkeypatch):
     monkeypatch.setattr(ppm, "COMMON_SHARE", 0.0)
     all_common = {r["doc_id"]: r for r in ppm.score_documents(documents).collect()}
     for i, r in few.items():
+        assert r["score"] == pytest.approx(all_common[i]["score"], rel=1e-6)
         assert r["n_known"] == all_common[i]["n_known"] and r["base_score"] == pytest.approx(all_common[i]["base_score"], abs=1e-6)
 
 
@@ -340,9 +350,11 @@ def test_model_beats_word_frequencies(spark, small):
 
 def test_table_rows_sum_to_one():
     rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, 64**4, 5000))
+    codes = np.unique(rng.integers(0, 64**5, 5000))
     trie = ppm.Trie(codes, rng.integers(1, 9, len(codes)), ppm.byte_classes(np.ones(256, np.int64)), np.zeros(256, np.int64))
-    table = 10.0 ** ppm.log10_table(trie).reshape(-1, 64).astype(float)
+    rows, table = ppm.log10_tables(trie)
+    table = 10.0 ** table.reshape(-1, 64).astype(float)
+    assert rows.max() == len(table) - 1
     assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
 
 
