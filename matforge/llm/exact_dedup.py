@@ -48,7 +48,8 @@ class DigestIndex:
 
     def append_new(self, digests: DataFrame) -> None:
         """Add the digests of a batch (columns digest, doc_id) that the index lacks."""
-        firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        # written first: the optimizer would push the anti-join below the aggregate, and shuffle every copy
+        firsts = materialise(digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id")), "firsts")
         fresh = firsts.join(self.table().hint("merge"), "digest", "left_anti")
         self._writer(fresh.repartition(self.buckets, "digest"), "append").saveAsTable(self.name)
 
