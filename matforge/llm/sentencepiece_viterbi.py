@@ -28,12 +28,16 @@ ENCODE_SCHEMA = "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, rou
 
 
 @functools.lru_cache(maxsize=2)
-def table(path: str) -> tuple[dict[str, tuple[float, int]], int, float, np.ndarray]:
-    """Score and id of each piece, the longest piece, the score of a byte piece, the byte pieces' ids."""
+def table(path: str) -> tuple[dict[str, tuple[float, int]], dict[str, int], float, np.ndarray]:
+    """Score and id of each piece, the longest piece by its last two characters, the score of a byte
+    piece, and the byte pieces' ids."""
     texts, single = pieces(path)
     scores = zipf_scores(path)
     known = {t: (float(scores[i]), i) for i, t in enumerate(texts) if t is not None}
-    return known, max(map(len, known)), float(scores.min()) - BYTE_PENALTY, single
+    longest: dict[str, int] = {}
+    for piece in known:
+        longest[piece[-2:]] = max(longest.get(piece[-2:], 0), len(piece))
+    return known, longest, float(scores.min()) - BYTE_PENALTY, single
 
 
 def encode_sorted(words: list[str], path: str) -> dict[str, list[int]]:
@@ -42,7 +46,7 @@ def encode_sorted(words: list[str], path: str) -> dict[str, list[int]]:
     The best one has the greatest sum of piece scores; of equal sums, the one whose last piece is longest.
     """
     known, longest, byte_score, single = table(path)
-    get = known.get
+    get, ending = known.get, longest.get
     best, back = [0.0], [(0, ())]  # per prefix length of the current word: score; start and ids of the last piece
     out: dict[str, list[int]] = {}
     last = ""
@@ -54,7 +58,8 @@ def encode_sorted(words: list[str], path: str) -> dict[str, list[int]]:
         for j in range(shared + 1, len(word) + 1):
             raw = word[j - 1].encode()
             top, how = best[j - 1] + byte_score * len(raw), (j - 1, None)
-            for i in range(max(0, j - longest), j):
+            reach = j - ending(word[j - 2 : j] if j > 1 else word[:1], 1)
+            for i in range(reach if reach > 0 else 0, j):
                 hit = get(word[i:j])
                 if hit is not None and best[i] + hit[0] > top:
                     top, how = best[i] + hit[0], (i, hit[1])

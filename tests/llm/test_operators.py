@@ -368,7 +368,8 @@ def test_adaptive_mode_and_odd_rows(odd, empty):
 
 
 def slow_viterbi(word):
-    known, longest, byte_score, _ = sentencepiece_viterbi.table(default_path())
+    known, _, byte_score, _ = sentencepiece_viterbi.table(default_path())
+    longest = max(map(len, known))
     best = [0.0] + [-math.inf] * len(word)
     for j in range(1, len(word) + 1):
         best[j] = best[j - 1] + byte_score * len(word[j - 1].encode())
