@@ -92,13 +92,13 @@ def short_hash(d: Dialect, text: str) -> str:
 
 
 def parse_number(d: Dialect, text: str) -> str:
-    """Amounts with Western or Indian grouping, currency marks, and bracketed negatives; else NULL."""
+    """Amounts with Western or Indian grouping, a currency mark before or after, and bracketed negatives; else NULL."""
     bare = trimmed(d, text)
-    bracket = d.match(bare, "^[(].*[)]$")
-    inner = f"CASE WHEN {bracket} THEN concat('-', substr({bare}, 2, length({bare}) - 2)) ELSE {bare} END"
-    plain = d.replace(d.replace(inner, "(₹|[Rr][Ss][.]?|[Ii][Nn][Rr]|[$])", ""), f"[{SPACE}]+", "")
-    shape = "^[-+]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+|[0-9]{1,2}(,[0-9]{2})*,[0-9]{3})([.][0-9]+)?$"
-    return f"CASE WHEN {d.match(plain, shape)} THEN {d.number(f'replace({plain}, {quoted(",")}, {quoted("")})')} END"
+    inner = d.replace(bare, "^[(]|[)]$")
+    plain = d.replace(d.replace(inner, f"^(₹|[Rr][Ss][.]?|[Ii][Nn][Rr]|[$])[{SPACE}]*"), f"[{SPACE}]*(₹|[Rr][Ss][.]?|[Ii][Nn][Rr])$")
+    shape = "^-?([0-9]{1,3}(,[0-9]{2,3})*|[0-9]+)([.][0-9]+)?$"
+    sign = f"CASE WHEN {d.match(bare, '^[(].*[)]$')} THEN -1 ELSE 1 END"
+    return f"CASE WHEN {d.match(plain, shape)} THEN {sign} * {d.number(f'replace({plain}, {quoted(",")}, {quoted("")})')} END"
 
 
 def normalize_uom(d: Dialect, text: str) -> str:

@@ -17,7 +17,9 @@ from matforge.operators import economics
 from matforge.operators import dictionary as D
 from matforge.operators.decide import decisions
 from matforge.operators.extract import ATTRIBUTES
+from matforge.plans import files
 from matforge.plans import views as V
+from matforge.sources.documents import line, number_cell, text_cell
 
 Body = Callable[[Dialect], str]
 
@@ -275,10 +277,23 @@ def explain_attributes(d: Dialect) -> str:
 
 
 def export_mapping(d: Dialect) -> str:
-    cell = lambda x: f"CASE WHEN {d.match(x, '^[-=+@]')} THEN '''' || {x} ELSE {x} END"
-    quote = lambda x: f"CASE WHEN {d.match(x, '[,;|]')} THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
-    parts = [quote(cell(c)) for c in ("cpse_id", "own_code", "raw_description", "uom", "nmc_code")] + ["CASE WHEN status = 'pending-review' THEN 'REVIEW_PENDING' ELSE 'READY' END", "verdict", "coalesce(safety_risk, '')", quote("reason")]
-    return f"SELECT ord, {' || chr(44) || '.join(parts)} AS line FROM mapping"
+    """The migration file's lines: the code in force and, where superseded since, the code first issued."""
+    text = ["e.cpse_id", "own_code", "raw_description", "uom", "coalesce(current_code, e.nmc_code)", "CASE WHEN current_code IS NOT NULL THEN e.nmc_code END", "CASE WHEN status = 'pending-review' THEN 'REVIEW_PENDING' ELSE 'READY' END", "status", "verdict"]
+    after = ["safety_risk", "stage", "CAST(NULL AS VARCHAR(9))", "matched_nmc", "CAST(NULL AS VARCHAR(9))", "CAST(NULL AS VARCHAR(9))"]
+    cells = [*(text_cell(d, x) for x in text), number_cell(d, "round(confidence, 3)"), *(text_cell(d, x) for x in after), number_cell(d, "quantity"), number_cell(d, "unit_price"), text_cell(d, "reason")]
+    now = "SELECT nmc_code, root AS current_code FROM ends WHERE root <> nmc_code"
+    return f"SELECT ord, {line(cells)} AS line FROM mapping e LEFT JOIN ({now}) n ON e.nmc_code = n.nmc_code"
+
+
+def export_substitutions(d: Dialect) -> str:
+    cells = [*(text_cell(d, x) for x in ("code_a", "code_b", "verdict", "safety_risk")), number_cell(d, "round(confidence, 3)"), text_cell(d, "replace(cpses, '|', '; ')")]
+    return f"SELECT link_id, {line(cells)} AS line FROM ({substitution_links(d)}) s"
+
+
+def export_economics(d: Dialect) -> str:
+    number = lambda x: number_cell(d, f"CAST({x} AS DOUBLE)" if x not in ("legacy_codes", "priced_rows") else x)
+    cells = [text_cell(d, "nmc_code"), number("legacy_codes"), text_cell(d, "replace(cpses, '|', '; ')"), text_cell(d, "uom"), *(number(x) for x in ("total_quantity", "min_price", "max_price", "weighted_avg_price", "value", "savings", "priced_rows"))]
+    return f"SELECT nmc_code, {line(cells)} AS line FROM ({economics.by_code(d, 'm')}) e"
 
 
 def zero_shot_classify(d: Dialect) -> str:
@@ -287,14 +302,20 @@ def zero_shot_classify(d: Dialect) -> str:
     return f"SELECT vec_id, CASE WHEN score > 0.45 THEN proto END AS predicted, {_r('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, proto) AS k FROM (SELECT v.vec_id, p.label AS proto, round({dot}, 9) AS score FROM embeddings v CROSS JOIN (SELECT label, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) q WHERE r = 1) p) s) t WHERE k = 1"
 
 
+#: Columns of the exported files.
+MAPPING_HEADER = ("CPSE", "LEGACY_MATNR", "DESCRIPTION", "MEINS", "NEW_NMC_CODE", "ORIGINALLY_ISSUED_NMC_CODE", "MIGRATION_STATUS", "REVIEW_STATUS", "VERDICT", "CONFIDENCE", "SAFETY_RISK", "DECIDED_BY_STAGE", "VALIDATED_SUBSTITUTE_NMC_CODE", "MATCHED_NMC_CODE", "REVIEWED_BY", "REVIEWED_AT", "QUANTITY", "UNIT_PRICE", "REASONS")
+SUBSTITUTION_HEADER = ("NMC_CODE_A", "NMC_CODE_B", "VERDICT", "SAFETY_RISK", "CONFIDENCE", "EVIDENCED_BY_CPSES")
+ECONOMICS_HEADER = ("NMC_CODE", "LEGACY_CODES", "CPSES", "UOM", "COMBINED_QUANTITY", "MIN_UNIT_PRICE", "MAX_UNIT_PRICE", "WEIGHTED_AVG_UNIT_PRICE", "VALUE", "PRICE_HARMONISATION_SAVINGS", "PRICED_ROWS")
+
 #: Query -> relations it reads besides base tables: materials, m (coded), mapping, ends and chain, matched, scenario.
 CATALOGUE: dict[str, tuple[Body, tuple[str, ...]]] = {}
 for _needs, _bodies in {
     ("materials",): (short_hash, parse_number, normalize_uom),
-    ("m",): (tokenize_content, subtype_detect, attributes, corrosion_class, strength_rank, nmc_code, nmc_records, block_stats, dimension_groups, exact_duplicates, mapping_order, economics_by_code, economics_summary, top_savings, top_combined_demand, cross_org_index, supersession_validate),
-    ("mapping",): (mapping, stage_status_counts, verdict_summary, pending_queue, outcome_labels, review_apply, substitution_links, graph_nodes, graph_edges, visible_subgraph, node_search, code_profile, org_insight, export_mapping),
+    ("m",): (tokenize_content, subtype_detect, attributes, corrosion_class, strength_rank, nmc_code, nmc_records, block_stats, dimension_groups, exact_duplicates, mapping_order, economics_by_code, economics_summary, top_savings, top_combined_demand, cross_org_index, supersession_validate, export_economics),
+    ("mapping",): (mapping, stage_status_counts, verdict_summary, pending_queue, outcome_labels, review_apply, substitution_links, graph_nodes, graph_edges, visible_subgraph, node_search, code_profile, org_insight, export_substitutions),
     ("m", "chain", "ends"): (supersession_resolve, supersession_apply, active_codes),
     ("m", "mapping", "matched"): (explain_attributes,),
+    ("m", "mapping", "chain", "ends"): (export_mapping,),
     ("scenario",): (scenario_decisions, metrics, safety_report),
     (): (tokenize_documents, cross_org_supply, audit_code_counts, audit_chain_verify, confusion_matrix, zero_shot_classify),
 }.items():
@@ -353,8 +374,8 @@ def oracle(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: build(name) for name in CATALOGUE if name not in FIXED_INPUT}
+    return {name: build(name) for name in CATALOGUE if name not in FIXED_INPUT} | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(name) for name in CATALOGUE if name not in FIXED_INPUT}
+    return {name: oracle(name) for name in CATALOGUE if name not in FIXED_INPUT} | files.oracle_sql()
