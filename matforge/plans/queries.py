@@ -131,13 +131,23 @@ def top_combined_demand(d: Dialect) -> str:
 
 
 def review_apply(d: Dialect) -> str:
-    """Every second pending row is confirmed, the others rejected."""
-    confirmed = "own_ord % 2 = 0"
+    """Every second pending row is confirmed, the others rejected; what is in force is looked up again."""
+    confirmed = "ord % 2 = 0"
     return f"""
-SELECT ord, CASE WHEN status <> 'pending-review' THEN status WHEN {confirmed} THEN 'reviewed-confirmed' ELSE 'reviewed-rejected' END AS status,
-  CASE WHEN status = 'pending-review' AND {confirmed} AND verdict NOT IN ('duplicate', 'distinct') AND matched_nmc <> nmc_code THEN matched_nmc END AS linked_nmc,
-  CASE WHEN status = 'pending-review' AND NOT ({confirmed}) AND verdict = 'duplicate' THEN own_nmc ELSE nmc_code END AS nmc_code, nmc_code AS original_nmc
-FROM (SELECT *, ord AS own_ord FROM mapping) r"""
+SELECT r.ord, status, linked_nmc, r.nmc_code, original_nmc, CASE WHEN e.root <> r.nmc_code THEN e.root END AS current_code FROM (
+  SELECT ord, CASE WHEN status <> 'pending-review' THEN status WHEN {confirmed} THEN 'reviewed-confirmed' ELSE 'reviewed-rejected' END AS status,
+    CASE WHEN status = 'pending-review' AND {confirmed} AND verdict NOT IN ('duplicate', 'distinct') AND matched_nmc <> nmc_code THEN matched_nmc END AS linked_nmc,
+    CASE WHEN status = 'pending-review' AND NOT ({confirmed}) AND verdict = 'duplicate' THEN own_nmc ELSE nmc_code END AS nmc_code, nmc_code AS original_nmc
+  FROM mapping) r LEFT JOIN ends e ON r.nmc_code = e.nmc_code"""
+
+
+def records_after_review(d: Dialect) -> str:
+    """One record per code in use after the reviews: those of the mapping, and of materials taken out of a merge."""
+    return f"""
+SELECT t.nmc_code, f.canonical, f.category, f.subtype, n_materials, restored, s.new_code AS superseded_by
+FROM (SELECT nmc_code, count(*) AS n_materials, count(CASE WHEN nmc_code <> original_nmc THEN 1 END) AS restored FROM ({review_apply(d)}) a GROUP BY nmc_code) t
+LEFT JOIN (SELECT * FROM (SELECT nmc_code, canonical, category, subtype, row_number() OVER (PARTITION BY nmc_code ORDER BY ord) AS k FROM m) q WHERE k = 1) f ON t.nmc_code = f.nmc_code
+LEFT JOIN chain s ON t.nmc_code = s.old_code"""
 
 
 def substitution_links(d: Dialect) -> str:
@@ -161,13 +171,14 @@ def cross_org_supply(d: Dialect) -> str:
 
 
 def supersession_validate(d: Dialect) -> str:
-    """Proposed retirements (each code by the next but one), checked against what is known and already retired."""
-    return f"""
-SELECT p.old_code, p.new_code, CASE WHEN p.old_code = p.new_code THEN 'itself' WHEN p.k % 5 = 0 THEN 'reason' WHEN o.nmc_code IS NULL THEN 'unknown code' WHEN n.nmc_code IS NULL THEN 'unknown replacement' WHEN s.old_code IS NOT NULL THEN 'already superseded by ' || s.new_code ELSE 'ok' END AS outcome
-FROM (SELECT nmc_code AS old_code, CASE WHEN k % 7 = 0 THEN nmc_code WHEN k % 4 = 0 THEN nmc_code || '-X' ELSE coalesce(lead(nmc_code, 2) OVER (PARTITION BY block ORDER BY nmc_code), nmc_code) END AS new_code, k
+    """Proposed retirements (by the next code but one, or the one before), checked against what is known and already retired."""
+    return """
+SELECT p.old_code, p.new_code, CASE WHEN p.old_code = p.new_code THEN 'itself' WHEN p.k % 5 = 0 THEN 'reason' WHEN o.nmc_code IS NULL THEN 'unknown code' WHEN n.nmc_code IS NULL THEN 'unknown replacement'
+  WHEN s.old_code IS NOT NULL THEN 'already superseded by ' || s.new_code WHEN e.root = p.old_code THEN 'cycle' ELSE 'ok' END AS outcome
+FROM (SELECT nmc_code AS old_code, CASE WHEN k % 7 = 0 THEN nmc_code WHEN k % 4 = 0 THEN nmc_code || '-X' WHEN k % 6 = 0 THEN lag(nmc_code) OVER (PARTITION BY block ORDER BY nmc_code) ELSE coalesce(lead(nmc_code, 2) OVER (PARTITION BY block ORDER BY nmc_code), nmc_code) END AS new_code, k
       FROM (SELECT block, nmc_code, row_number() OVER (PARTITION BY block ORDER BY nmc_code) AS k FROM (SELECT DISTINCT block, nmc_code FROM m WHERE complete) u) v) p
 LEFT JOIN (SELECT DISTINCT nmc_code FROM m) o ON p.old_code = o.nmc_code LEFT JOIN (SELECT DISTINCT nmc_code FROM m) n ON p.new_code = n.nmc_code
-LEFT JOIN ({CHAIN.format(m="m")}) s ON p.old_code = s.old_code"""
+LEFT JOIN chain s ON p.old_code = s.old_code LEFT JOIN ends e ON p.new_code = e.nmc_code"""
 
 
 def supersession_resolve(d: Dialect) -> str:
@@ -183,18 +194,33 @@ def active_codes(d: Dialect) -> str:
 
 
 def graph_nodes(d: Dialect) -> str:
+    """Organisations, materials and codes. A code's health is the worst, its status the first other than active."""
     health = "CASE WHEN status = 'reviewed-rejected' OR safety_risk = 'HIGH' THEN 2 WHEN status = 'pending-review' THEN 1 ELSE 0 END"
     word = lambda x: f"CASE {x} WHEN 2 THEN 'risk' WHEN 1 THEN 'review' ELSE 'ok' END"
+    linked = f"SELECT code_a AS code FROM ({substitution_links(d)}) a UNION SELECT code_b FROM ({substitution_links(d)}) b"
+    first = lambda status: f"min(CASE WHEN status = '{status}' THEN ord END)"
+    used = f"SELECT nmc_code, max({health}) AS worst, {first('pending-review')} AS pending, {first('reviewed-rejected')} AS rejected FROM mapping GROUP BY nmc_code"
+    retired, only_linked = "s.old_code IS NOT NULL", "s.old_code IS NULL AND u.nmc_code IS NULL AND l.code IS NOT NULL"
     return f"""
 SELECT 'c:' || cpse_id AS id, 'cpse' AS type, cpse_id AS label, CASE WHEN max({health}) = 2 THEN 'review' ELSE 'ok' END AS health, 'active' AS status FROM mapping GROUP BY cpse_id
 UNION ALL SELECT 'm:' || CAST(ord AS VARCHAR(20)), 'material', own_code, {word(health)}, status FROM mapping
-UNION ALL SELECT 'n:' || nmc_code, 'nmc', nmc_code, {word(f"max({health})")}, CASE WHEN max(CASE WHEN status = 'pending-review' THEN 1 ELSE 0 END) = 1 THEN 'pending-review' ELSE 'active' END FROM mapping GROUP BY nmc_code"""
+UNION ALL SELECT 'n:' || c.code, CASE WHEN {retired} THEN 'superseded' WHEN {only_linked} THEN 'substitute' ELSE 'nmc' END, c.code,
+  {word(f"greatest(coalesce(u.worst, 0), CASE WHEN {retired} OR ({only_linked}) THEN 1 ELSE 0 END)")},
+  CASE WHEN {retired} THEN 'superseded' WHEN {only_linked} THEN 'substitute-only' WHEN u.rejected < coalesce(u.pending, u.rejected + 1) THEN 'rejected' WHEN u.pending IS NOT NULL THEN 'pending-review' ELSE 'active' END
+FROM (SELECT nmc_code AS code FROM mapping UNION SELECT code FROM ({linked}) k UNION SELECT old_code FROM chain UNION SELECT new_code FROM chain) c
+  LEFT JOIN ({used}) u ON c.code = u.nmc_code LEFT JOIN (SELECT DISTINCT old_code FROM chain) s ON c.code = s.old_code LEFT JOIN ({linked}) l ON c.code = l.code"""
 
 
 def graph_edges(d: Dialect) -> str:
     rel = "CASE verdict WHEN 'duplicate' THEN 'DUPLICATE' WHEN 'functionally_equivalent' THEN 'FUNCTIONALLY_EQUIVALENT' ELSE 'MAPPED_TO' END"
     m = "'m:' || CAST(ord AS VARCHAR(20))"
-    return f"SELECT {m} || '|USED_BY|c:' || cpse_id AS id, {m} AS src, 'c:' || cpse_id AS dst, 'USED_BY' AS rel FROM mapping UNION ALL SELECT {m} || '|' || {rel} || '|n:' || nmc_code, {m}, 'n:' || nmc_code, {rel} FROM mapping"
+    return f"""
+SELECT src || '|' || rel || '|' || dst AS id, src, dst, rel FROM (
+  SELECT {m} AS src, 'c:' || cpse_id AS dst, 'USED_BY' AS rel FROM mapping
+  UNION ALL SELECT {m}, 'n:' || nmc_code, {rel} FROM mapping
+  UNION ALL SELECT 'n:' || code_a, 'n:' || code_b, 'SUBSTITUTE' FROM ({substitution_links(d)}) l
+  UNION ALL SELECT 'n:' || old_code, 'n:' || new_code, 'SUPERSEDED_BY' FROM chain
+  UNION ALL SELECT 'n:' || new_code, 'n:' || old_code, 'SUPERSEDES' FROM chain) e"""
 
 
 def visible_subgraph(d: Dialect) -> str:
@@ -311,11 +337,12 @@ ECONOMICS_HEADER = ("NMC_CODE", "LEGACY_CODES", "CPSES", "UOM", "COMBINED_QUANTI
 CATALOGUE: dict[str, tuple[Body, tuple[str, ...]]] = {}
 for _needs, _bodies in {
     ("materials",): (short_hash, parse_number, normalize_uom),
-    ("m",): (tokenize_content, subtype_detect, attributes, corrosion_class, strength_rank, nmc_code, nmc_records, block_stats, dimension_groups, exact_duplicates, mapping_order, economics_by_code, economics_summary, top_savings, top_combined_demand, cross_org_index, supersession_validate, export_economics),
-    ("mapping",): (mapping, stage_status_counts, verdict_summary, pending_queue, outcome_labels, review_apply, substitution_links, graph_nodes, graph_edges, visible_subgraph, node_search, code_profile, org_insight, export_substitutions),
-    ("m", "chain", "ends"): (supersession_resolve, supersession_apply, active_codes),
+    ("m",): (tokenize_content, subtype_detect, attributes, corrosion_class, strength_rank, nmc_code, nmc_records, block_stats, dimension_groups, exact_duplicates, mapping_order, economics_by_code, economics_summary, top_savings, top_combined_demand, cross_org_index, export_economics),
+    ("mapping",): (mapping, stage_status_counts, verdict_summary, pending_queue, outcome_labels, substitution_links, visible_subgraph, node_search, code_profile, org_insight, export_substitutions),
+    ("m", "chain", "ends"): (supersession_resolve, supersession_apply, supersession_validate, active_codes),
     ("m", "mapping", "matched"): (explain_attributes,),
-    ("m", "mapping", "chain", "ends"): (export_mapping,),
+    ("m", "mapping", "chain", "ends"): (export_mapping, review_apply, records_after_review),
+    ("m", "mapping", "chain"): (graph_nodes, graph_edges),
     ("scenario",): (scenario_decisions, metrics, safety_report),
     (): (tokenize_documents, cross_org_supply, audit_code_counts, audit_chain_verify, confusion_matrix, zero_shot_classify),
 }.items():
