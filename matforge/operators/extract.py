@@ -128,9 +128,10 @@ def by_subtype(value, other: str) -> str:
     return "(CASE subtype " + " ".join(f"WHEN '{s.code}' THEN {value(s)}" for s in D.SUBTYPES) + f" ELSE {other} END)"
 
 
-def coded(d: Dialect, source: str, description: str = "raw_description") -> str:
+def coded(d: Dialect, source: str, description: str = "raw_description", forced: str | None = None) -> str:
     """SELECT over ``source``: its columns plus u, toks, pad, subtype, category, cat_code, attributes,
-    corrosion, complete, dim_key, block, nmc_code and canonical."""
+    corrosion, complete, dim_key, block, nmc_code and canonical. ``forced`` names a column whose subtype, where not
+    NULL, is taken in place of the one found in the text."""
     users = {a: [s.code for s in D.SUBTYPES if a in s.dims + s.mats] for a in ATTRIBUTES}
     raw = ", ".join(f"{x} AS r_{a}" for a, x in raw_attributes(d).items())
     own = ", ".join(f"CASE WHEN subtype IN {T.in_list(['UNK', *users[a]])} THEN r_{a} END AS a_{a}" for a in ATTRIBUTES)
@@ -139,6 +140,7 @@ def coded(d: Dialect, source: str, description: str = "raw_description") -> str:
     whole = by_subtype(lambda s: " AND ".join(f"a_{k} IS NOT NULL" for k in s.dims), "false")
     dims, mats = by_subtype(lambda s: parts(s.dims, "-"), "''"), by_subtype(lambda s: parts(s.mats, "-"), "''")
     key = d.join(d.distinct(T.content(d, "toks")), " ")
+    found = f"coalesce({forced}, {earliest(d)})" if forced else earliest(d)
     return f"""
 SELECT *, {rank_lifted()} AS corrosion, CASE WHEN complete THEN {by_subtype(lambda s: parts(s.dims, '|'), 'NULL')} END AS dim_key, category || '|' || subtype AS block,
   concat_ws('-', 'NMC', cat_code, subtype, nullif({dims}, ''), nullif({mats}, ''), {T.base32(d, "h40")}) AS nmc_code,
@@ -147,7 +149,7 @@ FROM (SELECT *, CASE WHEN NOT complete THEN {T.hash40(d, "token_key")} END AS h4
 FROM (SELECT *, {whole} AS complete
 FROM (SELECT *, {own}, {rank} AS grade_rank, {by_subtype(lambda s: f"'{s.category}'", "'Uncategorized'")} AS category, {by_subtype(lambda s: f"'{s.cat_code}'", "'UNC'")} AS cat_code, {key} AS token_key
 FROM (SELECT *, {raw}
-FROM (SELECT *, {earliest(d)} AS subtype
+FROM (SELECT *, {found} AS subtype
 FROM (SELECT *, {vetoed(d)} AS vetoed
 FROM (SELECT *, {T.padded(d, "toks")} AS pad
 FROM (SELECT *, {T.tokens(d, "u")} AS toks

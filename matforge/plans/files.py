@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matforge.functions.dialect import DUCK, SPARK, Dialect
-from matforge.operators import audit
+from matforge.operators import audit, vectors
 from matforge.plans import views as V
 from matforge.runtime import materialise, scratch_path
 from matforge.sources import documents, grids, items, pairs
@@ -113,13 +113,20 @@ def publish_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published.lookup(coded.select("nmc_code", "cpse_id").distinct(), published.index(spark, path))
 
 
+def zero_shot_reclassify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown materials with the subtype whose phrase is nearest to their description, and the code that follows."""
+    coded = materialise(V.coded_materials(spark, sf_dir).select("ord", "raw_description", "subtype"), "subtypes")
+    again = vectors.reclassify(coded, vectors.trigram_vectors, scratch_path(spark, "vectors"))
+    return coded.filter("subtype = 'UNK'").select("ord", "raw_description").join(again, "raw_description").selectExpr("ord", "raw_description", "classified_by", "round(ai_score, 6) AS ai_score", "subtype", "nmc_code", "complete")
+
+
 def _publish_lookup_sql() -> str:
     pub = "pub AS (SELECT DISTINCT nmc_code, cpse_id FROM m WHERE complete)"
     return V.with_clause(V.duck_coded()) + ", " + pub + " SELECT x.nmc_code, x.cpse_id, " + DUCK.collect("y.cpse_id") + " AS others FROM pub x LEFT JOIN pub y ON x.nmc_code = y.nmc_code AND x.cpse_id <> y.cpse_id GROUP BY x.nmc_code, x.cpse_id"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (item_files, labelled_pairs, audit_append, audit_verify, publish_lookup)}
+    return {q.__name__: q for q in (item_files, labelled_pairs, audit_append, audit_verify, publish_lookup, zero_shot_reclassify)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,8 +7,9 @@ import pytest
 from pyspark.errors import PySparkException
 
 from matforge.functions.dialect import SPARK
-from matforge.operators import audit
-from matforge.sources import documents, grids, items, pairs
+from matforge.operators import audit, vectors
+from matforge.plans import files
+from matforge.sources import documents, grids, items, pairs, state
 from matforge.streaming import published
 
 
@@ -139,3 +140,42 @@ def test_published_index_from_a_stream(spark, tmp_path):
     assert {r["nmc_code"]: r["others"] for r in published.lookup(asked, known).collect()} == {"NMC-PIP-1": "SAIL", "NMC-PIP-1/2.5": ""}
     refused = published.requests(spark.createDataFrame([("NMC-A", "x" * 41), ("-A", "SAIL"), ("N" * 151, "SAIL"), ("NMC-A+1", "COAL INDIA")], schema))
     assert [r["refused"] for r in refused.collect()] == ["organisation", "code", "code", None]
+
+
+def test_state_tables(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert state.read_or_empty(spark, path, "x long").isEmpty()
+    for n in (3, 2):
+        state.replace(spark.range(n).selectExpr("id AS x"), path)
+        assert state.read_or_empty(spark, path, "x long").count() == n
+    state.remove(spark, path)
+    assert state.read_or_empty(spark, path, "x long").isEmpty()
+
+
+def test_vectors_are_computed_once_and_failures_again(spark, tmp_path):
+    cache, seen = str(tmp_path / "cache"), tmp_path / "seen"
+    seen.mkdir()
+
+    def embed(texts):
+        for t in texts:
+            (seen / f"{t}.{len(list(seen.iterdir()))}").touch()
+        return [None if t == "bad" else [1.0, 0.0] for t in texts]
+
+    texts = lambda *t: spark.createDataFrame([(x,) for x in t], "t string")
+    got = {r["text"]: r["vector"] for r in vectors.embed_texts(texts("a", "a", "b", "bad", None), embed, cache).collect()}
+    assert got == {"a": [1.0, 0.0], "b": [1.0, 0.0], "bad": None}
+    assert {r["text"] for r in vectors.embed_texts(texts("a", "c", "bad"), embed, cache).collect()} == {"a", "c", "bad"}
+    assert sorted(p.name.split(".")[0] for p in seen.iterdir()) == ["a", "b", "bad", "bad", "c"]
+
+
+def test_reclassification_against_brute_force(spark, tiny):
+    rows = files.zero_shot_reclassify(spark, tiny).collect()
+    phrases = vectors.prototypes()
+    wanted = [vectors.trigram_vectors([p])[0] for _, p in phrases]
+    for r in rows:
+        own = vectors.trigram_vectors([r["raw_description"]])[0]
+        scores = [round(sum(a * b for a, b in zip(map(float, vectors.np.float32(own)), w, strict=True)), 9) for w in wanted]
+        best = max(range(len(scores)), key=lambda k: (scores[k], -k))
+        assert r["subtype"] == (phrases[best][0] if scores[best] > vectors.LEAST else "UNK")
+        assert r["classified_by"] == ("ai" if scores[best] > vectors.LEAST else "rules")
+    assert len({r["ord"] for r in rows}) == len(rows) > 0
