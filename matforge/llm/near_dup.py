@@ -8,6 +8,9 @@ shingle stops once its next arrival is later than every register's first (early
 
 Banding. ``BANDS`` bands of ``ROWS`` registers: texts that agree on a band are candidates. A pair of
 similarity 0.8 meets in no band with probability (1 - 0.8^7)^40 < 1e-4, one of 0.85 with < 1e-6.
+Registers of weighted shingles find pairs by their probability Jaccard similarity only, so a text that
+holds a shingle more than once has a second set of bands, with all weights 1, for the Jaccard similarity of the
+sets. Without repeats both sets of bands are the same, so all texts are looked up in one table.
 
 Verification. Candidates are grouped by connectivity, groups are cut in blocks, and every pair of blocks is
 verified in one task: all pairwise intersections of shingle sets at once, as a product of incidence
@@ -103,6 +106,20 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key
 
 
+def text_bands(key: np.ndarray, text_of: np.ndarray, weight: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and how many each text has: none without shingles, twice ``BANDS`` with a repeated shingle."""
+    bands = band_keys(signatures(key, text_of, weight, texts))
+    sizes = BANDS * (np.bincount(text_of, minlength=texts) > 0)
+    again = np.bincount(text_of, weights=weight - 1, minlength=texts) > 0
+    own = again[text_of]
+    place = np.cumsum(again) - 1
+    sets = band_keys(signatures(key[own], place[text_of[own]], np.ones(int(own.sum())), int(again.sum())))
+    both = np.concatenate((bands, np.zeros_like(bands)), axis=1)
+    both[again, BANDS:] = sets
+    sizes[again] *= 2
+    return both[np.arange(2 * BANDS) < sizes[:, None]], sizes
+
+
 def probability_jaccard(a: dict[int, int], b: dict[int, int]) -> float:
     """Exact probability Jaccard similarity of two weighted sets."""
     keys = sorted(a.keys() | b.keys())
@@ -177,10 +194,9 @@ def _sketch(docs: DataFrame) -> DataFrame:
         for part in chunks(batches, "text", 1 << 20):
             texts = utf8(part.column("text"))
             key, text_of, weight = shingles(texts)
-            bands = band_keys(signatures(key, text_of, weight, len(texts)))
-            has = np.bincount(text_of, minlength=len(texts)) > 0
-            ends = np.concatenate(([0], np.cumsum(np.where(has, BANDS, 0)))).astype(np.int32)
-            flat = bands[has].view(np.int64).ravel()
+            bands, sizes = text_bands(key, text_of, weight, len(texts))
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            flat = bands.view(np.int64)
             bytes_ = pa.array([len(t or b"") for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), bytes_, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "digest", "bytes", "bands"])
 
@@ -232,7 +248,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = materialise(able.groupBy("digest").agg(F.min("doc_id").alias("rep_id")), "firsts")
     rows = able.join(firsts, "digest")
     members = materialise(rows.select("doc_id", "rep_id"), "members")
-    reps = rows.filter("doc_id = rep_id").select("doc_id", F.explode("bands").alias("band"))
+    reps = rows.filter("doc_id = rep_id").select("doc_id", F.explode(F.array_distinct("bands")).alias("band"))
     # first text of each band key: a star per bucket keeps all that meet there connected
     hubs = reps.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub <> last")
     hubs = materialise(hubs.select("band", "hub"), "hubs")

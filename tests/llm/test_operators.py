@@ -226,6 +226,15 @@ def test_near_classes_match_brute_force(spark, documents, monkeypatch):
     assert [r["class_id"] for r in sorted(got)] == slow_classes(texts)
 
 
+def test_copies_with_repeated_lines_are_found(spark):
+    texts = []
+    for seed, times in enumerate((20, 40, 60, 80, 100)):
+        w = variants(10 + seed, 0, 204)[0].split()
+        texts += [" ".join(w), " ".join(w[:90] + w[90:102] * times + w[102:])]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+    assert [r["class_id"] for r in sorted(got)] == slow_classes(texts) == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8]
+
+
 def test_near_copies_odd_rows(odd, empty):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == 15 and near_dup.near_duplicates(empty).count() == 0
