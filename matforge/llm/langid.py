@@ -20,7 +20,7 @@ from matforge.llm.vocabulary import MARK, byte_trie, default_path, pieces, zipf_
 from matforge.llm.words import chunks, crc_mod, utf8
 
 UNKNOWN = "und"
-#: Documents that a model is fitted on, at most about this many (chosen by a hash of their id).
+#: Documents that a model is fitted on, at most about this many (chosen by a hash of their id in each language).
 TRAIN_DOCS = 20_000
 #: Expected counts are summed as whole numbers of this unit, so that no order of addition matters.
 UNIT = 1 << 20
@@ -129,24 +129,40 @@ def expected_counts(words: list[bytes], weight: np.ndarray, probability: np.ndar
     return out
 
 
+def row_limit(sizes: list[int], rows: int) -> float:
+    """The most rows that each language may give so that together they give ``rows`` at most (one each at least)."""
+    left, limit = float(rows), 1.0
+    for k, n in enumerate(sorted(sizes)):
+        limit = max(1.0, left / (len(sizes) - k))
+        if n > limit:
+            return limit
+        left -= n
+    return float(max(sizes))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on rows whose crc32(id) mod 5 is not 0 and whose language is not null.
 
-    At most about ``train_docs`` of them, chosen by a hash of the id; one expectation step from Zipf
-    probabilities. Tasks send expected counts per (language, piece), which Spark sums: what
+    At most about ``train_docs`` of them, chosen by a hash of the id, language by language: all rows of a
+    language that has few, equally many of the others, and always the row of the least hash, so every
+    labelled language is fitted at every size. One expectation step from Zipf probabilities. Tasks send expected counts per (language, piece), which Spark sums: what
     reaches the driver is bounded by the vocabulary times the languages. No usable row gives a
     model without languages, which answers ``und`` throughout.
     """
     vocabulary = vocabulary or default_path()
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0))
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    found = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("first")).collect()
+    sizes = {r["lang"]: r["n"] for r in found}
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros(0), np.zeros((0, 0)), vocabulary)
-    share = min(1.0, train_docs / sum(sizes.values()))
-    if share < 1:
-        train = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    if sum(sizes.values()) > train_docs:
+        limit, top = row_limit(list(sizes.values()), train_docs), (1 << 63) - 1
+        up_to = [(r["lang"], top if r["n"] <= limit else max(int(limit / r["n"] * top), r["first"])) for r in found]
+        up_to = docs.sparkSession.createDataFrame(up_to, "lang string, up_to long")
+        train = train.join(F.broadcast(up_to), "lang").filter(hashed <= F.col("up_to"))
     start = np.exp(zipf_scores(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

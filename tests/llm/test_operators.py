@@ -456,6 +456,14 @@ def test_language_odd_rows(odd, empty, spark):
     assert "und" in {r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows_of(["12 34 ..", "ok"]), SCHEMA), model).collect()}
 
 
+def test_rare_language_is_fitted_from_a_small_sample(spark):
+    texts = [f"the house and the river number {i}" for i in range(3000)] + ["huset ligger ved floden og skoven"] * 10
+    df = spark.createDataFrame([(i, t, "en" if i < 3000 else "da") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit(df, train_docs=20)
+    assert langid.predict([b"huset ved skoven", b"the house and the river"], model)[0] == ["da", "en"]
+    assert langid.row_limit([3, 40, 9000], 100) == 57 and langid.row_limit([3, 400, 9000], 103) == 50 and langid.row_limit([5, 5], 1) == 1
+
+
 # --- tokens, packing, training order
 
 
