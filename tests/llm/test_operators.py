@@ -545,6 +545,20 @@ def test_training_order_round_trip(spark, documents, odd, empty, tmp_path):
     assert layout.sequences == 0 and training_order.read_training_order(spark, layout).count() == 0
 
 
+def test_training_order_query_returns_the_ids(spark, tiny, documents):
+    records = sorted(llm.op1_training_order(spark, tiny).collect(), key=lambda r: r["number"])
+    assert all(len(r["ids"]) == r["length"] and r["ids"].count(training_order.CLOSE) == r["n_closed"] for r in records)
+    want = Counter(tuple(tokens.fast().encode_ordinary(r["text"] or "")) for r in documents.collect())
+    got, text = Counter(), []
+    for i in (i for r in records for i in r["ids"]):
+        if i == training_order.CLOSE:
+            got[tuple(text)] += 1
+            text = []
+        else:
+            text.append(i)
+    assert not text and got == want
+
+
 # --- pipeline
 
 
