@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -55,7 +56,7 @@ def test_permutation_is_a_bijection(n, key):
 def test_column_permutation_agrees(spark):
     for n in (1, 2, 3, 10, 1000, 5041):
         got = spark.range(n).select("id", feistel.permute(__import__("pyspark").sql.functions.col("id"), n, "k").alias("p")).collect()
-        assert [r["p"] for r in sorted(got)] == [feistel.permute_local(x, n, "k") for x in range(n)]
+        assert [r["p"] for r in sorted(got)] == [feistel.permute_local(x, n, "k") for x in range(n)] == feistel.permute_array(np.arange(n), n, "k").tolist()
 
 
 def test_shards_are_even_and_gapless(odd, empty):
@@ -377,30 +378,43 @@ def test_adaptive_mode_and_odd_rows(odd, empty):
 
 
 def slow_viterbi(word):
-    known, _, byte_score, _ = sentencepiece_viterbi.table(default_path())
+    """The best score of a marked word, over all segmentations into pieces and bytes."""
+    texts, _ = pieces(default_path())
+    score, byte_score = sentencepiece_viterbi.scores(default_path())
+    known = {t.encode(): float(score[i]) for i, t in enumerate(texts) if t is not None}
     longest = max(map(len, known))
     best = [0.0] + [-math.inf] * len(word)
     for j in range(1, len(word) + 1):
-        best[j] = best[j - 1] + byte_score * len(word[j - 1].encode())
+        best[j] = best[j - 1] + byte_score
         for i in range(max(0, j - longest), j):
             if word[i:j] in known:
-                best[j] = max(best[j], best[i] + known[word[i:j]][0])
+                best[j] = max(best[j], best[i] + known[word[i:j]])
     return best[-1]
 
 
 def score_of(ids):
-    known, _, byte_score, single = sentencepiece_viterbi.table(default_path())
-    scores, bytes_ = zipf_scores(default_path()), set(single.tolist())
-    return sum(byte_score if i in bytes_ else float(scores[i]) for i in ids)
+    score, byte_score = sentencepiece_viterbi.scores(default_path())
+    bytes_ = set(pieces(default_path())[1].tolist())
+    return sum(byte_score if i in bytes_ else float(score[i]) for i in ids)
 
 
 @given(st.lists(st.text(alphabet="abethin ▁é漢 ", max_size=14), max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_shared_prefix_viterbi_is_optimal(texts):
-    words = sorted({w for t in texts for w in sentencepiece_viterbi.marked(t)})
-    for word, ids in sentencepiece_viterbi.encode_sorted(words, default_path()).items():
-        assert score_of(ids) == pytest.approx(slow_viterbi(word))
-        assert sentencepiece_viterbi.decode(ids, default_path()) == word.replace("▁", " ")[1:]
+    words = list({w.encode() for t in texts for w in sentencepiece_viterbi.marked(t)})
+    ids, ends = sentencepiece_viterbi.encode_distinct(words, default_path())
+    for k, word in enumerate(words):
+        own = ids[ends[k] : ends[k + 1]].tolist()
+        assert score_of(own) == pytest.approx(slow_viterbi(word))
+        assert sentencepiece_viterbi.decode(own, default_path()) == word.decode().replace("▁", " ")[1:]
+
+
+def test_long_words_and_ties():
+    words = [("the" * 40).encode(), "漢字かな交じり文".encode() * 30, b"x" * 70, b"x" * 71, b"x", "▁the".encode()]
+    ids, ends = sentencepiece_viterbi.encode_distinct(words, default_path())
+    for k, word in enumerate(words):
+        assert score_of(ids[ends[k] : ends[k + 1]].tolist()) == pytest.approx(slow_viterbi(word))
+    assert sentencepiece_viterbi.encode_distinct([], default_path())[0].tolist() == []
 
 
 def test_pieces_round_trip(odd, empty, documents):
@@ -525,6 +539,7 @@ def test_training_order_round_trip(spark, documents, odd, empty, tmp_path):
         assert sorted(r["slot"] for r in records) == list(range(layout.sequences)) and sum(r["slots"] for r in manifest.collect()) == layout.sequences
         records.sort(key=lambda r: r["number"])
         assert all(r["slot"] == feistel.permute_local(r["number"], layout.sequences, layout.key) for r in records)
+        assert all(r["length"] == 64 for r in records[:-1])
         stream = [i for r in records for i in r["ids"]]
         texts = [[]]
         for i in stream:
@@ -533,18 +548,39 @@ def test_training_order_round_trip(spark, documents, odd, empty, tmp_path):
             else:
                 texts[-1].append(i)
         assert texts.pop() == []
-        assert Counter(tokens.fast().decode(t) for t in texts) == Counter((r["text"] or "") for r in df.collect())
+        order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["text"] or "") for r in df.collect())
+        assert Counter(tokens.fast().decode(t) for t in texts) == Counter(t for _, t in order)
+        if k == 0:
+            assert [tokens.fast().decode(t) for t in texts] == [t for _, t in order]
+            at = 0
+            begins = {}
+            for (_, doc), t in order:
+                begins[doc] = at
+                at += len(tokens.fast().encode_ordinary(t)) + 1
+            assert all(begins[r["doc_id"]] + r["start"] == 64 * r["number"] for r in records)
         path, offset = layout.place(3)
         with open(tmp_path / f"order{k}" / path, "rb") as file:
             file.seek(offset)
             assert int.from_bytes(file.read(8), "little") == 3
-        assert training_order.read_training_order(spark, layout, 1).count() == max(0, layout.sequences - 100)
-        starts = {r["doc_id"]: len(tokens.fast().encode_ordinary(r["text"] or "")) for r in df.filter("doc_id is not null").collect()}
-        assert all(r["start"] <= starts[r["doc_id"]] for r in records if r["doc_id"] is not None)
+        resumed = training_order.read_training_order(spark, layout, 130).collect()
+        assert sorted(r["slot"] for r in resumed) == list(range(130, layout.sequences))
+        assert {r["slot"]: r["ids"] for r in resumed}.items() <= {r["slot"]: r["ids"] for r in records}.items()
+        assert not [f for f in os.listdir(tmp_path / f"order{k}") if not f.startswith("shard-")]
     layout, manifest = training_order.write_training_order(empty, str(tmp_path / "none"))
     assert layout.sequences == 0 and training_order.read_training_order(spark, layout).count() == 0
 
 
+def test_training_order_does_not_depend_on_partitions(spark, documents, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_order, "FRAME_DOCS", 7)
+    monkeypatch.setattr(training_order, "HELD_IDS", 5000)
+    for name, df in (("documents", documents), ("odd", odd)):
+        sums = []
+        for parts in (1, 3, 8):
+            _, manifest = training_order.write_training_order(df.repartition(parts), str(tmp_path / f"{name}{parts}"), shard_slots=16)
+            sums.append(sorted(map(tuple, manifest.collect())))
+        assert sums[0] == sums[1] == sums[2]
+
+
 def test_training_order_query_returns_the_ids(spark, tiny, documents):
     records = sorted(llm.op1_training_order(spark, tiny).collect(), key=lambda r: r["number"])
     assert all(len(r["ids"]) == r["length"] and r["ids"].count(training_order.CLOSE) == r["n_closed"] for r in records)
