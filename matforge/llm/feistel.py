@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +101,25 @@ def permute_local(value: int, n: int, key: str, rounds: int = ROUNDS) -> int:
         value = left * b + right
         if value < n:
             return value
+
+
+def permute_array(values: np.ndarray, n: int, key: str, rounds: int = ROUNDS) -> np.ndarray:
+    """The same permutation over an array of int64, all in 0..n-1."""
+    out = values.astype(np.int64)
+    if n <= 1:
+        return out
+    a, b = grid(n)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = np.divmod(out[todo], b)
+        for i, (k0, k1, k2) in enumerate(round_keys(key, rounds)):
+            x = ((right if i % 2 == 0 else left) * k0 + k1) % PRIME
+            x = ((x ^ (x >> 15)) * k2) % PRIME
+            x ^= x >> 13
+            if i % 2 == 0:
+                left = (left + x) % a
+            else:
+                right = (right + x) % b
+        out[todo] = left * b + right
+        todo = todo[out[todo] >= n]
+    return out

@@ -58,3 +58,10 @@ def crc_mod(ids: pa.Array, modulus: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus for i in ids.to_pylist()], dtype=np.int64)
 
 
+
+
+def stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... (sizes[0] numbers), then the same for the next, and so on."""
+    sizes = np.asarray(sizes, dtype=np.int64)
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
