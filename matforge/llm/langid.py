@@ -16,19 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matforge.llm.vocabulary import MARK, byte_trie, default_path, pieces, zipf_scores
+from matforge.llm.vocabulary import MARK, byte_trie, default_path, longest_piece, pieces, zipf_scores
 from matforge.llm.words import chunks, crc_mod, utf8
 
 UNKNOWN = "und"
 #: Documents that a model is fitted on, at most about this many (chosen by a hash of their id in each language).
 TRAIN_DOCS = 20_000
+#: Languages at most; a model has a column for each.
+MOST_LANGUAGES = 2000
 #: Expected counts are summed as whole numbers of this unit, so that no order of addition matters.
 UNIT = 1 << 20
-#: Bytes of a word scored together; a longer word counts as several words in a row.
-PART = 60
-#: Words worked on together; bounds the forward table.
-BLOCK = 1 << 14
-SCALE = 256.0  # a forward value at byte j is held times SCALE^j, which keeps it inside a double
+#: Words worked on together at most, and what their arrays may hold: bytes of the words, numbers of the tables.
+BLOCK, CELLS, NUMBERS = 1 << 14, 1 << 23, 1 << 22
+#: A forward value at byte j is held times SCALE^j, and every RESCALE bytes times a power of two, which keeps it inside a double.
+SCALE, RESCALE = 256.0, 32
 
 
 @dataclass(frozen=True)
@@ -44,88 +45,116 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def marked_parts(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words with the word mark in front, long ones cut; and the word each part belongs to."""
-    mark = MARK.encode()
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        w = mark + w
-        for k in range(0, len(w), PART):
-            parts.append(w[k : k + PART])
-            owner.append(i)
-    return parts, np.array(owner, dtype=np.int64)
+class Walk:
+    """Marked words by falling length, and where the vocabulary's pieces fit in them."""
 
+    def __init__(self, words: list[bytes], vocabulary: str):
+        self.moves, self.ends = byte_trie(vocabulary)
+        self.single = pieces(vocabulary)[1]
+        self.reach = longest_piece(vocabulary)
+        self.lengths = np.array([len(w) for w in words], dtype=np.int64)
+        self.longest = int(self.lengths[0])
+        self.grid = np.zeros((len(words), self.longest), dtype=np.uint8)
+        self.grid[np.arange(self.longest) < self.lengths[:, None]] = np.frombuffer(b"".join(words), dtype=np.uint8)
 
-def matches(parts: list[bytes], vocabulary: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(start, length, rows, piece ids): every place where a piece or byte piece fits, by start and length.
+    def beyond(self, i: int) -> int:
+        """How many words, the first ones, have more than ``i`` bytes."""
+        return int(np.searchsorted(-self.lengths, -i, side="left"))
 
-    ``parts`` must be sorted by falling length, so the rows that reach a byte come first.
-    """
-    moves, ends = byte_trie(vocabulary)
-    single = pieces(vocabulary)[1]
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
-    longest = int(lengths[0]) if len(parts) else 0
-    grid = np.zeros((len(parts), longest), dtype=np.uint8)
-    inside = np.arange(longest) < lengths[:, None]
-    grid[inside] = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    alive = np.searchsorted(-lengths, -np.arange(longest), side="left")  # rows with more than i bytes
-    for i in range(longest):
-        rows = np.arange(alive[i])
-        yield i, 1, rows, single[grid[rows, i]]
+    def at(self, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, rows, piece ids) of the pieces and byte pieces that begin at byte ``i``, by length."""
+        rows = np.arange(self.beyond(i))
+        yield 1, rows, self.single[self.grid[rows, i]]
         node, step = np.zeros(len(rows), dtype=np.int32), 0
         while len(rows):
-            node = moves[node, grid[rows, i + step]]
+            node = self.moves[node, self.grid[rows, i + step]]
             step += 1
             fits = node > 0
             rows, node = rows[fits], node[fits]
-            piece = ends[node]
+            piece = self.ends[node]
             whole = piece >= 0
             if whole.any():
-                yield i, step, rows[whole], piece[whole]
-            if i + step >= longest:
-                break
-            on = lengths[rows] > i + step
+                yield step, rows[whole], piece[whole]
+            on = self.lengths[rows] > i + step
             rows, node = rows[on], node[on]
 
 
-def blocks(words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Blocks of the words' parts by falling length, their owners and their lengths."""
-    parts, owner = marked_parts(words)
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+def blocks(words: list[bytes], vocabulary: str, per_word: int, per_byte: int = 0) -> Iterator[tuple[np.ndarray, Walk]]:
+    """Blocks of the words, marked, by falling length: their places and the walk over them.
+
+    ``per_word`` and ``per_byte`` are the numbers that the caller's tables take for a word and for each of its bytes.
+    """
+    marked = [MARK.encode() + w for w in words]
+    lengths = np.array([len(w) for w in marked], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
-    for at in range(0, len(order), BLOCK):
-        own = order[at : at + BLOCK]
-        yield [parts[k] for k in own], owner[own], lengths[own]
+    at = 0
+    while at < len(order):
+        longest = int(lengths[order[at]])
+        size = max(1, min(BLOCK, CELLS // longest, NUMBERS // (per_word + per_byte * longest)))
+        own = order[at : at + size]
+        yield own, Walk([marked[k] for k in own], vocabulary)
+        at += size
 
 
 def log_likelihoods(words: list[bytes], probability: np.ndarray, vocabulary: str) -> np.ndarray:
-    """Natural log probability of each word in each language, over all segmentations."""
-    out = np.zeros((len(words), probability.shape[1]))
-    for parts, owner, lengths in blocks(words):
-        n = len(parts)
-        forward = np.zeros((int(lengths[0]) + 1, n, probability.shape[1]))
+    """Natural log probability of each word in each language, over all segmentations.
+
+    Only the forward values that a piece can still reach back to are held, so a word may be of any length.
+    """
+    languages, width = probability.shape[1], longest_piece(vocabulary) + 1
+    out = np.zeros((len(words), languages))
+    for own, walk in blocks(words, vocabulary, width * languages):
+        n = len(own)
+        forward, exponent = np.zeros((width, n, languages)), np.zeros((n, languages))
         forward[0] = 1.0
-        for i, length, rows, piece in matches(parts, vocabulary):
-            forward[i + length][rows] += forward[i][rows] * probability[piece] * SCALE**length
-        np.add.at(out, owner, np.log(forward[lengths, np.arange(n)]) - lengths[:, None] * np.log(SCALE))
+        for i in range(walk.longest + 1):
+            here = forward[i % width]
+            on, ended = walk.beyond(i), walk.beyond(i - 1)
+            out[own[on:ended]] = np.log(here[on:ended]) + exponent[on:ended] * np.log(2) - i * np.log(SCALE)
+            if not on:
+                break
+            if i and i % RESCALE == 0:
+                power = np.frexp(here[:on])[1]
+                forward[:, :on] = np.ldexp(forward[:, :on], -power)
+                exponent[:on] += power
+            for length, rows, piece in walk.at(i):
+                forward[(i + length) % width][rows] += here[rows] * probability[piece] * SCALE**length
+            here[:] = 0.0
     return out
 
 
 def expected_counts(words: list[bytes], weight: np.ndarray, probability: np.ndarray, vocabulary: str) -> np.ndarray:
     """Expected piece counts [piece, language] of weighted words [word, language], one E step."""
     out = np.zeros((len(probability), weight.shape[1]))
-    for parts, owner, lengths in blocks(words):
-        n, longest = len(parts), int(lengths[0])
-        forward, backward = np.zeros((longest + 1, n)), np.zeros((longest + 1, n))
-        forward[0], backward[lengths, np.arange(n)] = 1.0, 1.0
-        found = list(matches(parts, vocabulary))
-        for i, length, rows, piece in found:
-            forward[i + length][rows] += forward[i][rows] * probability[piece] * SCALE**length
-        total = forward[lengths, np.arange(n)]
-        for i, length, rows, piece in reversed(found):
-            gain = probability[piece] * SCALE**length * backward[i + length][rows]
-            backward[i][rows] += gain
-            np.add.at(out, piece, (forward[i][rows] * gain / total[rows])[:, None] * weight[owner[rows]])
+    width = longest_piece(vocabulary) + 1
+    for own, walk in blocks(words, vocabulary, 4, 3):
+        n = len(own)
+        forward, backward = np.zeros((walk.longest + 1, n)), np.zeros((walk.longest + 1, n))
+        # powers of two taken out: of the values that the next steps read, and of each forward value as it was left
+        taken, left, back = np.zeros(n, dtype=np.int64), np.zeros(forward.shape, dtype=np.int64), np.zeros(n, dtype=np.int64)
+
+        def rescale(values: np.ndarray, powers: np.ndarray, i: int, on: int) -> None:
+            power = np.frexp(values[i, :on])[1]
+            values[i : i + width, :on] = np.ldexp(values[i : i + width, :on], -power)
+            powers[:on] += power
+
+        forward[0], backward[walk.lengths, np.arange(n)] = 1.0, 1.0
+        for i in range(walk.longest):
+            on = walk.beyond(i)
+            if i and i % RESCALE == 0:
+                rescale(forward, taken, i, on)
+            left[i, :on] = taken[:on]
+            for length, rows, piece in walk.at(i):
+                forward[i + length][rows] += forward[i][rows] * probability[piece] * SCALE**length
+        total = forward[walk.lengths, np.arange(n)]
+        for i in range(walk.longest - 1, -1, -1):
+            for length, rows, piece in walk.at(i):
+                gain = probability[piece] * SCALE**length * backward[i + length][rows]
+                backward[i][rows] += gain
+                share = np.ldexp(forward[i][rows] * gain / total[rows], left[i][rows] + back[rows] - taken[rows])
+                np.add.at(out, piece, share[:, None] * weight[own[rows]])
+            if i and i % RESCALE == 0:
+                rescale(backward, back, i, walk.beyond(i))
     return out
 
 
@@ -153,7 +182,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0))
     hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    found = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("first")).collect()
+    found = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("first")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError("the language column holds more values than there are languages")
     sizes = {r["lang"]: r["n"] for r in found}
     languages = tuple(sorted(sizes))
     if not languages:
@@ -236,7 +267,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known with a posterior of ``least`` or more, with their own columns."""
+    """The rows whose language is known with a posterior of ``least`` or more, with their own columns.
+
+    Rows with null texts, or texts without a letter, go (``und``). Repeated rows are kept or dropped alike, null ids
+    do not matter, an empty table gives no rows.
+    """
     shared = _shared(df, model)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,12 +12,14 @@ Registers of weighted shingles find pairs by their probability Jaccard similarit
 holds a shingle more than once has a second set of bands, with all weights 1, for the Jaccard similarity of the
 sets. Without repeats both sets of bands are the same, so all texts are looked up in one table.
 
-Verification. Candidates are grouped by connectivity, groups are cut in blocks, and every pair of blocks is
-verified in one task: all pairwise intersections of shingle sets at once, as a product of incidence
-matrices. Two texts are linked if the Jaccard similarity of their shingle sets, or the probability Jaccard
-similarity of their weighted shingles, is 0.8 or more. A task sends a spanning set of its links only, so
-no group of copies is ever expanded into pairs, and nothing is capped. Classes are the components of
-the links. Equal word sequences are one text throughout and joined afterwards.
+Verification. The texts that agree on a band form a bucket, and its first text is the bucket's hub. First every text
+is verified against its hubs, in blocks of one hub and some texts, so a group of copies costs one
+comparison a text. Where texts of a bucket are then not joined with its hub, they are verified against all of the bucket
+in pairs of blocks: all pairwise intersections of shingle sets at once, as a product of incidence matrices. So
+every pair that meets in a band is verified or joined already. Two texts are linked if the Jaccard similarity of their
+shingle sets, or the probability Jaccard similarity of their weighted shingles, is 0.8 or more. A task sends a
+spanning set of its links only, so no group of copies is ever expanded into pairs, and nothing is capped. Classes are
+the components of the links. Equal word sequences are one text throughout and joined afterwards.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matforge.llm.components import components, forest
+from matforge.llm.numbering import running_totals
+from matforge.llm.selection import staying
 from matforge.llm.words import chunks, mix, utf8, word_hashes
 from matforge.runtime import materialise
 
@@ -38,10 +42,12 @@ SHINGLE = 5
 BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
 SIMILAR = 0.8
-#: Texts in a block; a task holds two blocks.
-BLOCK = 256
+#: Texts in a block that is verified against another, and against one hub.
+BLOCK, STAR = 256, 64
 #: Bytes of text in a block, on average, if its texts are long.
 BLOCK_BYTES = 2 << 20
+#: Candidates whose keys are broadcast to fetch their texts; more meet them in a shuffle.
+BROADCAST_KEYS = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -203,83 +209,142 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest string, bytes long, bands array<long>")
 
 
-def _verify(blocks: DataFrame) -> DataFrame:
-    """Links of every block pair; rows come sorted by (grp, lo, hi)."""
+def _verify(jobs: DataFrame) -> DataFrame:
+    """Links between the two sides of every job; rows (job, side, node, text) come sorted by job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        own = None
 
         def flush() -> pa.RecordBatch:
-            ids = np.array([h["doc_id"] for h in held], dtype=np.int64)
-            block = np.array([h["block"] for h in held])
+            nodes = np.array([h["node"] for h in held], dtype=np.int64)
+            side = np.array([h["side"] for h in held])
             key, text_of, weight = shingles([h["text"].encode() for h in held])
-            lo, hi = own[1], own[2]
-            a, b = links(key, text_of, weight, len(held), np.flatnonzero(block == lo), np.flatnonzero(block == hi))
+            a, b = links(key, text_of, weight, len(held), np.flatnonzero(side == 0), np.flatnonzero(side == 1))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
         for batch in batches:
             for row in batch.to_pylist():
-                mine = (row["grp"], row["lo"], row["hi"])
-                if held and mine != own:
+                if held and row["job"] != held[-1]["job"]:
                     yield flush()
-                own = mine
                 held.append(row)
         if held:
             yield flush()
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return jobs.mapInArrow(run, "a long, b long").filter("a <> b")
+
+
+def _deal(jobs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """Verify jobs (job, side, node) with the nodes' texts. Jobs are numbered, so they are dealt evenly."""
+    parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = jobs.join(texts, "node").repartitionById(parts, (F.col("job") % parts).cast("int")).sortWithinPartitions("job")
+    return materialise(_verify(dealt.select("job", "side", "node", "text")), name)
+
+
+def _blocks(n: str, bytes_: str, size: int) -> Column:
+    return F.greatest(F.ceil(F.col(n) / size), F.ceil(F.col(bytes_) / BLOCK_BYTES), F.lit(1)).cast("long")
+
+
+def _in_block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(blocks))
+
+
+def _star_links(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts and the hubs of their buckets."""
+    stars = materialise(hits.select("hub", "node").distinct().join(texts.select("node", "bytes"), "node"), "stars")
+    sizes = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    numbered, _ = running_totals(sizes.select("hub", _blocks("n", "bytes", STAR).alias("blocks")), ["hub"], "blocks", "first_job")
+    numbered = materialise(numbered, "star-jobs")
+    members = stars.join(numbered, "hub").select((F.col("first_job") + _in_block("blocks")).alias("job"), F.lit(1).alias("side"), "node")
+    job = F.explode(F.sequence(F.col("first_job"), F.col("first_job") + F.col("blocks") - 1)).alias("job")
+    hubs = numbered.select(job, F.lit(0).alias("side"), F.col("hub").alias("node"))
+    return _deal(members.unionByName(hubs), texts, "star-links")
+
+
+def _other_links(hits: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links inside buckets with texts that are not in their hub's component."""
+    own = classes.select("node", F.col("component").alias("own"))
+    hub = classes.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
+    placed = hits.join(own, "node", "left").join(hub, "hub", "left").join(texts.select("node", "bytes"), "node")
+    apart = F.coalesce("own", "node") != F.coalesce("of_hub", "hub")
+    placed = materialise(placed.select("band", "hub", "node", "bytes", apart.alias("apart")), "placed")
+    out_n, out_bytes = (F.sum(F.when(F.col("apart"), x).otherwise(0)) for x in (F.lit(1), F.col("bytes")))
+    buckets = placed.groupBy("band", "hub").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), out_n.alias("u"), out_bytes.alias("u_bytes"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    # bands whose buckets hold the same texts are verified once
+    buckets = buckets.filter("u > 0 AND n > 1").groupBy("hub", "n", "members").agg(F.min_by(F.struct("band", "bytes", "u", "u_bytes"), "band").alias("b")).select("n", "b.*")
+    buckets = buckets.select("band", _blocks("u", "u_bytes", BLOCK).alias("rows"), _blocks("n", "bytes", BLOCK).alias("columns"))
+    numbered, _ = running_totals(buckets.withColumn("jobs", F.col("rows") * F.col("columns")), ["band"], "jobs", "first_job")
+    members = materialise(placed.select("band", "node", "apart").join(numbered, "band"), "block-jobs")
+    row = members.filter("apart").withColumn("row", _in_block("rows"))
+    left = row.select(F.explode(F.expr("transform(sequence(0L, columns - 1), c -> first_job + row * columns + c)")).alias("job"), F.lit(0).alias("side"), "node")
+    column = members.withColumn("col", _in_block("columns"))
+    right = column.select(F.explode(F.expr("transform(sequence(0L, rows - 1), r -> first_job + r * columns + col)")).alias("job"), F.lit(1).alias("side"), "node")
+    return _deal(left.unionByName(right), texts, "block-links")
+
+
+def _words(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+
+
+def _digest(text: Column) -> Column:
+    """Names a word sequence; null if there is no word."""
+    words = _words(text)
+    return F.when(words != "", F.sha2(words.cast("binary"), 256))
+
+
+def _candidate_texts(df: DataFrame, firsts: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text, bytes) of all texts in some bucket."""
+    met = hits.select("node").unionByName(hits.select(F.col("hub").alias("node"))).distinct()
+    keys = materialise(firsts.join(met, "node").select("node", "rep_id", F.xxhash64("digest").alias("check"), "bytes"), "candidates")
+    texts = df.select(F.col(id_col).cast("long").alias("rep_id"), F.col(text_col).alias("text"))
+    few = keys.count() <= BROADCAST_KEYS
+    whole = texts.join(F.broadcast(keys) if few else keys, "rep_id").filter(F.xxhash64(_digest(F.col("text"))) == F.col("check"))
+    return materialise(whole.select("node", "text", "bytes"), "texts")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id (the least id of its class), rep_id, kept.
 
-    ``rep_id`` is the least id with the same word sequence. ``kept`` marks the document with the least id of each class.
-    Null, empty and blank texts have no shingle and no duplicate: each is a class of its own. Null ids
-    cannot be referred to: such rows are their own class (null) and kept. Rows that share an id are one
-    document: they fall in one class and are kept or dropped together. An empty table gives no rows.
-    Other columns are not read.
+    ``rep_id`` is the least id with the same word sequence. ``kept`` marks one document of each class: that of the least
+    id, and where this id has several texts in the class, the text with the least digest. Rows alike in id and word
+    sequence are one document, kept or dropped together; rows that share an id only are documents of their
+    own, so two classes can have the same class_id. Null, empty and blank texts have no shingle and no duplicate: each
+    is a class of its own. Null ids cannot be referred to: such rows are their own class (null) and kept. An
+    empty table gives no rows. Other columns are not read.
     """
-    words = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.when(words != "", F.sha2(words.cast("binary"), 256)).alias("digest"))
+    return _near_duplicates(df, id_col, text_col).drop("digest")
+
+
+def _near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _digest(F.col(text_col)).alias("digest"))
     sketched = materialise(_sketch(docs), "sketches")
     able = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    firsts = materialise(able.groupBy("digest").agg(F.min("doc_id").alias("rep_id")), "firsts")
-    rows = able.join(firsts, "digest")
-    members = materialise(rows.select("doc_id", "rep_id"), "members")
-    reps = rows.filter("doc_id = rep_id").select("doc_id", F.explode(F.array_distinct("bands")).alias("band"))
-    # first text of each band key: a star per bucket keeps all that meet there connected
-    hubs = reps.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub <> last")
-    hubs = materialise(hubs.select("band", "hub"), "hubs")
-    edges = reps.join(hubs, "band").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    groups = materialise(components(edges), "groups")
-    verified = _verified_links(df, groups, able.select(F.col("doc_id").alias("node"), "bytes"), id_col, text_col)
-    classes = components(verified).select(F.col("node").alias("rep_id"), F.col("component").alias("class_id"))
-    classed = members.join(classes, "rep_id", "left").select("doc_id", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"))
-    alone = sketched.filter("digest IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"))
-    out = classed.unionByName(alone)
-    return out.select("doc_id", "class_id", "rep_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
-
-
-def _verified_links(df: DataFrame, groups: DataFrame, bytes_of: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Spanning links inside every candidate group, block pair by block pair."""
-    sizes = groups.join(bytes_of, "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
-    large = materialise(sizes.select("component", blocks).filter("blocks > 1"), "large")
-    named = groups.join(large, "component", "left").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    named = named.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    whole = named.join(texts, "doc_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = whole.select("grp", "block", "doc_id", "text", other)
-    dealt = dealt.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "text")
-    dealt = dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
-    return materialise(_verify(dealt), "links")
+    firsts = able.groupBy("digest").agg(F.min(F.struct("doc_id", "bytes", "bands")).alias("f"))
+    # a number of its own for each distinct text, as ids may be shared
+    firsts = materialise(firsts.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("f.doc_id").alias("rep_id"), "f.bytes", "f.bands"), "firsts")
+    members = materialise(able.select("doc_id", "digest").join(firsts.select("digest", "node", "rep_id"), "digest"), "members")
+    bands = firsts.select("node", F.explode(F.array_distinct("bands")).alias("band"))
+    hubs = materialise(bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("band", "hub"), "hubs")
+    hits = materialise(bands.join(hubs, "band").filter("node <> hub"), "hits")
+    texts = _candidate_texts(df, firsts, hits, id_col, text_col)
+    found = _star_links(hits, texts)
+    joined = components(found)
+    more = _other_links(hits, joined, texts)
+    if not more.isEmpty():
+        joined = components(found.unionByName(more))
+    named = joined.join(firsts.select("node", "rep_id", "digest"), "node")
+    least = named.groupBy("component").agg(F.min(F.struct("rep_id", "digest", "node")).alias("least"))
+    classes = joined.join(least, "component").select("node", F.col("least.rep_id").alias("class_id"), F.col("least.node").alias("first"))
+    classed = members.join(classes, "node", "left")
+    classed = classed.select("doc_id", F.coalesce("class_id", "rep_id").alias("class_id"), "rep_id", (F.coalesce("first", "node") == F.col("node")).alias("text_stays"), "digest")
+    classed = classed.select("doc_id", "class_id", "rep_id", (F.col("text_stays") & (F.col("doc_id") == F.col("class_id"))).alias("kept"), "digest")
+    alone = sketched.filter("digest IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(True).alias("kept"), "digest")
+    return classed.unionByName(alone)
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their own columns: the one with the least id of each class."""
-    marks = near_duplicates(df.select(id_col, text_col), id_col, text_col)
-    dropped = materialise(marks.filter("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
-    return df.join(dropped, F.col(id_col).cast("long") == F.col("__dropped"), "left_anti")
+    """The rows of ``df`` that stay, with their own columns: those that :func:`near_duplicates` calls kept."""
+    key = F.coalesce(_digest(F.col(text_col)), F.lit(""))
+    marks = _near_duplicates(df.select(id_col, text_col), id_col, text_col)
+    marks = marks.groupBy("doc_id", F.coalesce("digest", F.lit("")).alias("key")).agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    return staying(df, materialise(marks, "marks"), id_col, key, once=False)

@@ -22,6 +22,8 @@ from matforge.runtime import materialise
 LENGTH = 1024
 #: Mean number of documents in a group; a group's task holds a few numbers per document.
 GROUP_DOCS = 1500
+#: Groups that a task packs one after the other, on average, and tasks at most.
+TASK_GROUPS, MOST_TASKS = 256, 20_000
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -75,6 +77,11 @@ def pack_group(group: int, doc_ids: list, tokens: list[int], crcs: list[list[int
     return out
 
 
+def tasks_for(groups: int, parallelism: int) -> int:
+    """Tasks for a number of groups: as many as can run at once, more for many groups, never more than ``MOST_TASKS``."""
+    return max(1, min(groups, MOST_TASKS, max(parallelism, -(-groups // TASK_GROUPS))))
+
+
 def tokenised(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """doc_id, token count and the checksum of each stretch of ``length`` ids."""
 
@@ -98,7 +105,8 @@ def pack(df: DataFrame, length: int = LENGTH, group_docs: int = GROUP_DOCS, id_c
     counts = materialise(tokenised(df, id_col, text_col, length).withColumn("place", F.monotonically_increasing_id()), "tokens")
     groups = max(1, -(-counts.count() // group_docs))
     dealt = counts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "place"), F.lit(groups)).cast("int"))
-    dealt = dealt.repartition(groups, "grp").sortWithinPartitions("grp", "doc_id", "tokens", "crcs", "place")
+    tasks = tasks_for(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartitionById(tasks, F.col("grp") % tasks).sortWithinPartitions("grp", "doc_id", "tokens", "crcs", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -52,7 +52,7 @@ RANGE_SHARDS, MOST_TASKS = 8, 20_000
 LEVEL = 6
 PIECE = np.dtype([("number", "<i8"), ("doc", "<i8"), ("begin", "<i8"), ("offset", "<i4"), ("count", "<i4")])
 MANIFEST_SCHEMA = "shard long, first_slot long, slots long, bytes long, crc32 long"
-RECORDS_SCHEMA = "slot long, shard long, byte_offset long, number long, doc_id long, start long, length int, ids array<int>"
+RECORDS_SCHEMA = "slot long, shard long, byte_offset long, number long, doc_id long, start long, length int, closed long, ids array<int>"
 
 
 @dataclass(frozen=True)
@@ -279,9 +279,9 @@ def write_training_order(df: DataFrame, path: str, key: str = "order-v1", length
 
 
 def read_training_order(spark: SparkSession, layout: Layout, first_slot: int = 0) -> DataFrame:
-    """The records in their slots, from ``first_slot`` on (to resume): slot, shard, byte_offset, number, doc_id, start, length, ids.
+    """The records in their slots, from ``first_slot`` on (to resume): slot, shard, byte_offset, number, doc_id, start, length, closed, ids.
 
-    Shards are dealt by number; a task streams its shards. A slot at or beyond the end gives no rows.
+    ``closed`` is the number of documents that end in the record. Shards are dealt by number; a task streams its shards. A slot at or beyond the end gives no rows.
     """
     first_shard = first_slot // layout.shard_slots
     if layout.shards <= first_shard:
@@ -309,9 +309,10 @@ def read_training_order(spark: SparkSession, layout: Layout, first_slot: int = 0
                                 pa.array(records["doc"].astype(np.int64), mask=records["doc"] == NO_ID),
                                 pa.array(records["begin"].astype(np.int64)),
                                 pa.array(count.astype(np.int32)),
+                                pa.array(np.count_nonzero((records["ids"] == CLOSE) & (np.arange(layout.length) < count[:, None]), axis=1)),
                                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                             ],
-                            ["slot", "shard", "byte_offset", "number", "doc_id", "start", "length", "ids"],
+                            ["slot", "shard", "byte_offset", "number", "doc_id", "start", "length", "closed", "ids"],
                         )
                         own += len(records)
 

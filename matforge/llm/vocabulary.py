@@ -58,3 +58,9 @@ def byte_trie(path: str) -> tuple[np.ndarray, np.ndarray]:
     keys = np.array(list(nodes), dtype=np.int64)
     moves[keys[:, 0], keys[:, 1]] = np.fromiter(nodes.values(), dtype=np.int32, count=len(nodes))
     return moves, np.array(ends, dtype=np.int64)
+
+
+@functools.lru_cache(maxsize=2)
+def longest_piece(path: str) -> int:
+    """Bytes of the longest piece."""
+    return max(len(t.encode()) for t in pieces(path)[0] if t is not None)

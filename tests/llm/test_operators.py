@@ -91,6 +91,32 @@ def test_exact_groups(odd, empty):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["0", "2", "3", "4", "6", "7", "8", "9", "50", "None"])
 
 
+def test_rows_that_share_an_id_stay_apart(spark):
+    rows = rows_of(["a b", "c d", "a  b", "c d", "e", "e", "f", None], [3, 7, 7, 7, None, None, 7, 7])
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(3, "a b"), (7, "c d"), (None, "e"), (7, "f"), (7, None)])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_index_says_which_batch_won(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    make = lambda texts, ids: spark.createDataFrame(rows_of(texts, ids), SCHEMA)
+    assert [r["kept"] for r in exact_dedup.dedup_exact(make(["n", "a"], [None, 5]), index, batch="first").collect()] == [True, True]
+    later = exact_dedup.dedup_exact(make(["n", "a", "a", "b"], [None, 5, 2, None]), index).collect()
+    assert sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["kept"]) for r in later) == [(-1, -1, False), (-1, -1, True), (2, 5, False), (5, 5, False)]
+    again = exact_dedup.dedup_exact(make(["n", "a"], [None, 5]), index, batch="first").collect()
+    assert all(r["kept"] for r in again), "a batch that is run again under its name is answered alike"
+    assert exact_dedup.drop_copies(make(["n", "a", "z"], [None, 5, 6]), index).count() == 1
+    before = sorted(map(tuple, index.table().collect()))
+    index.compact(buckets=5)
+    assert sorted(map(tuple, index.table().collect())) == before and exact_dedup.DigestIndex(spark, index.name, path=index.path).buckets == 5
+    assert len(index.table().inputFiles()) <= 5
+    index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
 def test_index_remembers_earlier_batches(spark):
     index = exact_dedup.DigestIndex(spark)
     first = exact_dedup.dedup_exact(spark.createDataFrame(rows_of(["a b", "c"], [10, 11]), SCHEMA), index).collect()
@@ -222,6 +248,7 @@ def test_near_classes_match_brute_force(spark, documents, monkeypatch):
     texts = [r["text"] for r in documents.orderBy("doc_id").collect()]
     texts += variants(1, 60) + variants(2, 5) + ["a b c", "a b c", "a b", None, "", " ", "z " * 300, "z " * 301, LONG, LONG + " tail"]
     monkeypatch.setattr(near_dup, "BLOCK", 16)  # so that the group of variants spans blocks
+    monkeypatch.setattr(near_dup, "STAR", 8)
     got = near_dup.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
     assert len(got) == len(texts)
     assert [r["class_id"] for r in sorted(got)] == slow_classes(texts)
@@ -236,13 +263,47 @@ def test_copies_with_repeated_lines_are_found(spark):
     assert [r["class_id"] for r in sorted(got)] == slow_classes(texts) == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8]
 
 
+def test_links_beside_the_hub_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "BROADCAST_KEYS", 0)
+    rng, texts = random.Random(8), []
+    passage = [f"p{i}" for i in range(150)]
+    for k in range(30):  # a passage that all share, and a tail that each two share: the pairs are near, the rest is not
+        tail = [f"t{k // 2}x{i}" for i in range(60)]
+        texts.append(" ".join(passage + tail + [f"own{k}x{rng.random()}"]))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+    assert [r["class_id"] for r in sorted(got)] == slow_classes(texts) == [k // 2 * 2 for k in range(30)]
+
+
+def test_texts_that_share_an_id(spark):
+    a, b, c = (variants(30 + k, 0)[0] for k in range(3))
+    rows = rows_of([a, a + " x", b, c, c, None, b], [3, 7, 7, 9, 9, 7, None])
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["doc_id"] or -1, r["class_id"] or -1, r["kept"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(-1, -1, True), (3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (9, 9, True), (9, 9, True)]
+    kept = near_dup.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(3, a), (7, b), (7, None), (9, c), (9, c), (None, b)])
+
+
+def test_recall_of_near_pairs(spark, small):
+    """Every pair that brute force links ends in one class, on whole texts."""
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    got = [r["class_id"] for r in sorted(near_dup.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect())]
+    want = slow_classes(texts)
+    near = [i for i, x in enumerate(want) if x != i]
+    assert len(near) > 50 and sum(got[i] == want[i] for i in near) >= 0.99 * len(near)
+    assert all(want[i] == want[x] for i, x in enumerate(got))
+
+
 def test_near_copies_odd_rows(odd, empty):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == 15 and near_dup.near_duplicates(empty).count() == 0
     by = {r["doc_id"]: r for r in got}
     assert by[5]["class_id"] == 4 and not by[5]["kept"] and by[0]["kept"] and by[1]["class_id"] == 1
     assert all(r["kept"] for r in got if r["doc_id"] is None)
-    assert near_dup.keep_one_of_each(odd).columns == odd.columns
+    kept = near_dup.keep_one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == 14 and near_dup.keep_one_of_each(empty).count() == 0
 
 
 def test_signatures_estimate_probability_jaccard():
@@ -436,24 +497,48 @@ def test_forward_sums_all_segmentations():
     probability = rng.random((len(texts), 2)) / len(texts)
 
     def total(word, lang):
-        sums = [1.0] + [0.0] * len(word)
+        logs = [0.0] + [-math.inf] * len(word)
         for j in range(1, len(word) + 1):
-            for i in range(j):
-                if word[i:j] in known:
-                    sums[j] += sums[i] * probability[known[word[i:j]], lang]
-            sums[j] += sums[j - 1] * probability[single[word[j - 1]], lang]
-        return math.log(sums[-1])
-
-    words = [b"the", "été".encode(), b"a", b"thenation", "漢".encode()]
+            ways = [logs[i] + math.log(probability[known[word[i:j]], lang]) for i in range(max(0, j - 60), j) if word[i:j] in known]
+            ways.append(logs[j - 1] + math.log(probability[single[word[j - 1]], lang]))
+            logs[j] = np.logaddexp.reduce(ways)
+        return logs[-1]
+
+    rng = random.Random(5)
+    long = ["".join(rng.choice("abcdefghijklmnopé漢") for _ in range(n)).encode() for n in (33, 70, 300, 2000)]
+    words = [b"the", "été".encode(), b"a", b"thenation", "漢".encode(), *long]
     got = langid.log_likelihoods(words, probability, path)
     for k, w in enumerate(words):
         assert got[k] == pytest.approx([total("▁".encode() + w, lang) for lang in (0, 1)])
-    counts = langid.expected_counts(words, np.ones((5, 2)), probability[:, 0], path)
+    counts = langid.expected_counts(words, np.ones((len(words), 2)), probability[:, 0], path)
     spelt = sum(counts[i, 0] * (1 if t is None else len(t.encode())) for i, t in enumerate(texts))
     assert spelt == pytest.approx(sum(len("▁".encode() + w) for w in words))
     assert byte_trie(path)[1].max() < len(texts)
 
 
+def test_expected_counts_match_brute_force():
+    texts, single = pieces(default_path())
+    known = {t.encode(): i for i, t in enumerate(texts) if t is not None}
+    probability = np.random.default_rng(1).random(len(texts)) / 50
+    rng = random.Random(6)
+    for n in (3, 40, 150):
+        word = ("▁" + "".join(rng.choice("thenasio") for _ in range(n))).encode()
+        ways = [[(j - 1, single[word[j - 1]])] + [(i, known[word[i:j]]) for i in range(j) if word[i:j] in known] for j in range(1, len(word) + 1)]
+        front = [1.0] + [0.0] * len(word)
+        for j, own in enumerate(ways, 1):
+            front[j] = sum(front[i] * probability[p] for i, p in own)
+        back = [0.0] * len(word) + [1.0]
+        for j in range(len(word), 0, -1):
+            for i, p in ways[j - 1]:
+                back[i] += probability[p] * back[j]
+        want = np.zeros(len(texts))
+        for j, own in enumerate(ways, 1):
+            for i, p in own:
+                want[p] += front[i] * probability[p] * back[j] / front[-1]
+        got = langid.expected_counts([word[3:], b"other"], np.array([[1.0], [0.0]]), probability, default_path())
+        assert np.allclose(got[:, 0], want, rtol=1e-9, atol=1e-12)
+
+
 def test_language_accuracy_on_held_out(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = langid.identify(docs, langid.fit(docs)).join(docs, "doc_id").filter("held_out").collect()
@@ -524,6 +609,10 @@ def check_packing(pieces_, docs):
     return sum(len(x) for x in ids.values()) / (len(by_sequence) * packing.LENGTH)
 
 
+def test_tasks_stay_bounded():
+    assert [packing.tasks_for(n, 8) for n in (1, 5, 100, 10_000, 10_000_000, 10**9)] == [1, 5, 8, 40, 20_000, 20_000]
+
+
 def test_packing_is_exact_and_tight(documents, odd, empty):
     assert check_packing(packing.pack(documents).collect(), documents.collect()) > 0.97
     assert check_packing(packing.pack(documents, group_docs=40).collect(), documents.collect()) > 0.9
