@@ -341,98 +341,119 @@ def test_components_of_a_long_chain(spark, monkeypatch):
 # --- language model
 
 
-def slow_ppm(text, counts, classes, other, words, n):
-    """Score from nested context counts by definition."""
-    raw, _ = ppm.stream([text])
-    sym = [ppm.END] * ppm.ORDER + (ppm.symbols([text], classes)[0] % ppm.CLASSES).tolist()
-    inside, words = classes == ppm.OTHER, dict(words)
-    words = defaultdict(int, words)
-    size = len(words)
-    tokens_, spelt, total = iter([*text.split(), None]), 0.0, 0.0
-    for at in range(ppm.ORDER, len(sym)):
+def contexts_of(token, at):
+    last = (b"  " + token[:at])[-2:]
+    return [("word", token[:at]), last, last[1:], b""]
+
+
+def slow_ppm(token, seen):
+    """log10 probability of a token from context counts, by definition."""
+    total = 0.0
+    for at, symbol in enumerate(token):
         excluded, chance = set(), 1.0
-        for k in range(ppm.ORDER, -1, -1):
-            node = {s: c for s, c in counts[tuple(sym[at - k : at])].items() if s not in excluded}
-            below = ppm.CLASSES - len(excluded) - len(node)
-            m, d = sum(node.values()), len(node)
-            if sym[at] in node:
-                chance *= (node[sym[at]] - (0.5 if below else 0)) / m
+        for context in contexts_of(token, at):
+            node = {s: c for s, c in seen[context].items() if s not in excluded}
+            n, kinds = sum(node.values()), len(node)
+            off = (ppm.CERTAIN if kinds == 1 else ppm.DISCOUNT) if len(excluded) + kinds < 256 else 0
+            if symbol in node:
+                chance *= (node[symbol] - off) / n
                 break
-            if d:
-                chance *= 0.5 * d / m
+            if kinds:
+                chance *= off * kinds / n
                 excluded |= node.keys()
         else:
-            chance /= ppm.CLASSES - len(excluded)
-        if sym[at] == ppm.OTHER:
-            chance *= (other[raw[at - ppm.ORDER]] + 1) / ((other + 1) * inside).sum()
-        spelt += math.log10(chance)
-        if sym[at] in (ppm.END, ppm.SPACE):
-            total += math.log10(0.5 * (words[next(tokens_)] + 0.1) / (n + 0.1 * (size + 1)) + 0.5 * 10**spelt)
-            spelt = 0.0
-    assert next(tokens_, "none left") == "none left"
+            chance /= 256 - len(excluded)
+        total += math.log10(chance)
     return total
 
 
-@pytest.mark.parametrize("deepest", [1 << 24, 10])
-def test_scores_match_brute_force(spark, monkeypatch, deepest):
-    monkeypatch.setattr(ppm, "DEEPEST_RUNS", deepest)
-    texts = ["The cat sat on the mat.", "the DOG sat, été", None, "", "a a a b c", "unseen ωords here", "cat cat mat the"] * 6
-    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+def trained_contexts(tokens_):
+    seen = defaultdict(Counter)
+    for token, n in tokens_.items():
+        for at, symbol in enumerate(token):
+            for context in contexts_of(token, at):
+                seen[context][symbol] += n
+    return seen
+
+
+PPM_TEXTS = ["The cat sat on the mat.", "the DOG sat, été", None, "", "a a a b c", "unseen ωords here \x01 x\x01y", "cat cat mat the catalogue", "z" * 300 + " " + "z" * 299 + "y"]
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 4])
+def test_scores_match_brute_force(spark, monkeypatch, stretch):
+    monkeypatch.setattr(ppm, "STRETCH_TOKENS", stretch)
+    texts = PPM_TEXTS * 6 + [f"only{i} cats ma{i}" for i in range(30)]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
     got = {r["doc_id"]: r for r in ppm.score_documents(df).collect()}
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
     lower = [(t or "").encode().lower() for t in texts]
-    words = Counter(w for t, h in zip(lower, held) if not h for w in [*t.split(), None])
+    words = Counter(w for t, h in zip(lower, held) if not h for w in ppm.words_of(t))
     n, v = sum(words.values()), len(words)
-    raw = np.zeros(256, dtype=np.int64)
-    for t, h in zip(lower, held):
-        if not h:
-            for b in b" ".join([*t.split(), b""]):
-                raw[b] += 1
-    classes = ppm.byte_classes(raw)
-    counts = defaultdict(Counter)
-    for t, h in zip(lower, held):
-        if not h:
-            sym = [ppm.END] * ppm.ORDER + (ppm.symbols([t], classes)[0] % ppm.CLASSES).tolist()
-            for at in range(ppm.ORDER, len(sym)):
-                for k in range(ppm.ORDER + (deepest > 10)):
-                    counts[tuple(sym[at - k : at])][sym[at]] += 1
+    seen = trained_contexts({ppm.spelt(w): c for w, c in words.items()})
     for i, t in enumerate(lower):
-        own = [*t.split(), None]
+        own = ppm.words_of(t)
         assert got[i]["held_out"] == held[i] and got[i]["n_tokens"] == len(own) and got[i]["train_tokens"] == n
         assert got[i]["n_known"] == sum(words[w] > 0 for w in own)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), abs=1e-6)
-        assert got[i]["score"] == pytest.approx(slow_ppm(t, counts, classes, np.where(classes == ppm.OTHER, raw, 0), words, n), rel=1e-4)
+        assert got[i]["score"] == pytest.approx(sum(slow_ppm(ppm.spelt(w), seen) for w in own), rel=1e-6)
+
+
+@given(st.dictionaries(st.binary(min_size=0, max_size=5).filter(lambda w: not w.split() or w.split()[0] == w and w), st.integers(0, 5), min_size=1, max_size=12), st.integers(0, 3))
+@settings(max_examples=40, deadline=None)
+def test_stretches_price_like_one_trie(words, cut):
+    words = {ppm.spelt(w or ppm.END): n for w, n in words.items()}
+    order = sorted(words)
+    seen = trained_contexts({t: n for t, n in words.items() if n})
+    tokens_, trained = ppm.Tokens(order), np.array([words[t] for t in order])
+    codes = tokens_.context * 256 + tokens_.flat
+    names, at = np.unique(codes, return_inverse=True)
+    n = np.bincount(at, weights=np.repeat(trained, tokens_.sizes))
+    short = ppm.short_contexts(names[n > 0], n[n > 0])
+    want = [slow_ppm(t, seen) for t in order]
+    assert ppm.token_costs(tokens_, trained, short) == pytest.approx(want, rel=1e-5)
+    cut = order[min(cut, len(order) - 1)]
+    k = order.index(cut)
+    common = {cut[:j]: {s: c for s, c in seen["word", cut[:j]].items() if c} for j in range(len(cut) + 1)}
+    for part, cuts in ((slice(0, k), (None, cut)), (slice(k, None), (cut, None))):
+        if order[part]:
+            assert ppm.token_costs(ppm.Tokens(order[part]), trained[part], short, cuts, common) == pytest.approx(want[part], rel=1e-5)
+
+
+def test_probabilities_sum_to_one():
+    tokens_ = Counter({ppm.spelt(w): n for w, n in {b"ab": 3, b"ac": 1, b"b": 2, ppm.END: 4}.items()})
+    seen = trained_contexts(tokens_)
+    for prefix in (b"", b"a", b"ab", b"abq", b"q"):
+        assert sum(10 ** (slow_ppm(prefix + bytes([s]), seen) - slow_ppm(prefix, seen)) for s in range(256)) == pytest.approx(1)
 
 
 def test_rare_words_meet_their_counts(spark, documents, monkeypatch):
     monkeypatch.setattr(ppm, "COMMON_SHARE", 1 / 50)
+    monkeypatch.setattr(ppm, "BUCKET_POSTINGS", 1000)
     few = {r["doc_id"]: r for r in ppm.score_documents(documents).collect()}
     monkeypatch.setattr(ppm, "COMMON_SHARE", 0.0)
     all_common = {r["doc_id"]: r for r in ppm.score_documents(documents).collect()}
     for i, r in few.items():
-        assert r["score"] == pytest.approx(all_common[i]["score"], rel=1e-6)
+        assert r["score"] == pytest.approx(all_common[i]["score"], rel=1e-9)
         assert r["n_known"] == all_common[i]["n_known"] and r["base_score"] == pytest.approx(all_common[i]["base_score"], abs=1e-6)
 
 
-def test_model_beats_word_frequencies(spark, small):
+def test_model_predicts_held_out_texts(spark, small):
     got = [r for r in ppm.score_documents(spark.read.parquet(f"{small}/documents.parquet")).collect() if r["held_out"]]
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
-
-
-def test_table_rows_sum_to_one():
-    rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, 64**5, 5000))
-    trie = ppm.Trie(codes, rng.integers(1, 9, len(codes)), ppm.byte_classes(np.ones(256, np.int64)), np.zeros(256, np.int64))
-    rows, table = ppm.log10_tables(trie)
-    table = 10.0 ** table.reshape(-1, 64).astype(float)
-    assert rows.max() == len(table) - 1
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
+    model, base, n = (sum(r[c] for r in got) for c in ("score", "base_score", "n_tokens"))
+    print(f"held out, log10 a token: PPM {model / n:.3f}, word frequencies {base / n:.3f}")
+    # word frequencies spend the share of all unseen words on each of them, so they sum to more than one
+    assert model > 1.08 * base
 
 
 def test_adaptive_mode_and_odd_rows(odd, empty):
-    assert ppm.adaptive_score(b"abcabcabcabc") > ppm.adaptive_score(b"abqczkxwvuts")
-    assert ppm.adaptive_score(None) == ppm.adaptive_score(b"")
-    assert ppm.score_documents(odd).count() == 15 and ppm.score_documents(empty).count() == 0
+    assert ppm.adaptive_score(b"abc abc abc abc") > ppm.adaptive_score(b"abq czk xwv uts")
+    assert ppm.adaptive_score(None) == ppm.adaptive_score(b"") == pytest.approx(-math.log10(256))
+    assert ppm.score_adaptively(odd).count() == 15 and ppm.score_adaptively(empty).count() == 0
+    got = sorted(ppm.score_documents(odd).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    assert len(got) == 15 and ppm.score_documents(empty).count() == 0
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["n_tokens"] == by[1]["n_tokens"] == by[2]["n_tokens"] == 1 and by[3]["n_tokens"] == 20_001 and by[0]["score"] == by[2]["score"]
+    assert len({r["score"] for r in got if r["doc_id"] == 50}) == 1
 
 
 # --- pieces
