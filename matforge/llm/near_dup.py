@@ -42,6 +42,8 @@ SHINGLE = 5
 BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
 SIMILAR = 0.8
+#: Bytes of text sketched together.
+STEP_BYTES = 4 << 20
 #: Texts in a block that is verified against another, and against one hub.
 BLOCK, STAR = 256, 64
 #: Bytes of text in a block, on average, if its texts are long.
@@ -99,7 +101,8 @@ def signatures(key: np.ndarray, text_of: np.ndarray, weight: np.ndarray, texts:
         owner[cell[first]] = key[active[first]]
         turn += 1
         if turn % 2 == 0 or turn < 4:
-            late = times.reshape(texts, registers).max(axis=1)
+            live = np.flatnonzero(np.bincount(text_of[active], minlength=texts))
+            late[live] = times.reshape(texts, registers)[live].max(axis=1)
             active = active[clock[active] < late[text_of[active]]]
     return owner.reshape(texts, registers)
 
@@ -197,7 +200,7 @@ def links(key: np.ndarray, text_of: np.ndarray, weight: np.ndarray, texts: int,
 
 def _sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text", 1 << 20):
+        for part in chunks(batches, "text", STEP_BYTES):
             texts = utf8(part.column("text"))
             key, text_of, weight = shingles(texts)
             bands, sizes = text_bands(key, text_of, weight, len(texts))
@@ -298,7 +301,9 @@ def _candidate_texts(df: DataFrame, firsts: DataFrame, hits: DataFrame, id_col:
     keys = materialise(firsts.join(met, "node").select("node", "rep_id", F.xxhash64("digest").alias("check"), "bytes"), "candidates")
     texts = df.select(F.col(id_col).cast("long").alias("rep_id"), F.col(text_col).alias("text"))
     few = keys.count() <= BROADCAST_KEYS
-    whole = texts.join(F.broadcast(keys) if few else keys, "rep_id").filter(F.xxhash64(_digest(F.col("text"))) == F.col("check"))
+    whole = texts.join(F.broadcast(keys) if few else keys, "rep_id")
+    # not as an equality, which would become a join key and be worked out for every text
+    whole = whole.filter(F.xxhash64(_digest(F.col("text"))).bitwiseXOR(F.col("check")) == 0)
     return materialise(whole.select("node", "text", "bytes"), "texts")
 
 
