@@ -54,8 +54,7 @@ def longest(d: Dialect, entries: dict[str, list[str]]) -> str:
     return f"split_part({d.largest(d.keep(forms, 'instr(pad, split_part(x, ' + T.quoted('|') + ', 4)) > 0'))}, '|', 3)"
 
 
-def keyword(listed: str) -> str:
-    pairs = [p.split("=") for p in listed.split(", ")]
+def keyword(pairs: tuple[tuple[str, str], ...]) -> str:
     return "CASE " + " ".join(f"WHEN instr(pad, ' {w} ') > 0 THEN '{v}'" for w, v in pairs) + " END"
 
 
@@ -117,8 +116,8 @@ def raw_attributes(d: Dialect) -> dict[str, str]:
         out[name] = keyword(words)
     turn = d.group("pad", "(?:^|[^A-Z0-9_])(45|90|180)(?:[^A-Z0-9_]|$)")
     out["fitType"] = f"CASE WHEN {keyword(D.KEYWORDS['fitType'])} IN ('ELBOW', 'BEND') THEN {keyword(D.KEYWORDS['fitType'])} || coalesce({turn}, '') ELSE {keyword(D.KEYWORDS['fitType'])} END"
-    out["grade"] = longest(d, {k: D.spellings(v) for k, v in D.GRADES.items()})
-    out["finish"] = longest(d, {k: D.spellings(v) for k, v in D.FINISHES.items()})
+    out["grade"] = longest(d, D.spellings(D.GRADES))
+    out["finish"] = longest(d, D.spellings(D.FINISHES))
     out["standard"] = longest(d, D.standards())
     return {k: out[k] for k in ATTRIBUTES}
 
@@ -135,7 +134,7 @@ def coded(d: Dialect, source: str, description: str = "raw_description", forced:
     users = {a: [s.code for s in D.SUBTYPES if a in s.dims + s.mats] for a in ATTRIBUTES}
     raw = ", ".join(f"{x} AS r_{a}" for a, x in raw_attributes(d).items())
     own = ", ".join(f"CASE WHEN subtype IN {T.in_list(['UNK', *users[a]])} THEN r_{a} END AS a_{a}" for a in ATTRIBUTES)
-    rank = "CASE " + " ".join(f"WHEN r_grade IN {T.in_list(v)} THEN '{k}'" for k, v in D.CORROSION.items()) + " END"
+    rank = lookup("r_grade", D.CORROSION)
     parts = lambda keys, by: f"concat_ws('{by}', {', '.join(f'a_{k}' for k in keys)})" if keys else "''"
     whole = by_subtype(lambda s: " AND ".join(f"a_{k} IS NOT NULL" for k in s.dims), "false")
     dims, mats = by_subtype(lambda s: parts(s.dims, "-"), "''"), by_subtype(lambda s: parts(s.mats, "-"), "''")
