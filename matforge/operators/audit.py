@@ -59,3 +59,13 @@ def verify(log: DataFrame, kept: DataFrame) -> DataFrame:
 def digest(log: DataFrame) -> DataFrame:
     """One row: the first twelve digits of the last hash, or GENESIS for an empty log."""
     return log.agg(F.expr(f"coalesce(substr(max_by(hash, seq), 1, 12), '{GENESIS}') AS digest"))
+
+
+def references(log: str, codes: str) -> str:
+    """SQL: (code, entries) of the known codes that entries' details name, as a value or in a list of values, once per entry.
+
+    ``log`` has entry and details (a JSON object), ``codes`` the column nmc_code.
+    """
+    values = "flatten(transform(map_values(from_json(details, 'MAP<STRING, STRING>')), v -> CASE WHEN v LIKE '[%' THEN coalesce(from_json(v, 'ARRAY<STRING>'), array(v)) ELSE array(v) END))"
+    named = f"SELECT DISTINCT entry, explode({values}) AS code FROM {log}"
+    return f"SELECT n.code, count(*) AS entries FROM ({named}) n JOIN {codes} c ON n.code = c.nmc_code GROUP BY n.code"

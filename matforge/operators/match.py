@@ -1,57 +1,126 @@
-"""Best match of each material against the earlier ones of its block, as joins and windows.
+"""Best match of each material against the earlier ones of its block, as joins over distinct texts.
 
-Per block, the first complete row of each code is its representative. Complete rows meet earlier
-representatives with the same dimensions on an equi-join; whatever involves an incomplete row meets
-through shared content tokens. A pair must reach a similarity of 0.6, hence share more than a fifth of its
-tokens, so a row looks up only its rarest four fifths of tokens: lossless, and the commonest words of a block
-never form a bucket.
+What two materials are to each other depends on their descriptions alone, so pairs are decided once per
+pair of distinct texts, however often item lists repeat them; a row then takes the best of its text's partners
+that appeared before it. Per block, the first complete row of each code is its representative; complete rows with
+a later place and the same code are its duplicates by an equi-join. Representatives meet earlier ones with the
+same dimensions on an equi-join; whatever involves an incomplete text meets through shared content words. Such a
+pair needs a similarity above 0.6, hence a Jaccard similarity above 0.2, so a text of n words looks up only its n - floor(n / 5)
+rarest ones, and only texts of up to five times as many words: lossless. A word that very many distinct texts of one block share
+is a hot key of that join of two written tables, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from matforge.functions.dialect import Dialect
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from matforge.functions.dialect import SPARK
 from matforge.operators.decide import GRAVITY, STRENGTH, decisions
+from matforge.operators.extract import ATTRIBUTES
+from matforge.operators.pointers import roots
+from matforge.runtime import materialise
+
+#: Columns of a text that the decision reads.
+COMPARED = ("raw_description", "block", "subtype", "complete", "dim_key", "nmc_code", "corrosion", "ctoks", "grams", "gram_norm", *(f"a_{a}" for a in ATTRIBUTES))
+#: What a mapping keeps of a material.
+CARRIED = ("ord", "cpse_id", "own_code", "raw_description", "uom", "quantity", "unit_price", "block", "subtype", "category", "canonical", "complete")
+#: Decides pairs: SQL over a relation of structs a and b, giving the columns of :func:`decide.decisions`.
+Decide = Callable[[str], str]
+
+
+def _view(df: DataFrame) -> str:
+    name = f"v_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def pool_texts(rows: DataFrame) -> DataFrame:
+    """One row per text that others are compared with: the compared columns, and the places of its first and last row.
+
+    Of complete texts only those of representatives take part, with the representative's place.
+    """
+    spark, m = rows.sparkSession, _view(rows)
+    reps = f"SELECT min_by(struct({', '.join(COMPARED)}), ord) AS t, min(ord) AS first_ord, min(ord) AS last_ord FROM {m} WHERE complete GROUP BY nmc_code"
+    open_ = f"SELECT any_value(struct({', '.join(COMPARED)})) AS t, min(ord) AS first_ord, max(ord) AS last_ord FROM {m} WHERE NOT complete GROUP BY raw_description"
+    return materialise(spark.sql(f"SELECT t.*, first_ord, last_ord FROM ({reps} UNION ALL {open_}) p"), "pool")
+
+
+def decided_pairs(pool: DataFrame, decide: Decide | None = None) -> DataFrame:
+    """Pairs of texts that are not distinct: a_text, verdict and so on, and the place and text of b's first row."""
+    spark, p = pool.sparkSession, _view(pool)
+    decide = decide or (lambda pairs: decisions(SPARK, pairs))
+    words = materialise(spark.sql(f"SELECT raw_description, block, complete, first_ord, last_ord, size(ctoks) AS n, explode(ctoks) AS word FROM {p}"), "words")
+    w = _view(words)
+    ranked = f"""SELECT w.*, row_number() OVER (PARTITION BY w.complete, w.raw_description ORDER BY uses, w.word) AS k
+FROM {w} w JOIN (SELECT block, word, count(*) AS uses FROM {w} GROUP BY block, word) u ON w.block = u.block AND w.word = u.word"""
+    rare = _view(materialise(spark.sql(f"SELECT * FROM ({ranked}) r WHERE k <= n - floor(n / 5)"), "rare-words"))
+    met = f"""
+SELECT x.raw_description AS a_text, y.raw_description AS b_text FROM {p} x JOIN {p} y ON x.block = y.block AND x.dim_key = y.dim_key AND y.first_ord < x.last_ord WHERE x.complete AND y.complete
+UNION ALL
+SELECT DISTINCT x.raw_description, y.raw_description FROM {rare} x JOIN {rare} y ON x.block = y.block AND x.word = y.word AND y.first_ord < x.last_ord
+WHERE NOT (x.complete AND y.complete) AND x.n <= 5 * y.n AND y.n <= 5 * x.n"""
+    met = _view(materialise(spark.sql(met), "met"))
+    pairs = f"(SELECT struct(a.*) AS a, struct(b.*) AS b FROM {met} t JOIN {p} a ON a.raw_description = t.a_text JOIN {p} b ON b.raw_description = t.b_text) pairs"
+    out = f"""
+SELECT a.raw_description AS a_text, a.complete AS a_complete, b.first_ord AS matched_ord, b.complete AS matched_complete, rule_no, verdict, confidence, stage, safety_risk, needs_review, reason
+FROM ({decide(pairs)}) d WHERE verdict <> 'distinct'"""
+    return materialise(spark.sql(out), "decided")
+
+
+def linked(rows: DataFrame, pool: DataFrame, decided: DataFrame) -> DataFrame:
+    """Each material with its best match and the decision on it."""
+    spark, m, p, d = rows.sparkSession, _view(rows), _view(pool), _view(decided)
+    order = f"{STRENGTH} DESC, confidence DESC, {GRAVITY}, CASE WHEN matched_complete THEN 0 ELSE 1 END, matched_ord"
+    # of a text's partners in order of merit only those that came before all better ones can ever be a row's best
+    front = f"""SELECT * FROM (SELECT *, min(matched_ord) OVER (PARTITION BY a_text ORDER BY merit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT *, row_number() OVER (PARTITION BY a_text ORDER BY {order}) AS merit FROM {d}) r) f WHERE before IS NULL OR matched_ord < before"""
+    asking = f"SELECT m.ord, m.raw_description FROM {m} m WHERE NOT complete UNION ALL SELECT first_ord, raw_description FROM {p} WHERE complete"
+    best = f"""SELECT ord, min_by(struct(matched_ord, rule_no, verdict, confidence, stage, safety_risk, needs_review, reason), merit) AS b
+FROM ({asking}) q JOIN ({front}) f ON q.raw_description = f.a_text AND f.matched_ord < q.ord GROUP BY ord"""
+    out = f"""
+SELECT {', '.join(f'r.{c}' for c in CARRIED)}, r.nmc_code AS own_nmc,
+  CASE WHEN copy THEN p.first_ord ELSE b.matched_ord END AS matched_ord, CASE WHEN copy THEN 1 ELSE b.rule_no END AS rule_no,
+  CASE WHEN copy THEN 'duplicate' ELSE coalesce(b.verdict, 'distinct') END AS verdict, CASE WHEN copy THEN 1.0D ELSE coalesce(b.confidence, 1.0D) END AS confidence,
+  CASE WHEN copy THEN 'rule' ELSE coalesce(b.stage, 'rule') END AS stage, CASE WHEN copy THEN 'LOW' ELSE b.safety_risk END AS safety_risk,
+  CASE WHEN copy THEN false ELSE coalesce(b.needs_review, false) END AS needs_review,
+  CASE WHEN copy THEN 'Identical canonical attributes' ELSE coalesce(b.reason, 'No match found in block') END AS reason
+FROM (SELECT {', '.join(CARRIED)}, nmc_code FROM {m}) r
+LEFT JOIN (SELECT nmc_code, first_ord FROM {p} WHERE complete) p ON r.complete AND r.nmc_code = p.nmc_code
+LEFT JOIN ({best}) e ON r.ord = e.ord
+CROSS JOIN LATERAL (SELECT r.complete AND r.ord <> p.first_ord AS copy) c"""
+    return materialise(spark.sql(out), "linked")
+
+
+def map_materials(rows: DataFrame, decide: Decide | None = None) -> DataFrame:
+    """The mapping of coded materials (a written table): match, decision, code in force (its root's own code) and status of each.
+
+    ``decide`` may replace the cascade. An empty table gives an empty mapping.
+    """
+    spark = rows.sparkSession
+    pool = pool_texts(rows)
+    found = linked(rows, pool, decided_pairs(pool, decide))
+    name = _view(found)
+    ends = _view(roots(spark.sql(f"SELECT ord, CASE WHEN verdict = 'duplicate' THEN matched_ord END AS up FROM {name}"), "ord", "up"))
+    out = f"""
+SELECT l.*, o.own_nmc AS nmc_code, p.own_nmc AS matched_nmc, CASE WHEN l.needs_review THEN 'pending-review' ELSE 'auto-issued' END AS status
+FROM {name} l JOIN {ends} r ON l.ord = r.ord JOIN (SELECT ord, own_nmc FROM {name}) o ON r.root = o.ord
+  LEFT JOIN {ends} q ON l.matched_ord = q.ord LEFT JOIN (SELECT ord, own_nmc FROM {name}) p ON q.root = p.ord"""
+    return materialise(spark.sql(out), "mapping")
+
 
+def comparisons(rows: str) -> str:
+    """SQL for the number of pair decisions of a run that compares row by row, from counts per block and dimension key.
 
-def candidate_ctes(d: Dialect, m: str) -> list[tuple[str, str]]:
-    """CTEs ranked, pool, pairs, decided over the lexical table ``m`` (coded rows with ord)."""
-    return [
-        ("ranked", f"SELECT *, complete AND row_number() OVER (PARTITION BY block, nmc_code, complete ORDER BY ord) = 1 AS is_rep, min(ord) OVER (PARTITION BY block, nmc_code, complete) AS rep_ord FROM {m}"),
-        ("pool", "SELECT * FROM ranked WHERE is_rep OR NOT complete"),
-        ("words", f"SELECT ord, block, complete, {d.size('ctoks')} AS n, {d.explode('ctoks')} AS word FROM pool"),
-        ("counted", "SELECT *, count(*) OVER (PARTITION BY block, word) AS uses FROM words"),
-        ("rare", "SELECT ord, block, complete, word FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY uses, word) AS k FROM counted) r WHERE k <= n - floor(n / 5)"),
-        ("text_pairs", "SELECT DISTINCT x.ord AS a_ord, y.ord AS b_ord FROM rare x JOIN rare y ON x.block = y.block AND x.word = y.word AND y.ord < x.ord WHERE NOT (x.complete AND y.complete)"),
-        ("rule_pairs", "SELECT x.ord AS a_ord, y.ord AS b_ord FROM pool x JOIN pool y ON x.block = y.block AND x.dim_key = y.dim_key AND y.ord < x.ord WHERE x.complete AND y.complete"),
-        ("met", "SELECT a_ord, b_ord FROM rule_pairs UNION ALL SELECT a_ord, b_ord FROM text_pairs"),
-        ("pairs", "SELECT a, b FROM met JOIN pool a ON a.ord = a_ord JOIN pool b ON b.ord = b_ord" if not d.spark else "SELECT struct(a.*) AS a, struct(b.*) AS b FROM met JOIN pool a ON a.ord = a_ord JOIN pool b ON b.ord = b_ord"),
-        ("decided", f"SELECT a.ord AS ord, b.ord AS matched_ord, b.complete AS matched_complete, rule_no, verdict, confidence, stage, safety_risk, needs_review, reason FROM ({decisions(d, 'pairs')}) d1"),
-        ("best", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY {STRENGTH} DESC, confidence DESC, {GRAVITY}, CASE WHEN matched_complete THEN 0 ELSE 1 END, matched_ord) AS k, count(*) OVER (PARTITION BY ord) AS comparable FROM decided WHERE verdict <> 'distinct') b1 WHERE k = 1"),
-        (
-            "linked",
-            """SELECT r.ord, r.cpse_id, r.own_code, r.raw_description, r.uom, r.quantity, r.unit_price, r.block, r.subtype, r.category, r.canonical, r.complete, r.nmc_code AS own_nmc,
-  CASE WHEN r.complete AND NOT r.is_rep THEN r.rep_ord ELSE b.matched_ord END AS matched_ord,
-  CASE WHEN r.complete AND NOT r.is_rep THEN 'duplicate' ELSE coalesce(b.verdict, 'distinct') END AS verdict,
-  CASE WHEN r.complete AND NOT r.is_rep THEN 1.0 ELSE coalesce(b.confidence, 1.0) END AS confidence,
-  CASE WHEN r.complete AND NOT r.is_rep THEN 'rule' ELSE coalesce(b.stage, 'rule') END AS stage,
-  CASE WHEN r.complete AND NOT r.is_rep THEN 'LOW' ELSE b.safety_risk END AS safety_risk,
-  CASE WHEN r.complete AND NOT r.is_rep THEN false ELSE coalesce(b.needs_review, false) END AS needs_review,
-  CASE WHEN r.complete AND NOT r.is_rep THEN 'Identical canonical attributes' ELSE coalesce(b.reason, 'No match found in block') END AS reason
-FROM ranked r LEFT JOIN best b ON r.ord = b.ord""",
-        ),
-        ("pointers", "SELECT ord, CASE WHEN verdict = 'duplicate' THEN matched_ord END AS up FROM linked"),
-    ]
-
-
-def mapping_select(roots: str) -> str:
-    """One row per material: code in force (its root's own code), decision and status. ``roots``: ord, root."""
-    return f"""
-SELECT l.ord, l.cpse_id, l.own_code, l.raw_description, l.uom, l.quantity, l.unit_price, l.block, l.subtype, l.category, l.canonical, l.complete, l.own_nmc, o.own_nmc AS nmc_code,
-  l.matched_ord, p.own_nmc AS matched_nmc, l.verdict, l.confidence, l.stage, l.safety_risk, l.needs_review, l.reason,
-  CASE WHEN l.needs_review THEN 'pending-review' ELSE 'auto-issued' END AS status
-FROM linked l JOIN {roots} r ON l.ord = r.ord JOIN linked o ON r.root = o.ord
-  LEFT JOIN {roots} q ON l.matched_ord = q.ord LEFT JOIN linked p ON q.root = p.ord"""
-
-
-#: Roots by recursion, for engines that tests compare with.
-RECURSIVE_ROOTS = "SELECT ord, ord AS root FROM pointers WHERE up IS NULL UNION ALL SELECT p.ord, r.root FROM pointers p JOIN roots r ON p.up = r.ord"
+    An incomplete row meets all earlier representatives and incomplete rows; a representative the earlier ones of its
+    dimensions and all earlier incomplete rows; any other complete row the representatives of its dimensions up to its own.
+    Of a representative and an incomplete row one is earlier, so they meet once.
+    """
+    codes = f"SELECT block, dim_key, nmc_code, min(ord) AS rep_ord, count(*) AS n FROM {rows} WHERE complete GROUP BY block, dim_key, nmc_code"
+    placed = f"SELECT *, row_number() OVER (PARTITION BY block, dim_key ORDER BY rep_ord) AS place FROM ({codes}) c"
+    per_block = f"SELECT block, count(*) AS reps, sum(place - 1) AS among_reps, sum((n - 1) * place) AS copies FROM ({placed}) p GROUP BY block"
+    open_ = f"SELECT block, count(*) AS n FROM {rows} WHERE NOT complete GROUP BY block"
+    return f"""SELECT CAST(coalesce(sum(coalesce(among_reps, 0) + coalesce(copies, 0) + coalesce(i.n, 0) * (coalesce(i.n, 0) - 1) / 2 + coalesce(reps, 0) * coalesce(i.n, 0)), 0) AS BIGINT) AS comparisons
+FROM ({per_block}) r FULL JOIN ({open_}) i ON r.block = i.block"""
