@@ -59,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node hooks to its least neighbour, the hooks are followed to their roots, and the
     edges are rewritten to roots; loops and repeats go. At least half of the nodes that still have an edge go per
     round. Tables are written between rounds; joins are plain shuffles of two written tables, so a hub's
-    rows can be split by adaptive execution.
+    rows can be split by adaptive execution. Loops and repeated edges change nothing; nulls are not allowed; no edge gives
+    no rows.
     """
     edges = materialise(contract_locally(edges.select("a", "b").filter("a <> b")), "edges")
     maps: list[DataFrame] = []

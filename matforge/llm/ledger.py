@@ -143,7 +143,7 @@ def ablation(book: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     """For each rule of a policy: texts that fail it, texts only it rejects, texts kept without it.
 
     The ledger is first reduced to its distinct bit patterns (at most 2^rules of them), and the
-    rest is arithmetic on those.
+    rest is arithmetic on those. Rows count whatever their id, repeated ones each; an empty ledger gives no rows.
     """
     patterns = book.groupBy(F.col("failed").bitwiseAND(F.lit(policy.mask)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
     bit = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << RULES.index(r)).cast("long").alias("bit")) for r in policy.rules]))
@@ -157,7 +157,11 @@ def ablation(book: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
 
 
 def keep_passing(df: DataFrame, policy: Policy = PRODUCTION, text_col: str = "text") -> DataFrame:
-    """The rows whose text the policy accepts, with their own columns. No shuffle, no added column."""
+    """The rows whose text the policy accepts, with their own columns. No shuffle, no added column.
+
+    Null texts measure as empty, so a policy with ``too_short`` drops them; ids do not matter; repeated rows are kept
+    or dropped alike; an empty table gives no rows.
+    """
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text_col):

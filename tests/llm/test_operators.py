@@ -174,16 +174,17 @@ def test_rules_leave_good_documents(spark, small):
 @given(st.text(alphabet="\\[]<>/sTURNé \n", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_escape_is_reversible(text):
-    formatted, at, length = chat_tree.format_turn("user", text)
+    formatted = "".join(chat_tree.turn_parts("user", text))
+    ids, at, length = chat_tree.turn_ids("user", text)
     assert chat_tree.unescape(chat_tree.escape(text)) == text
     assert [m[2] for m in chat_tree.TURN.finditer(formatted)] == [chat_tree.escape(text)]
     assert "[INST]" not in chat_tree.escape("[INST]") and "</s>" not in chat_tree.escape("</s>")
-    assert formatted[at : at + length] == chat_tree.escape(text)
+    assert tokens.fast().decode(ids) == formatted and tokens.fast().decode(ids[at : at + length]) == chat_tree.escape(text)
 
 
 def test_prefix_tree_shares_and_reads_back(spark):
     turns = [(c, t, r, x) for c in range(40) for t, (r, x) in enumerate([("system", "S"), ("user", "hello"), ("assistant", f"a{c % 3}"), ("user", None), ("assistant", "[x]")][: 2 + c % 4])]
-    turns += [(None, 0, None, None), (99, 0, "assistant", "twice"), (99, 0, "assistant", "twice"), (100, None, "user", "y" * 100_000)]
+    turns += [(None, 0, "user", "alone"), (None, 0, "user", "alone too"), (99, 0, "assistant", "twice"), (99, 0, "assistant", "twice"), (100, None, "user", "y" * 100_000)]
     random.Random(1).shuffle(turns)
     df = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, path string")
     segments = chat_tree.build_segments(df)
@@ -191,10 +192,16 @@ def test_prefix_tree_shares_and_reads_back(spark):
     shared = sum(len(s["nodes"]) for s in rows)
     assert shared < len(turns)
     for s in rows:
+        assert s["ids"] == [i for n in s["nodes"] for i in s["ids"][n["start"] : n["start"] + n["length"]]], "nodes lie one after the other"
         for node in s["nodes"]:
+            spelt = tokens.fast().decode(s["ids"][node["start"] : node["start"] + node["length"]])
+            assert chat_tree.TURN.fullmatch(spelt) and (node["loss_length"] > 0) <= spelt.startswith("[TURN assistant]")
             assert node["position"] == sum(i["end"] - i["start"] for i in node["attends"])
             assert all(i["end"] <= node["start"] for i in node["attends"])
-    got = {r["conv_id"]: r for r in chat_tree.read_back(segments).collect()}
+    back = chat_tree.read_back(segments).collect()
+    assert sorted(r["formatted_chars"] for r in back if r["conv_id"] is None) == [len("[TURN user]alone[/TURN]"), len("[TURN user]alone too[/TURN]")]
+    got = {r["conv_id"]: r for r in back if r["conv_id"] is not None}
+    turns = [t for t in turns if t[0] is not None]
     whole = defaultdict(list)
     for c, t, r, x in turns:
         whole[c].append((-1 if t is None else t, r or "", x or ""))
@@ -205,7 +212,7 @@ def test_prefix_tree_shares_and_reads_back(spark):
         assert got[c]["n_turns"] == len(parts) and got[c]["loss_chars"] == len(loss)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in parts).encode()).hexdigest()
         assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-        assert got[c]["formatted_chars"] == sum(len(chat_tree.format_turn(r, x)[0]) for _, r, x in parts)
+        assert got[c]["formatted_chars"] == sum(len("".join(chat_tree.turn_parts(r, x))) for _, r, x in parts)
     assert chat_tree.build_segments(df.limit(0)).count() == 0
 
 
