@@ -28,7 +28,7 @@ DECISIONS = """SELECT ord, CASE WHEN ord % 2 = 0 THEN 'confirmed' ELSE 'rejected
   1000 + ord AS audit_seq, '2024-01-' || CAST(10 + ord % 18 AS VARCHAR(9)) || 'T00:00:00.000Z' AS at FROM {m} WHERE ord % 7 <> 3"""
 #: Neighbouring materials as labelled pairs.
 PAIRS = """SELECT x.ord, CASE x.ord % 4 WHEN 0 THEN 'DUPLICATE' WHEN 1 THEN 'NOT_EQUIVALENT' WHEN 2 THEN 'SIMILAR' ELSE 'FUNCTIONALLY_EQUIVALENT' END AS truth, x.raw_description AS a_text, y.raw_description AS b_text
-FROM {m} x JOIN {m} y ON y.ord = x.ord + CASE WHEN x.ord % 3 = 0 THEN 29 ELSE 1 END"""
+FROM {m} x JOIN {m} y ON y.ord = x.ord + CASE x.ord % 3 WHEN 0 THEN 29 WHEN 1 THEN 13 ELSE 1 END"""
 LABEL = "CASE verdict WHEN 'duplicate' THEN 'DUPLICATE' WHEN 'functionally_equivalent' THEN 'FUNCTIONALLY_EQUIVALENT' WHEN 'similar' THEN 'SIMILAR' ELSE 'NOT_EQUIVALENT' END"
 LABELS = ("DUPLICATE", "FUNCTIONALLY_EQUIVALENT", "SIMILAR", "NOT_EQUIVALENT")
 

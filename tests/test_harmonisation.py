@@ -7,6 +7,8 @@ from matforge.functions import text as T
 from matforge.functions.dialect import DUCK, SPARK
 from matforge.operators.extract import ATTRIBUTES
 from matforge.operators.pointers import roots
+from matforge.operators import economics, match, review
+from matforge.plans import derived, oracles
 from matforge.plans import queries as Q
 from matforge.plans import views as V
 
@@ -67,12 +69,15 @@ def test_units(spark):
 
 
 def test_scenario_matches_the_published_accuracy(spark, small):
-    rows = {r["model"]: r for r in Q.build("metrics")(spark, small).collect()}
-    ours, text = rows["matcher"], rows["text baseline"]
-    assert (ours["tp"], ours["fp"], ours["fn"], ours["tn"]) == (8, 1, 1, 15) and ours["exact_class"] == 0.92
-    assert (ours["auto_merges"], ours["false_merges"], ours["false_merge_rate"], ours["reviewed"]) == (6, 1, 0.05, 7)
-    assert (text["tp"], text["fp"], text["fn"], text["tn"]) == (1, 3, 8, 13)
-    pairs = {r["pair_id"]: r for r in Q.build("scenario_decisions")(spark, small).collect()}
+    rows = Q.build("scenario_decisions")(spark, small).collect()
+    equivalent = lambda x: x in ("DUPLICATE", "FUNCTIONALLY_EQUIVALENT")
+    for label, cells in (("predicted", (8, 1, 1, 15)), ("baseline", (1, 3, 8, 13))):
+        found = [(r["truth"], r["predicted"] if label == "predicted" else "DUPLICATE" if r["similarity"] >= 0.8 else "NOT_EQUIVALENT") for r in rows]
+        assert tuple(sum((equivalent(t), equivalent(p)) == c for t, p in found) for c in ((True, True), (False, True), (True, False), (False, False))) == cells
+    assert sum(r["truth"] == r["predicted"] for r in rows) / 25 == 0.92 and sum(r["needs_review"] for r in rows) == 7
+    merged = [r for r in rows if r["predicted"] == "DUPLICATE" and not r["needs_review"]]
+    assert len(merged) == 6 and sum(r["truth"] != "DUPLICATE" for r in merged) == 1
+    pairs = {r["pair_id"]: r for r in rows}
     assert [pairs[f"P{k}"]["rule_no"] for k in (1, 9, 10, 13, 17, 20)] == [1, 3, 6, 2, 4, 12]
     assert round(pairs["P6"]["similarity"], 4) == 0.7533 and round(pairs["P23"]["similarity"], 4) == 0.804
 
@@ -92,30 +97,101 @@ def test_pointers_follow_chains_and_survive_cycles(spark):
     assert all(got[i] == 0 for i in range(20)) and {got[100], got[101]} <= {100, 101}
 
 
+def test_comparisons_are_those_of_a_run_row_by_row(spark):
+    nuts = [f"HEX NUT M{k} SS304 DIN934" for k in range(4, 20, 2)]
+    mixed = [*nuts, "HEX NUT M12 SS316", "HEX NUT ODD ONE", "HEX NUT M12 SS304 DIN934", "HEX NUT ODD TWO", "HEX NUT M12 BRASS", "HEX NUT ODD ONE"]
+    for texts, n in ((nuts, 0), (mixed, 1 + 9 + 1 + 10 + 4 + 12)):
+        m = V.named(V.code_materials(materials(spark, texts)))
+        assert spark.sql(match.comparisons(m)).first()["comparisons"] == n
+
+
+def test_repeated_texts_match_the_first_of_them(spark):
+    texts = ["MYSTERY WIDGET COOLING TOWER FAN ASSEMBLY SPARE KIT", "OTHER THING ALTOGETHER", "MYSTERY WIDGET COOLING TOWER FAN ASSEMBLY SPARE KIT Q", "MYSTERY WIDGET COOLING TOWER FAN ASSEMBLY SPARE KIT"]
+    got = {r["ord"]: r for r in V.map_materials(V.code_materials(materials(spark, texts * 2))).collect()}
+    assert [(got[k]["matched_ord"], got[k]["verdict"], got[k]["status"]) for k in range(8)] == [
+        (None, "distinct", "auto-issued"), (None, "distinct", "auto-issued"), (0, "duplicate", "pending-review"), (0, "duplicate", "pending-review"),
+        (0, "duplicate", "pending-review"), (1, "duplicate", "pending-review"), (2, "duplicate", "pending-review"), (0, "duplicate", "pending-review")]
+    assert got[2]["nmc_code"] == got[0]["own_nmc"] != got[2]["own_nmc"] and got[6]["nmc_code"] == got[0]["nmc_code"]
+
+
 def test_economics_golden(spark):
     rows = [(0, "ONGC", "O-1", "NOS", 100.0, 10.0, "HEX NUT M12 SS304 DIN934"), (1, "SAIL", "S-1", "EA", 50.0, 8.0, "Nut Hexagon M12 Stainless 304 DIN 934"), (2, "BHEL", "B-1", "NOS", 50.0, 9.0, "HEX NUT M12 SS304 DIN934")]
     m = V.named(V.code_materials(spark.createDataFrame(rows, "ord long, cpse_id string, own_code string, uom string, quantity double, unit_price double, raw_description string")))
-    (r,) = V.run(spark, [("m", f"SELECT * FROM {m}")], Q.economics_by_code(SPARK)).collect()
+    per_code = spark.sql(economics.by_code(SPARK, m))
+    (r,) = per_code.collect()
     assert (r["total_quantity"], r["uom"], r["value"], r["min_price"], r["max_price"], r["weighted_avg_price"], r["savings"], r["cpses"]) == (200, "EA", 1850, 8, 10, 9.25, 250, "BHEL|ONGC|SAIL")
-    (s,) = V.run(spark, [("m", f"SELECT * FROM {m}")], Q.economics_summary(SPARK)).collect()
+    (s,) = spark.sql(economics.summary(SPARK, m, V.named(per_code))).collect()
     assert (s["reduction_pct"], s["savings_pct"]) == (66.7, 13.5)
 
 
-@pytest.mark.parametrize("name", ["economics_by_code", "mapping", "supersession_resolve", "tokenize_documents", "graph_nodes", "item_files", "labelled_pairs", "audit_append", "audit_verify"])
-def test_queries_agree_with_their_oracles(spark, tiny, name):
+def fixed(spark, **made):
+    """Relations with some of them given."""
+    relations = derived.Relations(spark, "")
+    relations.made = {k: V.named(df) for k, df in made.items()}
+    return relations
+
+
+def test_superseded_codes_pool_under_the_code_in_force(spark):
+    rows = [(0, "ONGC", "O", "NOS", 10.0, 5.0, "A", "A", "A"), (1, "SAIL", "S", "EA", 20.0, 4.0, "B", "B", "B")]
+    mapping = spark.createDataFrame(rows, "ord long, cpse_id string, own_code string, uom string, quantity double, unit_price double, raw_description string, nmc_code string, own_nmc string")
+    ends = spark.createDataFrame([("A", "B"), ("B", "B")], "nmc_code string, root string")
+    (r,) = fixed(spark, mapping=mapping, ends=ends).by_code().collect()
+    assert (r["nmc_code"], r["legacy_codes"], r["total_quantity"], r["savings"]) == ("B", 2, 30, 10)
+
+
+def test_reviews(spark):
+    rows = [
+        (0, "ONGC", "O0", "first", "N0", "N0", "distinct", None, 1.0, None, None, "auto-issued"),
+        (1, "SAIL", "S1", "merged", "N0", "N1", "duplicate", "MEDIUM", 0.95, 0, "N0", "pending-review"),
+        (2, "BHEL", "B2", "same use", "N2", "N2", "functionally_equivalent", "LOW", 0.75, 0, "N0", "pending-review"),
+        (3, "GAIL", "G3", "same use too", "N2", "N2", "similar", "HIGH", 0.6, 0, "N0", "pending-review"),
+        (4, "NTPC", "T4", "risky", "N4", "N4", "similar", "HIGH", 0.6, 0, "N0", "pending-review"),
+    ]
+    mapping = spark.createDataFrame(rows, "ord long, cpse_id string, own_code string, raw_description string, nmc_code string, own_nmc string, verdict string, safety_risk string, confidence double, matched_ord long, matched_nmc string, status string").selectExpr("*", "'why' AS reason")
+    said = [(0, "confirmed", "R1", None, 1), (1, "rejected", "R1", None, 2), (2, "confirmed", "R2", None, 3), (3, "confirmed", " R1 ", "R3", 4), (4, "confirmed", "R1", "r1 ", 5)]
+    decisions = spark.createDataFrame(said, "ord long, outcome string, reviewer string, second_reviewer string, audit_seq long").selectExpr("*", "'t' AS at")
+    ends = spark.createDataFrame([("N0", "N9"), ("N1", "N1"), ("N2", "N2"), ("N4", "N4")], "nmc_code string, root string")
+    r = fixed(spark, mapping=mapping, decisions=decisions, ends=ends)
+    assert [x["refused"] for x in r.sql("SELECT refused FROM {checked} ORDER BY ord").collect()] == ["not pending", None, None, None, "second reviewer is the first"]
+    got = {x["ord"]: x for x in r.sql("SELECT * FROM {reviewed}").collect()}
+    assert (got[1]["nmc_code"], got[1]["original_nmc"], got[1]["status"], got[1]["current_code"]) == ("N1", "N0", "reviewed-rejected", None)
+    assert (got[0]["current_code"], got[2]["linked_nmc"], got[3]["reviewed_by"], got[4]["status"]) == ("N9", "N0", "R1; R3", "pending-review")
+    (link,) = r.sql("SELECT * FROM {links}").collect()
+    assert (link["link_id"], link["verdict"], link["cpses"], link["confirmed_by"], link["audit_seq"], link["n_members"]) == ("N0<->N2", "functionally_equivalent", "BHEL; ONGC; GAIL", "R2; R1; R3", 3, 3)
+    assert r.sql(review.members("{proof}")).count() == 3
+
+
+@pytest.fixture(scope="module")
+def duck(tiny):
     con = duckdb.connect()
     for t in Q.TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
-    df = Q.queries()[name](spark, tiny)
+    return con
+
+
+@pytest.fixture(scope="module")
+def relations(spark, tiny):
+    return derived.Relations(spark, tiny)
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_queries_agree_with_their_oracles(spark, tiny, duck, relations, name):
+    df = relations.sql(derived.BODIES[name]) if name in derived.BODIES else Q.queries()[name](spark, tiny)
     columns = sorted(df.columns)
     ours = sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect())))
-    relation = con.sql(Q.oracle_sql()[name])
+    relation = duck.sql(Q.oracle_sql()[name])
     order = [relation.columns.index(c) for c in columns]
     assert ours == sorted(map(repr, (tuple(r[i] for i in order) for r in relation.fetchall())))
 
 
-def test_supersession_rules(small):
+def test_the_tables_exercise_every_subtype_and_cascade_row(small):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW part AS SELECT * FROM '{small}/part.parquet'")
-    outcomes = {r[0].split(" by ")[0] for r in con.sql(f"SELECT DISTINCT outcome FROM ({Q.oracle('supersession_validate')})").fetchall()}
-    assert outcomes == {"ok", "itself", "reason", "unknown replacement", "already superseded", "cycle"}
+    ask = lambda body: {r[0] for r in con.sql(oracles.oracle("mapping").rsplit("SELECT * FROM (", 1)[0] + body).fetchall()}
+    assert len(ask("SELECT DISTINCT subtype FROM m")) == 17
+    assert ask("SELECT DISTINCT rule_no FROM evaluated UNION SELECT rule_no FROM ruled") == set(range(1, 13))
+    assert ask("SELECT DISTINCT safety_risk FROM mapping") == {None, "LOW", "MEDIUM", "HIGH"}
+    assert ask("SELECT count(*) FROM mapping WHERE nmc_code <> own_nmc").pop() > 10
+    outcomes = {x.split(" by ")[0] for x in ask(f"SELECT DISTINCT outcome FROM ({oracles.BODIES['supersession_validate']})")}
+    assert outcomes == {"ok", "itself", "reason", "unknown code", "unknown replacement", "already superseded", "cycle"}
+    assert {None, "not pending", "reviewer missing", "second reviewer missing"} <= ask("SELECT DISTINCT refused FROM checked")
