@@ -285,6 +285,21 @@ def _other_links(hits: DataFrame, classes: DataFrame, texts: DataFrame) -> DataF
     return _deal(left.unionByName(right), texts, "block-links")
 
 
+def _least_of_each(named: DataFrame) -> DataFrame:
+    """node and the least (rep_id, digest, node) of its component.
+
+    A component may hold a third of all texts, so its nodes are cut into shares by their hash: the least of a component
+    goes to its shares (one row each), and from a share to its nodes.
+    """
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = materialise(named.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")), "named")
+    shares = named.groupBy("component", "share").agg(F.min(F.struct("rep_id", "digest", "node")).alias("least"))
+    shares = materialise(shares, "shares")
+    whole = shares.groupBy("component").agg(F.min("least").alias("least"))
+    told = shares.select("component", "share").join(whole, "component")
+    return named.select("component", "share", "node").join(told, ["component", "share"]).select("node", "least")
+
+
 def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
 
@@ -338,8 +353,7 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not more.isEmpty():
         joined = components(found.unionByName(more))
     named = joined.join(firsts.select("node", "rep_id", "digest"), "node")
-    least = named.groupBy("component").agg(F.min(F.struct("rep_id", "digest", "node")).alias("least"))
-    classes = joined.join(least, "component").select("node", F.col("least.rep_id").alias("class_id"), F.col("least.node").alias("first"))
+    classes = _least_of_each(named).select("node", F.col("least.rep_id").alias("class_id"), F.col("least.node").alias("first"))
     classed = members.join(classes, "node", "left")
     classed = classed.select("doc_id", F.coalesce("class_id", "rep_id").alias("class_id"), "rep_id", (F.coalesce("first", "node") == F.col("node")).alias("text_stays"), "digest")
     classed = classed.select("doc_id", "class_id", "rep_id", (F.col("text_stays") & (F.col("doc_id") == F.col("class_id"))).alias("kept"), "digest")
