@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matforge.llm import chat_tree, exact_dedup, feistel, langid, ledger, near_dup, packing, ppm, sentencepiece_viterbi, sharding, training_order
+from matforge.llm import chat_tree, exact_dedup, feistel, langid, ledger, near_dup, packing, ppm, sentencepiece_viterbi, sharding, training_order, vector_codes
 from matforge.runtime import scratch_path
 
 
@@ -66,6 +66,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_training_order, op2_quality_ledger, op3_chat_tree, op4_feistel_shards, op5_probminhash, op6_digest_index, op7_ppm, op8_viterbi_pieces, op9_language, op10_pack, op2_rule_ablation, pipeline)
+    named = (op1_training_order, op2_quality_ledger, op3_chat_tree, op4_feistel_shards, op5_probminhash, op6_digest_index, op7_ppm, op8_viterbi_pieces, op9_language, op10_pack, op13_vector_codes, op2_rule_ablation, pipeline)
     return {q.__name__: q for q in named}
 
 
@@ -162,5 +166,24 @@ FROM numbered JOIN placed USING (row_no)
 """
 
 
+def _op13_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry, one pair of common table expressions a round."""
+    assign = "SELECT rid, p, arg_min(e, d * {n} + e) AS e, min(d) AS d FROM (SELECT rid, p, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts JOIN c{k} USING (p)) GROUP BY rid, p"
+    update = """SELECT c{k}.p, c{k}.e, coalesce(m.c, c{k}.c) AS c FROM c{k} LEFT JOIN (
+      SELECT p, e, list(q ORDER BY i) AS c FROM (SELECT p, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS q FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{k} JOIN parts USING (rid, p)) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e)"""
+    steps = "".join(f", a{k} AS ({assign.format(n=entries, k=k)}), c{k + 1} AS ({update.format(k=k)})" for k in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS rid FROM kept),
+parts AS (SELECT rid, p, x[p * (len(x) // {parts}) + 1:(p + 1) * (len(x) // {parts})] AS v FROM numbered, range({parts}) t(p)),
+c0 AS (SELECT p, rid AS e, v AS c FROM parts WHERE rid < {entries}){steps}, a AS ({assign.format(n=entries, k=rounds)}),
+coded AS (SELECT rid, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY rid),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN numbered USING (rid), book
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_feistel_shards": _op4_sql(), "op2_quality_ledger": OP2_SQL, "op2_rule_ablation": OP2_ABLATION_SQL, "op3_chat_tree": OP3_SQL, "op6_digest_index": OP6_SQL}
+    return {"op4_feistel_shards": _op4_sql(), "op2_quality_ledger": OP2_SQL, "op2_rule_ablation": OP2_ABLATION_SQL, "op3_chat_tree": OP3_SQL, "op6_digest_index": OP6_SQL, "op13_vector_codes": _op13_sql()}
