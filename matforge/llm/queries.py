@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matforge.llm import chat_tree, exact_dedup, feistel, langid, ledger, near_dup, packing, ppm, sentencepiece_viterbi, sharding, training_order, vector_codes
+from matforge.llm import chat_tree, exact_dedup, feistel, langid, ledger, near_dup, packing, ppm, ranked_search, sentencepiece_viterbi, sharding, training_order, vector_codes
 from matforge.runtime import scratch_path
 
 
@@ -66,6 +66,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_training_order, op2_quality_ledger, op3_chat_tree, op4_feistel_shards, op5_probminhash, op6_digest_index, op7_ppm, op8_viterbi_pieces, op9_language, op10_pack, op13_vector_codes, op2_rule_ablation, pipeline)
+    named = (op1_training_order, op2_quality_ledger, op3_chat_tree, op4_feistel_shards, op5_probminhash, op6_digest_index, op7_ppm, op8_viterbi_pieces, op9_language, op10_pack, op11_ranked_search, op13_vector_codes, op2_rule_ablation, pipeline)
     return {q.__name__: q for q in named}
 
 
@@ -166,6 +170,23 @@ FROM numbered JOIN placed USING (row_no)
 """
 
 
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_TERMS}, []) AS ws FROM documents),
+whole AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS total FROM d),
+cells AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM cells) GROUP BY rid, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), whole),
+scored AS (
+  SELECT item_id, rid, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ws) * n_docs) // total)))) AS BIGINT) AS score
+  FROM p JOIN w USING (term) JOIN cells USING (term) JOIN d USING (rid), whole GROUP BY item_id, rid
+), ranked AS (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INT) AS rank FROM scored JOIN d USING (rid) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def _op13_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     """Every part against every entry, one pair of common table expressions a round."""
     assign = "SELECT rid, p, arg_min(e, d * {n} + e) AS e, min(d) AS d FROM (SELECT rid, p, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts JOIN c{k} USING (p)) GROUP BY rid, p"
@@ -186,4 +207,4 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_feistel_shards": _op4_sql(), "op2_quality_ledger": OP2_SQL, "op2_rule_ablation": OP2_ABLATION_SQL, "op3_chat_tree": OP3_SQL, "op6_digest_index": OP6_SQL, "op13_vector_codes": _op13_sql()}
+    return {"op4_feistel_shards": _op4_sql(), "op2_quality_ledger": OP2_SQL, "op2_rule_ablation": OP2_ABLATION_SQL, "op3_chat_tree": OP3_SQL, "op6_digest_index": OP6_SQL, "op11_ranked_search": OP11_SQL, "op13_vector_codes": _op13_sql()}
