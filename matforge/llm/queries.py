@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matforge.llm import chat_tree, exact_dedup, feistel, langid, ledger, near_dup, packing, ppm, ranked_search, sentencepiece_viterbi, sharding, training_order, vector_codes
+from matforge.llm import chat_tree, exact_dedup, feistel, langid, ledger, main_text, near_dup, packing, ppm, ranked_search, sentencepiece_viterbi, sharding, training_order, vector_codes
 from matforge.runtime import scratch_path
 
 
@@ -70,6 +70,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_training_order, op2_quality_ledger, op3_chat_tree, op4_feistel_shards, op5_probminhash, op6_digest_index, op7_ppm, op8_viterbi_pieces, op9_language, op10_pack, op11_ranked_search, op13_vector_codes, op2_rule_ablation, pipeline)
+    named = (op1_training_order, op2_quality_ledger, op3_chat_tree, op4_feistel_shards, op5_probminhash, op6_digest_index, op7_ppm, op8_viterbi_pieces, op9_language, op10_pack, op11_ranked_search, op12_main_text, op13_vector_codes, op2_rule_ablation, pipeline)
     return {q.__name__: q for q in named}
 
 
