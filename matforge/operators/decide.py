@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from matforge.functions import text as T
 from matforge.functions.dialect import Dialect
 from matforge.operators import dictionary as D
 
 
 def lexical(d: Dialect, source: str) -> str:
-    """Adds what text similarity needs: distinct content tokens, character trigrams and their norm."""
+    """Adds what text similarity needs: distinct content tokens, character trigrams and their norm.
+
+    In Spark the trigrams also come as a set, with the numbers of those that occur more than once (``gram_more``), so that
+    a pair's product of counts is a set's size and a few corrections.
+    """
     grams = T.trigrams(d, "raw_description")
-    if d.spark:
-        norm = "aggregate(array_distinct(grams), 0L, (acc, g) -> acc + CAST(size(filter(grams, y -> y = g)) AS BIGINT) * size(filter(grams, y -> y = g)))"
-    else:
+    told = f"SELECT *, {d.distinct(T.content(d, 'toks'))} AS ctoks, {grams} AS grams FROM {source}"
+    if not d.spark:
         norm = "list_sum(list_transform(list_distinct(grams), lambda g: len(list_filter(grams, lambda y: y = g)) * len(list_filter(grams, lambda y: y = g))))"
-    return f"SELECT *, CAST({norm} AS DOUBLE) AS gram_norm FROM (SELECT *, {d.distinct(T.content(d, 'toks'))} AS ctoks, {grams} AS grams FROM {source}) l1"
+        return f"SELECT *, CAST({norm} AS DOUBLE) AS gram_norm FROM ({told}) l1"
+    runs = f"SELECT *, filter(transform(sorted, (g, i) -> i), i -> i = 0 OR get(sorted, i) <> get(sorted, i - 1)) AS begins FROM (SELECT *, array_sort(grams) AS sorted FROM ({told}) l1) l2"
+    counted = f"SELECT * EXCEPT (sorted, begins), transform(begins, (at, k) -> struct(get(sorted, at) AS g, CAST(coalesce(get(begins, k + 1), size(sorted)) - at AS BIGINT) AS n)) AS counts FROM ({runs}) l3"
+    return f"SELECT * EXCEPT (counts), transform(counts, x -> x.g) AS gram_set, filter(counts, x -> x.n > 1) AS gram_more, CAST(aggregate(counts, 0L, (acc, x) -> acc + x.n * x.n) AS DOUBLE) AS gram_norm FROM ({counted}) l4"
 
 
 def similarity(d: Dialect, a: str, b: str) -> str:
     """Half the Jaccard similarity of content tokens, half the cosine of character trigram counts."""
-    x, y = f"{a}.grams", f"{b}.grams"
     if d.spark:
-        dot = f"aggregate(array_intersect({x}, {y}), 0L, (acc, g) -> acc + CAST(size(filter({x}, v -> v = g)) AS BIGINT) * size(filter({y}, v -> v = g)))"
+        x, y = f"{a}.gram_set", f"{b}.gram_set"
+        times = f"coalesce(get(filter({b}.gram_more, f -> f.g = e.g), 0).n, 1L)"
+        more = f"aggregate(filter({a}.gram_more, e -> array_contains({y}, e.g)), 0L, (acc, e) -> acc + e.n * {times} - 1L)"
+        rest = f"aggregate(filter({b}.gram_more, e -> array_contains({x}, e.g) AND NOT exists({a}.gram_more, f -> f.g = e.g)), 0L, (acc, e) -> acc + e.n - 1L)"
+        dot = f"(size(array_intersect({x}, {y})) + {more} + {rest})"
     else:
+        x, y = f"{a}.grams", f"{b}.grams"
         dot = f"coalesce(list_sum(list_transform(list_intersect({x}, {y}), lambda g: len(list_filter({x}, lambda v: v = g)) * len(list_filter({y}, lambda v: v = g)))), 0)"
     return f"(0.5 * ({T.jaccard(d, f'{a}.ctoks', f'{b}.ctoks')}) + 0.5 * (CAST({dot} AS DOUBLE) / sqrt({a}.gram_norm * {b}.gram_norm)))"
 
@@ -56,30 +68,66 @@ SELECT *, (a.complete AND b.complete) AS whole,
 FROM {pairs}"""
 
 
-#: Condition, verdict, confidence, stage, risk, review and reason, in order; the first that holds decides.
+#: The reason of each row of the cascade; what stands in braces differs from pair to pair.
+REASONS = (
+    "Identical canonical attributes",
+    "Different {dims} — not interchangeable regardless of material grade",
+    "Same dimensions and material; standards {standard_a} / {standard_b} are dimensionally equivalent",
+    "Identical canonical attributes",
+    "Same {dims}, matching corrosion class ({class}) despite differing grade ({grade_a} vs {grade_b})",
+    "Same dimensions, differing grade ({grade_a} vs {grade_b}) with a {risk}-risk corrosion-class change on a {bearing} part",
+    "Same dimensions, differing material attributes; description similarity {percent}%",
+    "Same dimensions but materially and descriptively distinct",
+    "Numeric values in the descriptions disagree (likely different size/rating)",
+    "Unrecognized item type, but wording is near-identical",
+    "Unrecognized item type; description wording is substantially similar",
+    "No meaningful overlap",
+)
+#: Reasons of rows without a pair, and of the best of several.
+NO_MATCH, BEST_OF = "No match found in block", "Best of {n} comparable candidates in block"
+#: Condition, verdict, confidence, stage, risk and review, in order; the first that holds decides.
 CASCADE = (
-    ("whole AND a.nmc_code = b.nmc_code", "duplicate", "1.0", "rule", "'LOW'", False, "Identical canonical attributes"),
-    ("whole AND dims_differ", "distinct", "0.9", "rule", "NULL", False, "Different dimensions"),
-    ("whole AND hard_misses = 0 AND soft_standard", "similar", "0.85", "rule", "change_risk", True, "Same dimensions and material; equivalent standards"),
-    ("whole AND hard_misses = 0", "duplicate", "1.0", "rule", "'LOW'", False, "Identical canonical attributes"),
-    ("whole AND same_class", "functionally_equivalent", "0.75", "rule", "change_risk", True, "Same dimensions and corrosion class, differing grade"),
-    ("whole AND change_risk IN ('HIGH', 'MEDIUM')", "similar", "0.6", "rule", "change_risk", True, "Same dimensions, riskier corrosion class"),
-    ("whole AND sim > 0.7", "similar", "sim", "lexical", "change_risk", True, "Same dimensions, similar wording"),
-    ("whole", "distinct", "1 - sim", "lexical", "change_risk", False, "Same dimensions but materially and descriptively distinct"),
-    ("numbers_clash", "distinct", "0.7", "lexical", "NULL", False, "Numbers in the descriptions disagree"),
-    ("sim > 0.9", "duplicate", "sim", "lexical", "'MEDIUM'", True, "Wording is near-identical"),
-    ("sim > 0.6", "similar", "sim", "lexical", "'MEDIUM'", True, "Wording is substantially similar"),
-    ("true", "distinct", "1 - sim", "lexical", "NULL", False, "No meaningful overlap"),
+    ("whole AND a.nmc_code = b.nmc_code", "duplicate", "1.0", "rule", "'LOW'", False),
+    ("whole AND dims_differ", "distinct", "0.9", "rule", "NULL", False),
+    ("whole AND hard_misses = 0 AND soft_standard", "similar", "0.85", "rule", "change_risk", True),
+    ("whole AND hard_misses = 0", "duplicate", "1.0", "rule", "'LOW'", False),
+    ("whole AND same_class", "functionally_equivalent", "0.75", "rule", "change_risk", True),
+    ("whole AND change_risk IN ('HIGH', 'MEDIUM')", "similar", "0.6", "rule", "change_risk", True),
+    ("whole AND sim > 0.7", "similar", "sim", "lexical", "change_risk", True),
+    ("whole", "distinct", "1 - sim", "lexical", "change_risk", False),
+    ("numbers_clash", "distinct", "0.7", "lexical", "NULL", False),
+    ("sim > 0.9", "duplicate", "sim", "lexical", "'MEDIUM'", True),
+    ("sim > 0.6", "similar", "sim", "lexical", "'MEDIUM'", True),
+    ("true", "distinct", "1 - sim", "lexical", "NULL", False),
 )
 
 
+def filled(template: str, values: dict[str, str]) -> str:
+    """A template as SQL: its texts joined with the expressions of its braces."""
+    parts = re.split(r"{(\w+)}", template)
+    return " || ".join(values[x] if k % 2 else T.quoted(x) for k, x in enumerate(parts) if x)
+
+
+def _reason_values() -> dict[str, str]:
+    by_subtype = lambda value: "(CASE a.subtype " + " ".join(f"WHEN '{s.code}' THEN '{value(s)}'" for s in D.SUBTYPES) + " ELSE '' END)"
+    known = lambda x: f"coalesce({x}, '?')"
+    return {
+        "dims": by_subtype(lambda s: "/".join(s.dims)), "standard_a": known("a.a_standard"), "standard_b": known("b.a_standard"), "class": known("a.corrosion"), "grade_a": known("a.a_grade"), "grade_b": known("b.a_grade"),
+        "risk": "coalesce(lower(change_risk), '')", "bearing": by_subtype(lambda s: "pressure-bearing" if s.pressure_bearing else ""), "percent": "CAST(CAST(floor(sim * 100 + 0.5) AS BIGINT) AS VARCHAR(9))",
+    }
+
+
 def decisions(d: Dialect, pairs: str) -> str:
     """verdict, confidence, stage, risk, review, reason and the cascade row that decided, for structs a and b."""
-    case = lambda column: "CASE " + " ".join(f"WHEN {row[0]} THEN {column(k, row)}" for k, row in enumerate(CASCADE)) + " END"
+    pick = lambda column: "CASE rule_no " + " ".join(f"WHEN {k} THEN {column(r)}" for k, r in enumerate(CASCADE, 1)) + " END"
+    rule = "CASE " + " ".join(f"WHEN {row[0]} THEN {k}" for k, row in enumerate(CASCADE, 1)) + " END"
+    reason = "CASE rule_no " + " ".join(f"WHEN {k} THEN {filled(t, _reason_values())}" for k, t in enumerate(REASONS, 1)) + " END"
+    # a generator keeps the optimizer from writing out the rule's conditions again wherever rule_no is used
+    ruled = f"({facts(d, pairs)}) f1 LATERAL VIEW inline(array(struct({rule} AS rule_no))) f2" if d.spark else f"(SELECT *, {rule} AS rule_no FROM ({facts(d, pairs)}) f1) f2"
     return f"""
-SELECT a, b, sim, {case(lambda k, r: k + 1)} AS rule_no, {case(lambda k, r: f"'{r[1]}'")} AS verdict, {case(lambda k, r: f"CAST({r[2]} AS DOUBLE)")} AS confidence,
-  {case(lambda k, r: f"'{r[3]}'")} AS stage, {case(lambda k, r: r[4])} AS safety_risk, {case(lambda k, r: str(r[5]).lower())} AS needs_review, {case(lambda k, r: f"'{r[6]}'")} AS reason
-FROM ({facts(d, pairs)}) f1"""
+SELECT a, b, sim, rule_no, {pick(lambda r: f"'{r[1]}'")} AS verdict, {pick(lambda r: f"CAST({r[2]} AS DOUBLE)")} AS confidence,
+  {pick(lambda r: f"'{r[3]}'")} AS stage, {pick(lambda r: r[4])} AS safety_risk, {pick(lambda r: str(r[5]).lower())} AS needs_review, {reason} AS reason
+FROM {ruled}"""
 
 
 #: Strength of a verdict and gravity of a risk, for ranking candidates.

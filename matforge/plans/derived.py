@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matforge.functions.dialect import SPARK
 from matforge.operators import audit, economics, explain, match, review
+from matforge.operators.decide import BEST_OF, filled
 from matforge.operators.decide import decisions as decide
 from matforge.operators.pointers import roots
 from matforge.plans import views as V
@@ -87,7 +88,8 @@ class Relations:
 
     def log(self) -> DataFrame:
         """Entries of the audit log: one per issued code and one per accepted decision."""
-        issued = "to_json(named_struct('materialId', CAST(ord AS STRING), 'cpseId', cpse_id, 'ownCode', own_code, 'nmcCode', nmc_code, 'verdict', verdict, 'confidence', round(confidence, 3), 'stage', stage, 'safetyRisk', safety_risk, 'reasons', array(reason)))"
+        best = filled(BEST_OF, {"n": "CAST(n_comparable AS STRING)"})
+        issued = f"to_json(named_struct('materialId', CAST(ord AS STRING), 'cpseId', cpse_id, 'ownCode', own_code, 'nmcCode', nmc_code, 'verdict', verdict, 'confidence', round(confidence, 3), 'stage', stage, 'safetyRisk', safety_risk, 'reasons', CASE WHEN n_comparable > 1 THEN array(first_reason, {best}) ELSE array(first_reason) END))"
         decided = "to_json(named_struct('materialId', CAST(r.ord AS STRING), 'nmcCode', o.nmc_code, 'cpseId', r.cpse_id, 'verdict', r.verdict, 'safetyRisk', r.safety_risk, 'signers', a.signers, 'linkedNmcCode', r.linked_nmc, 'mergeReverted', a.outcome = 'rejected' AND r.verdict = 'duplicate'))"
         return self.sql(f"SELECT 2 * ord AS entry, 'code_issued_' || verdict AS action, {issued} AS details FROM {{mapping}} UNION ALL SELECT 2 * r.ord + 1, 'review_' || a.outcome, {decided} FROM {{reviewed}} r JOIN {{accepted}} a ON r.ord = a.ord JOIN {{mapping}} o ON r.ord = o.ord")
 

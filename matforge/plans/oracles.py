@@ -7,7 +7,10 @@ attributes, chains by recursion, links and roll-ups by windows.
 
 from __future__ import annotations
 
+import re
+
 from matforge.operators import dictionary as D
+from matforge.operators.decide import BEST_OF, NO_MATCH, REASONS
 from matforge.plans import derived
 from matforge.plans import views as V
 
@@ -25,6 +28,14 @@ PRESSURE = ", ".join(f"'{s.code}'" for s in D.SUBTYPES if s.pressure_bearing)
 WITH_STANDARD = ", ".join(f"'{s.code}'" for s in D.SUBTYPES if "standard" in s.mats)
 
 
+def _reason() -> str:
+    """The fixed reasons with their blanks filled."""
+    dims, part = (f"list_extract([{', '.join(repr(v) for v in vs)}], list_position([{', '.join(repr(s.code) for s in D.SUBTYPES)}], sub_a))" for vs in (["/".join(s.dims) for s in D.SUBTYPES], ["pressure-bearing" if s.pressure_bearing else "" for s in D.SUBTYPES]))
+    fill = {"dims": dims, "standard_a": "std_a", "standard_b": "std_b", "class": "class_a", "grade_a": "coalesce(grade_a, '?')", "grade_b": "coalesce(grade_b, '?')", "risk": "lower(step_risk)", "bearing": part, "percent": "CAST(floor(100 * sim + 0.5) AS INT)"}
+    blanks = lambda t: "concat(" + ", ".join(fill[x[1:-1]] if x[0] == "{" else f"'{x}'" for x in re.findall(r"{\w+}|[^{}]+", t)) + ")"
+    return "CASE rule_no " + " ".join(f"WHEN {k} THEN {blanks(t)}" for k, t in enumerate(REASONS, 1)) + " END"
+
+
 def _judged(pairs: str) -> str:
     """Decided pairs of texts; ``pairs`` gives a_text and b_text. One row per pair: rule, verdict, confidence, stage, risk, review, reason, sim."""
     return f"""
@@ -33,8 +44,7 @@ SELECT *, CASE rule_no WHEN 1 THEN 'duplicate' WHEN 2 THEN 'distinct' WHEN 3 THE
   CASE WHEN rule_no < 7 THEN 'rule' ELSE 'lexical' END AS stage,
   CASE WHEN rule_no IN (1, 4) THEN 'LOW' WHEN rule_no IN (3, 5, 6, 7, 8) THEN step_risk WHEN rule_no IN (10, 11) THEN 'MEDIUM' END AS safety_risk,
   rule_no IN (3, 5, 6, 7, 10, 11) AS needs_review,
-  ['Identical canonical attributes', 'Different dimensions', 'Same dimensions and material; equivalent standards', 'Identical canonical attributes', 'Same dimensions and corrosion class, differing grade', 'Same dimensions, riskier corrosion class',
-   'Same dimensions, similar wording', 'Same dimensions but materially and descriptively distinct', 'Numbers in the descriptions disagree', 'Wording is near-identical', 'Wording is substantially similar', 'No meaningful overlap'][rule_no] AS reason
+  {_reason()} AS reason
 FROM (SELECT *, CASE
     WHEN closed AND same_code THEN 1 WHEN closed AND dims_a <> dims_b THEN 2
     WHEN closed AND mats_a = mats_b AND std_a <> std_b AND interchangeable THEN 3 WHEN closed AND mats_a = mats_b AND std_a = std_b THEN 4
@@ -45,7 +55,7 @@ FROM (SELECT *, CASE
       x.mats AS mats_a, CASE x.subtype {" ".join(f"WHEN '{s.code}' THEN [{', '.join(f'coalesce(y.a_{k}, {chr(39) * 2})' for k in s.mats if k != 'standard')}]" for s in D.SUBTYPES)} ELSE [] END AS mats_b,
       CASE WHEN x.subtype IN ({WITH_STANDARD}) THEN coalesce(x.a_standard, '') ELSE '' END AS std_a, CASE WHEN x.subtype IN ({WITH_STANDARD}) THEN coalesce(y.a_standard, '') ELSE '' END AS std_b,
       EXISTS (SELECT 1 FROM interchange g JOIN interchange h ON g.k = h.k WHERE g.name = x.a_standard AND h.name = y.a_standard) AS interchangeable,
-      x.corrosion AS class_a, y.corrosion AS class_b, list_filter(x.ctoks, lambda w: regexp_matches(w, '[0-9]')) AS digits_a, list_filter(y.ctoks, lambda w: regexp_matches(w, '[0-9]')) AS digits_b,
+      x.corrosion AS class_a, y.corrosion AS class_b, x.subtype AS sub_a, x.a_grade AS grade_a, y.a_grade AS grade_b, list_filter(x.ctoks, lambda w: regexp_matches(w, '[0-9]')) AS digits_a, list_filter(y.ctoks, lambda w: regexp_matches(w, '[0-9]')) AS digits_b,
       CASE abs(x.severity - y.severity) WHEN 0 THEN 'LOW' WHEN 1 THEN CASE WHEN x.subtype IN ({PRESSURE}) THEN 'MEDIUM' ELSE 'LOW' END WHEN 2 THEN CASE WHEN x.subtype IN ({PRESSURE}) THEN 'HIGH' ELSE 'MEDIUM' END END AS step_risk,
       0.5 * CASE WHEN len(x.ctoks) = 0 OR len(y.ctoks) = 0 THEN 0 ELSE len(list_intersect(x.ctoks, y.ctoks)) / len(list_distinct(x.ctoks || y.ctoks)) END
         + 0.5 * coalesce(list_sum(list_transform(map_keys(x.hist), lambda g: CAST(x.hist[g] AS BIGINT) * coalesce(CAST(y.hist[g] AS BIGINT), 0))), 0) / sqrt(list_sum(list_transform(map_values(x.hist), lambda c: CAST(c AS DOUBLE) * c)) * list_sum(list_transform(map_values(y.hist), lambda c: CAST(c AS DOUBLE) * c))) AS sim
@@ -101,9 +111,11 @@ CTES: list[tuple[str, str]] = [
     ("seats", "SELECT ord, block, raw_description, complete, dim_key, nmc_code, min(ord) OVER (PARTITION BY block, nmc_code, complete) AS rep FROM m"),
     ("stage_pool", "SELECT * FROM seats WHERE NOT complete OR ord = rep"),
     ("facing", "SELECT x.ord AS a_ord, y.ord AS b_ord, x.raw_description AS a_text, y.raw_description AS b_text, y.complete AS b_complete FROM stage_pool x JOIN stage_pool y ON x.block = y.block AND y.ord < x.ord WHERE NOT (x.complete AND y.complete AND x.dim_key <> y.dim_key)"),
-    ("ruled", _judged("SELECT DISTINCT a_text, b_text FROM facing")),
+    ("echoes", "SELECT s.ord AS a_ord, s.raw_description AS a_text, y.raw_description AS b_text FROM seats s JOIN stage_pool y ON s.block = y.block AND y.complete AND y.dim_key = s.dim_key AND y.ord < s.rep WHERE s.complete AND s.ord <> s.rep"),
+    ("ruled", _judged("SELECT a_text, b_text FROM facing UNION SELECT a_text, b_text FROM echoes")),
+    ("tally", "SELECT ord, count(*) AS n FROM (SELECT a_ord AS ord, a_text, b_text FROM facing UNION ALL SELECT a_ord, a_text, b_text FROM echoes UNION ALL SELECT ord, NULL, NULL FROM seats WHERE complete AND ord <> rep) t LEFT JOIN ruled r USING (a_text, b_text) WHERE t.a_text IS NULL OR verdict <> 'distinct' GROUP BY ord"),
     ("ranked", "SELECT f.*, r.* EXCLUDE (a_text, b_text), row_number() OVER (PARTITION BY a_ord ORDER BY CASE verdict WHEN 'duplicate' THEN 1 WHEN 'functionally_equivalent' THEN 2 ELSE 3 END, confidence DESC, CASE safety_risk WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END, b_complete DESC, b_ord) AS k FROM facing f JOIN ruled r ON f.a_text = r.a_text AND f.b_text = r.b_text WHERE verdict <> 'distinct'"),
-    ("chosen", "SELECT s.ord, CASE WHEN s.complete AND s.ord <> s.rep THEN s.rep ELSE r.b_ord END AS matched_ord, CASE WHEN s.complete AND s.ord <> s.rep THEN 'duplicate' ELSE coalesce(r.verdict, 'distinct') END AS verdict, CASE WHEN s.complete AND s.ord <> s.rep THEN 1.0 ELSE coalesce(r.confidence, 1.0) END AS confidence, CASE WHEN s.complete AND s.ord <> s.rep THEN 'rule' ELSE coalesce(r.stage, 'rule') END AS stage, CASE WHEN s.complete AND s.ord <> s.rep THEN 'LOW' ELSE r.safety_risk END AS safety_risk, CASE WHEN s.complete AND s.ord <> s.rep THEN false ELSE coalesce(r.needs_review, false) END AS needs_review, CASE WHEN s.complete AND s.ord <> s.rep THEN 'Identical canonical attributes' ELSE coalesce(r.reason, 'No match found in block') END AS reason FROM seats s LEFT JOIN ranked r ON s.ord = r.a_ord AND r.k = 1"),
+    ("chosen", "SELECT s.ord, CASE WHEN s.complete AND s.ord <> s.rep THEN s.rep ELSE r.b_ord END AS matched_ord, CASE WHEN s.complete AND s.ord <> s.rep THEN 'duplicate' ELSE coalesce(r.verdict, 'distinct') END AS verdict, CASE WHEN s.complete AND s.ord <> s.rep THEN 1.0 ELSE coalesce(r.confidence, 1.0) END AS confidence, CASE WHEN s.complete AND s.ord <> s.rep THEN 'rule' ELSE coalesce(r.stage, 'rule') END AS stage, CASE WHEN s.complete AND s.ord <> s.rep THEN 'LOW' ELSE r.safety_risk END AS safety_risk, CASE WHEN s.complete AND s.ord <> s.rep THEN false ELSE coalesce(r.needs_review, false) END AS needs_review, CASE WHEN s.complete AND s.ord <> s.rep THEN '" + REASONS[0] + "' ELSE coalesce(r.reason, '" + NO_MATCH + "') END || CASE WHEN t.n > 1 THEN ' | ' || replace('" + BEST_OF + "', '{n}', CAST(t.n AS VARCHAR)) ELSE '' END AS reason FROM seats s LEFT JOIN ranked r ON s.ord = r.a_ord AND r.k = 1 LEFT JOIN tally t ON s.ord = t.ord"),
     ("climb(ord, top)", "SELECT ord, ord FROM chosen WHERE verdict <> 'duplicate' UNION ALL SELECT c.ord, b.top FROM chosen c JOIN climb b ON c.matched_ord = b.ord WHERE c.verdict = 'duplicate'"),
     ("mapping", "SELECT m.ord, m.cpse_id, m.own_code, m.raw_description, m.uom, m.quantity, m.unit_price, m.subtype, m.category, m.canonical, m.complete, m.nmc_code AS own_nmc, t.nmc_code, c.* EXCLUDE (ord), u.nmc_code AS matched_nmc, CASE WHEN c.needs_review THEN 'pending-review' ELSE 'auto-issued' END AS status FROM m JOIN chosen c ON m.ord = c.ord JOIN climb b ON m.ord = b.ord JOIN m t ON b.top = t.ord LEFT JOIN climb v ON c.matched_ord = v.ord LEFT JOIN m u ON v.top = u.ord"),
     ("chain", derived.CHAIN.format(m="m")),
