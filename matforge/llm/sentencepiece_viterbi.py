@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matforge.llm.vocabulary import MARK, byte_trie, default_path, pieces, zipf_scores
+from matforge.llm.vocabulary import MARK, WHOLE_BYTES, byte_trie, default_path, in_parts, occurrences, pieces, zipf_scores
 from matforge.llm.words import chunks
 
 #: A byte piece costs this much more than the rarest piece, so it is used only where nothing else fits.
@@ -143,18 +143,51 @@ def encode_sorted(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray
     return piece[order], np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words)))))
 
 
+def encode_overlapping(word: bytes, path: str) -> np.ndarray:
+    """Ids of the best segmentation of one long word in which pieces overlap all along: byte by byte over the pieces that occur."""
+    (score, byte_score), single, raw = scores(path), pieces(path)[1], np.frombuffer(word, dtype=np.uint8)
+    begin, length, piece = occurrences(raw, path)
+    first = np.searchsorted(begin, np.arange(len(raw) + 1)).tolist()
+    end, gain = (begin + length).tolist(), score[piece].tolist()
+    best, came = [-np.inf] * (len(raw) + 1), [-1] * (len(raw) + 1)
+    best[0] = 0.0
+    for i in range(len(raw)):
+        here = best[i]
+        for k in range(first[i], first[i + 1]):  # of equal sums the one that began first stays
+            if here + gain[k] > best[end[k]]:
+                best[end[k]], came[end[k]] = here + gain[k], k
+        if here + byte_score >= best[i + 1]:
+            best[i + 1], came[i + 1] = here + byte_score, -1
+    ids, at = [], len(raw)
+    while at:
+        k = came[at]
+        ids.append(int(single[raw[at - 1]]) if k < 0 else int(piece[k]))
+        at = at - 1 if k < 0 else int(begin[k])
+    return np.array(ids[::-1], dtype=np.int64)
+
+
 def encode_distinct(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`encode_sorted` for words in any order, those of like length together, so that arrays are well filled."""
-    classes = [max(WIDE, len(w) - 1).bit_length() for w in words]
+    """:func:`encode_sorted` for words in any order, those of like length together, so that arrays are well filled.
+
+    Long words are encoded in parts (see ``vocabulary.parts_of``), so the cost of a byte does not grow with its word.
+    """
+    parts, of = in_parts(words, path)
+    kinds, names = pd.factorize(np.array([*parts, None], dtype=object)[:-1])
+    classes = [max(WIDE, len(w) - 1).bit_length() for w in names]
     ids, sizes, order = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
     for size in sorted(set(classes)):
-        own = sorted((k for k, c in enumerate(classes) if c == size), key=words.__getitem__)
-        flat, ends = encode_sorted([words[k] for k in own], path)
+        own = sorted((k for k, c in enumerate(classes) if c == size), key=names.__getitem__)
+        if 1 << (size - 1) > 2 * WHOLE_BYTES:
+            found = [encode_overlapping(names[k], path) for k in own]
+            flat, ends = np.concatenate(found), np.cumsum([0, *map(len, found)])
+        else:
+            flat, ends = encode_sorted([names[k] for k in own], path)
         ids.append(flat)
         sizes.append(np.diff(ends))
         order += own
     by = np.argsort(np.array(order, dtype=np.int64), kind="stable")
-    return ragged(np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), by)
+    flat, ends = ragged(np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), by[kinds])
+    return flat, ends[np.searchsorted(of, np.arange(len(words) + 1))]
 
 
 def marked(text: str) -> list[str]:

@@ -64,3 +64,52 @@ def byte_trie(path: str) -> tuple[np.ndarray, np.ndarray]:
 def longest_piece(path: str) -> int:
     """Bytes of the longest piece."""
     return max(len(t.encode()) for t in pieces(path)[0] if t is not None)
+
+
+#: Words of up to this many bytes are searched as they are; longer ones are cut into parts of about this many where no piece is cut.
+WHOLE_BYTES = 256
+
+
+def occurrences(word: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, length, piece) of all pieces in a word's bytes, by begin and length; all begins are followed at once."""
+    moves, ends = byte_trie(path)
+    at, node, step, found = np.arange(len(word)), np.zeros(len(word), dtype=np.int32), 0, []
+    while len(at):
+        node = moves[node, word[at + step]]
+        step += 1
+        at, node = at[node > 0], node[node > 0]
+        whole = ends[node] >= 0
+        found.append((at[whole], np.full(int(whole.sum()), step), ends[node[whole]]))
+        on = at + step < len(word)
+        at, node = at[on], node[on]
+    begin, length, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+    by = np.lexsort((length, begin))
+    return begin[by], length[by], piece[by]
+
+
+def parts_of(word: bytes, path: str) -> list[bytes]:
+    """The word in parts of at least ``WHOLE_BYTES`` bytes, cut only where no piece that occurs in it reaches across.
+
+    Every segmentation of the word has its cuts there, so the best one of the word is that of its parts, and the sum over all
+    is the product of the parts' sums. A part may be longer, up to the whole word, if pieces overlap all along.
+    """
+    raw = np.frombuffer(word, dtype=np.uint8)
+    begin, length, _ = occurrences(raw, path)
+    across = np.zeros(len(raw) + 2, dtype=np.int64)
+    np.add.at(across, begin + 1, 1)
+    np.add.at(across, begin + length, -1)
+    free = np.flatnonzero(np.cumsum(across)[: len(raw)] == 0)
+    cuts, last = [0], 0
+    while last < len(raw):
+        k = int(np.searchsorted(free, last + WHOLE_BYTES))
+        if k == len(free):
+            break
+        last = int(free[k])
+        cuts.append(last)
+    return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
+
+
+def in_parts(words: list[bytes], path: str) -> tuple[list[bytes], np.ndarray]:
+    """Words with the long ones in their parts, and the place of the word that each belongs to."""
+    split = [[w] if len(w) <= 2 * WHOLE_BYTES else parts_of(w, path) for w in words]
+    return [p for ps in split for p in ps], np.repeat(np.arange(len(words)), [len(ps) for ps in split])
