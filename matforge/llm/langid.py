@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matforge.llm.vocabulary import MARK, byte_trie, default_path, longest_piece, pieces, zipf_scores
+from matforge.llm.vocabulary import MARK, byte_trie, default_path, in_parts, longest_piece, occurrences, pieces, zipf_scores
 from matforge.llm.words import chunks, crc_mod, utf8
 
 UNKNOWN = "und"
@@ -30,6 +30,8 @@ UNIT = 1 << 20
 BLOCK, CELLS, NUMBERS = 1 << 14, 1 << 23, 1 << 22
 #: A forward value at byte j is held times SCALE^j, and every RESCALE bytes times a power of two, which keeps it inside a double.
 SCALE, RESCALE = 256.0, 32
+#: A part of more bytes, in which pieces overlap all along, is summed by itself.
+OVERLAPPING = 1024
 
 
 @dataclass(frozen=True)
@@ -79,12 +81,11 @@ class Walk:
             rows, node = rows[on], node[on]
 
 
-def blocks(words: list[bytes], vocabulary: str, per_word: int, per_byte: int = 0) -> Iterator[tuple[np.ndarray, Walk]]:
-    """Blocks of the words, marked, by falling length: their places and the walk over them.
+def blocks(marked: list[bytes], vocabulary: str, per_word: int, per_byte: int = 0) -> Iterator[tuple[np.ndarray, Walk]]:
+    """Blocks of marked words by falling length: their places and the walk over them.
 
     ``per_word`` and ``per_byte`` are the numbers that the caller's tables take for a word and for each of its bytes.
     """
-    marked = [MARK.encode() + w for w in words]
     lengths = np.array([len(w) for w in marked], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     at = 0
@@ -99,11 +100,17 @@ def blocks(words: list[bytes], vocabulary: str, per_word: int, per_byte: int = 0
 def log_likelihoods(words: list[bytes], probability: np.ndarray, vocabulary: str) -> np.ndarray:
     """Natural log probability of each word in each language, over all segmentations.
 
-    Only the forward values that a piece can still reach back to are held, so a word may be of any length.
+    Only the forward values that a piece can still reach back to are held. Long words go in parts that no piece reaches across, whose
+    probabilities multiply; a part in which pieces overlap all along, by itself. So the cost of a byte does not grow with its word.
     """
     languages, width = probability.shape[1], longest_piece(vocabulary) + 1
-    out = np.zeros((len(words), languages))
-    for own, walk in blocks(words, vocabulary, width * languages):
+    parts, of = in_parts([MARK.encode() + w for w in words], vocabulary)
+    out = np.zeros((len(parts), languages))
+    short = [k for k, w in enumerate(parts) if len(w) <= OVERLAPPING]
+    for k in set(range(len(parts))) - set(short):
+        out[k] = overlapping_likelihood(parts[k], probability, vocabulary)
+    for own, walk in blocks([parts[k] for k in short], vocabulary, width * languages):
+        own = np.array(short)[own]
         n = len(own)
         forward, exponent = np.zeros((width, n, languages)), np.zeros((n, languages))
         forward[0] = 1.0
@@ -120,11 +127,42 @@ def log_likelihoods(words: list[bytes], probability: np.ndarray, vocabulary: str
             for length, rows, piece in walk.at(i):
                 forward[(i + length) % width][rows] += here[rows] * probability[piece] * SCALE**length
             here[:] = 0.0
+    return np.stack([np.bincount(of, weights=column, minlength=len(words)) for column in out.T], axis=1) if languages else np.zeros((len(words), 0))
+
+
+def overlapping_likelihood(word: bytes, probability: np.ndarray, vocabulary: str) -> np.ndarray:
+    """Natural log probability of one long word in each language, byte by byte over the pieces that occur in it."""
+    raw = np.frombuffer(word, dtype=np.uint8)
+    begin, length, piece = occurrences(raw, vocabulary)
+    begin, length, piece = (np.concatenate(x) for x in ((begin, np.arange(len(raw))), (length, np.ones(len(raw), np.int64)), (piece, pieces(vocabulary)[1][raw])))
+    by = np.argsort(begin, kind="stable")
+    first = np.searchsorted(begin[by], np.arange(len(raw) + 1)).tolist()
+    end, width = (begin + length)[by].tolist(), longest_piece(vocabulary) + 1
+    out = np.zeros(probability.shape[1])
+    for language in range(len(out)):
+        chance = (probability[piece[by], language] * SCALE ** length[by]).tolist()
+        forward, exponent = [0.0] * (len(raw) + width), 0
+        forward[0] = 1.0
+        for i in range(len(raw)):
+            here = forward[i]
+            for k in range(first[i], first[i + 1]):
+                forward[end[k]] += here * chance[k]
+            if i % RESCALE == 0:
+                power = np.frexp(forward[i + 1])[1].item()
+                forward[i + 1 : i + width] = [x * 2.0**-power for x in forward[i + 1 : i + width]]
+                exponent += power
+        out[language] = np.log(forward[len(raw)]) + exponent * np.log(2) - len(raw) * np.log(SCALE)
     return out
 
 
 def expected_counts(words: list[bytes], weight: np.ndarray, probability: np.ndarray, vocabulary: str) -> np.ndarray:
-    """Expected piece counts [piece, language] of weighted words [word, language], one E step."""
+    """Expected piece counts [piece, language] of weighted words [word, language], one E step.
+
+    Long words go in parts as in :func:`log_likelihoods`; here a part in which pieces overlap all along is cut every ``OVERLAPPING`` bytes.
+    """
+    parts, of = in_parts([MARK.encode() + w for w in words], vocabulary)
+    cut = [[p[i : i + OVERLAPPING] for i in range(0, len(p), OVERLAPPING)] for p in parts]
+    words, weight = [p for ps in cut for p in ps], weight[np.repeat(of, [len(ps) for ps in cut])]
     out = np.zeros((len(probability), weight.shape[1]))
     width = longest_piece(vocabulary) + 1
     for own, walk in blocks(words, vocabulary, 4, 3):
