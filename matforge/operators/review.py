@@ -1,7 +1,8 @@
 """Review decisions as data: which of them hold, what they change, and the substitution links they confirm.
 
 SQL over two relations: a mapping (see ``match``) and decisions (ord, outcome ``confirmed`` or ``rejected``, reviewer,
-second_reviewer, audit_seq, at), at most one per material. Decisions apply in the order of ``audit_seq``.
+second_reviewer, audit_seq, at). Decisions apply in the order of ``audit_seq``: the first sound one on a material settles it, later ones
+find it no longer pending.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ def _blank(x: str) -> str:
 def checked(mapping: str, decisions: str) -> str:
     """Each decision with ``refused``: why it does not count, or NULL; and who signs it."""
     grave = "d.outcome = 'confirmed' AND m.safety_risk = 'HIGH'"
-    return f"""
+    alone = f"""
 SELECT d.*, CASE WHEN m.ord IS NULL OR m.status <> 'pending-review' THEN 'not pending' WHEN {_blank("d.reviewer")} THEN 'reviewer missing'
     WHEN {grave} AND {_blank("d.second_reviewer")} THEN 'second reviewer missing'
-    WHEN {grave} AND lower(trim(d.second_reviewer)) = lower(trim(d.reviewer)) THEN 'second reviewer is the first' END AS refused,
+    WHEN {grave} AND lower(trim(d.second_reviewer)) = lower(trim(d.reviewer)) THEN 'second reviewer is the first' END AS fault,
   CASE WHEN {grave} THEN array(trim(d.reviewer), trim(d.second_reviewer)) ELSE array(trim(d.reviewer)) END AS signers
 FROM {decisions} d LEFT JOIN {mapping} m ON d.ord = m.ord"""
+    settled = "count_if(fault IS NULL) OVER (PARTITION BY ord ORDER BY audit_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0"
+    return f"SELECT * EXCEPT (fault), CASE WHEN {settled} THEN 'not pending' ELSE fault END AS refused FROM ({alone}) a"
 
 
 def applied(mapping: str, accepted: str, ends: str) -> str:

@@ -12,21 +12,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matforge.functions.dialect import SPARK
-from matforge.operators import audit, economics, explain, match, review
+from matforge.operators import audit, economics, explain, match, review, supersession
 from matforge.operators.decide import BEST_OF, filled
 from matforge.operators.decide import decisions as decide
 from matforge.operators.pointers import roots
 from matforge.plans import views as V
-from matforge.runtime import materialise
-from matforge.sources.documents import line, number_cell, text_cell
+from matforge.runtime import materialise, scratch_path
+from matforge.sources.documents import ECONOMICS_HEADER, MAPPING_HEADER, SUBSTITUTION_HEADER, line, number_cell, text_cell, write_documents
 
 d = SPARK
 #: Retired codes point at the next code of their block in alphabetical order, every third one stays.
 CHAIN = "SELECT nmc_code AS old_code, next_code AS new_code FROM (SELECT nmc_code, row_number() OVER (PARTITION BY block ORDER BY nmc_code) AS k, lead(nmc_code) OVER (PARTITION BY block ORDER BY nmc_code) AS next_code FROM (SELECT DISTINCT block, nmc_code FROM {m} WHERE complete) u) s WHERE next_code IS NOT NULL AND k % 3 <> 0"
-#: Review decisions on some materials, pending or not; a few lack a reviewer, or a second one where that is needed.
-DECISIONS = """SELECT ord, CASE WHEN ord % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS outcome, CASE WHEN ord % 11 = 0 THEN ' ' ELSE 'REV-' || CAST(ord % 4 AS VARCHAR(9)) END AS reviewer,
+#: Places among a block's codes: retired in favour of the next one, the one after, or an earlier one, some twice.
+BATCH = """SELECT row_number() OVER (ORDER BY k, block, old_code, new_code) AS place, old_code, new_code, 'replaced' AS reason FROM (
+  SELECT block, k * 7 % 11 AS k, nmc_code AS old_code, coalesce(lead(nmc_code) OVER w, first_value(nmc_code) OVER w) AS new_code FROM {coded_places} WINDOW w AS (PARTITION BY block, k div 5 ORDER BY nmc_code)
+  UNION ALL SELECT block, k * 5 % 11, nmc_code, coalesce(lag(nmc_code, 2) OVER w, lead(nmc_code, 3) OVER w, '') FROM {coded_places} WINDOW w AS (PARTITION BY block ORDER BY nmc_code)) b"""
+#: Materials as pointers: chains of eight, every other one of which turns back into a circle.
+CIRCLES = "SELECT ord AS node, CASE WHEN ord % 8 <> 7 THEN ord + 1 WHEN ord % 16 = 15 THEN ord - ord % 5 - 1 END AS up FROM {m}"
+#: Review decisions on some materials, pending or not; a few lack a reviewer, or a second one where that is needed, and some
+#: materials are decided a second time, the other way round.
+DECISIONS = """SELECT ord, CASE WHEN (ord + again) % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS outcome, CASE WHEN ord % 11 = 0 AND again = 0 THEN ' ' ELSE 'REV-' || CAST(ord % 4 AS VARCHAR(9)) END AS reviewer,
   CASE ord % 3 WHEN 0 THEN NULL WHEN 1 THEN 'rev-' || CAST(ord % 4 AS VARCHAR(9)) || ' ' ELSE 'REV-' || CAST(ord % 4 + 1 AS VARCHAR(9)) END AS second_reviewer,
-  1000 + ord AS audit_seq, '2024-01-' || CAST(10 + ord % 18 AS VARCHAR(9)) || 'T00:00:00.000Z' AS at FROM {m} WHERE ord % 7 <> 3"""
+  1000 + ord + again AS audit_seq, '2024-01-' || CAST(10 + ord % 18 AS VARCHAR(9)) || 'T00:00:00.000Z' AS at
+FROM (SELECT ord, 0 AS again FROM {m} WHERE ord % 7 <> 3 UNION ALL SELECT ord, 1000000001 FROM {m} WHERE ord % 11 = 0 OR ord % 5 = 2) x"""
 #: Neighbouring materials as labelled pairs.
 PAIRS = """SELECT x.ord, CASE x.ord % 4 WHEN 0 THEN 'DUPLICATE' WHEN 1 THEN 'NOT_EQUIVALENT' WHEN 2 THEN 'SIMILAR' ELSE 'FUNCTIONALLY_EQUIVALENT' END AS truth, x.raw_description AS a_text, y.raw_description AS b_text
 FROM {m} x JOIN {m} y ON y.ord = x.ord + CASE x.ord % 3 WHEN 0 THEN 29 WHEN 1 THEN 13 ELSE 1 END"""
@@ -61,6 +69,19 @@ class Relations:
     def ends(self) -> DataFrame:
         return roots(self.sql("SELECT u.nmc_code, c.new_code FROM (SELECT DISTINCT nmc_code FROM {m}) u LEFT JOIN {chain} c ON u.nmc_code = c.old_code"), "nmc_code", "new_code")
 
+    def proposals(self) -> DataFrame:
+        return materialise(self.sql(PROPOSALS), "proposals")
+
+    def coded_places(self) -> DataFrame:
+        return materialise(self.sql("SELECT block, nmc_code, CAST(row_number() OVER (PARTITION BY block ORDER BY nmc_code) AS BIGINT) AS k FROM (SELECT DISTINCT block, nmc_code FROM {m}) u"), "places")
+
+    def batch(self) -> DataFrame:
+        """A batch that proposes a replacement for codes out of order, some twice, some in a circle."""
+        return supersession.accepted(self.sql(BATCH), self.sql("SELECT nmc_code FROM {m}"), self.sql("SELECT * FROM {chain} LIMIT 0"), self.sql("SELECT DISTINCT nmc_code, nmc_code AS root FROM {m}"))
+
+    def circled(self) -> DataFrame:
+        return roots(self.sql(CIRCLES), "node", "up")
+
     def now(self) -> DataFrame:
         """The mapping with the code in force: ``code``, and ``current_code`` where that is another than the issued one."""
         return self.sql("SELECT p.*, CASE WHEN e.root <> p.nmc_code THEN e.root END AS current_code, coalesce(e.root, p.nmc_code) AS code FROM {mapping} p LEFT JOIN {ends} e ON p.nmc_code = e.nmc_code")
@@ -96,6 +117,12 @@ class Relations:
     def references(self) -> DataFrame:
         return self.sql(audit.references("{log}", "(SELECT DISTINCT nmc_code FROM {m})"))
 
+    def exported(self) -> DataFrame:
+        """The three files, written; a row for each."""
+        path = scratch_path(self.spark, "exports")
+        told = (("mapping.csv", MAPPING_HEADER, "ord", f"({mapping_lines('{reviewed}')})"), ("substitutions.csv", SUBSTITUTION_HEADER, "audit_seq", f"({_substitution_lines()})"), ("economics.csv", ECONOMICS_HEADER, "first_ord", f"({_economics_lines()})"))
+        return write_documents(self.sql(" UNION ALL ".join(f"SELECT '{name}' AS document, '{','.join(header)}' AS header, {place} AS place, line FROM {lines} x" for name, header, place, lines in told)), path)
+
     def matched(self) -> DataFrame:
         """Materials with their matches, as decided and explained, once per pair of texts."""
         pairs = "SELECT DISTINCT x.raw_description AS a_text, y.raw_description AS b_text FROM {mapping} x JOIN {mapping} y ON x.matched_ord = y.ord"
@@ -174,13 +201,13 @@ def mapping_lines(rows: str, cpse: str | None = None, include_pending: bool = Tr
 
 def _substitution_lines() -> str:
     cells = [*(text_cell(d, x) for x in ("code_a", "code_b", "verdict", "safety_risk")), number_cell(d, "round(confidence, 3)"), *(text_cell(d, x) for x in ("cpses", "confirmed_by", "confirmed_at")), number_cell(d, "audit_seq"), text_cell(d, "reason")]
-    return f"SELECT link_id, {line(cells)} AS line FROM {{links}}"
+    return f"SELECT link_id, audit_seq, {line(cells)} AS line FROM {{links}}"
 
 
 def _economics_lines() -> str:
     number = lambda x: number_cell(d, f"CAST({x} AS DOUBLE)" if x not in ("legacy_codes", "priced_rows") else x)
     cells = [text_cell(d, "nmc_code"), number("legacy_codes"), text_cell(d, "replace(cpses, '|', '; ')"), text_cell(d, "uom"), *(number(x) for x in ("total_quantity", "min_price", "max_price", "weighted_avg_price", "value", "savings", "priced_rows"))]
-    return f"SELECT nmc_code, {line(cells)} AS line FROM {{by_code}}"
+    return f"SELECT nmc_code, first_ord, {line(cells)} AS line FROM {{by_code}}"
 
 
 def _metrics() -> str:
@@ -214,13 +241,12 @@ def _stats() -> str:
 FROM (SELECT count(*) AS materials, count_if(subtype = 'UNK') AS uncategorised, {stages} FROM {{mapping}}) s CROSS JOIN ({match.comparisons("{m}")}) c"""
 
 
-_VALIDATE = """
-SELECT p.old_code, p.new_code, CASE WHEN p.old_code = p.new_code THEN 'itself' WHEN trim(p.reason) = '' THEN 'reason' WHEN o.nmc_code IS NULL THEN 'unknown code' WHEN n.nmc_code IS NULL THEN 'unknown replacement'
-  WHEN s.old_code IS NOT NULL THEN 'already superseded by ' || s.new_code WHEN e.root = p.old_code THEN 'cycle' ELSE 'ok' END AS outcome
-FROM (SELECT CASE WHEN k % 9 = 0 THEN 'X-' || nmc_code ELSE nmc_code END AS old_code, CASE WHEN k % 7 = 0 THEN nmc_code WHEN k % 4 = 0 THEN nmc_code || '-X' WHEN k % 6 = 0 THEN lag(nmc_code) OVER (PARTITION BY block ORDER BY nmc_code) ELSE coalesce(lead(nmc_code, 2) OVER (PARTITION BY block ORDER BY nmc_code), nmc_code) END AS new_code, CASE WHEN k % 5 = 0 THEN ' ' ELSE 'merged' END AS reason
-      FROM (SELECT block, nmc_code, row_number() OVER (PARTITION BY block ORDER BY nmc_code) AS k FROM (SELECT DISTINCT block, nmc_code FROM {m} WHERE complete) u) v) p
-LEFT JOIN (SELECT DISTINCT nmc_code FROM {m}) o ON p.old_code = o.nmc_code LEFT JOIN (SELECT DISTINCT nmc_code FROM {m}) n ON p.new_code = n.nmc_code
-LEFT JOIN {chain} s ON p.old_code = s.old_code LEFT JOIN {ends} e ON p.new_code = e.nmc_code"""
+#: Proposals to retire codes, sound ones and those that break each rule.
+PROPOSALS = """
+SELECT CASE WHEN k % 9 = 0 THEN 'X-' || nmc_code WHEN k % 31 = 0 THEN ' ' WHEN k % 8 = 1 THEN nmc_code || ' ' ELSE nmc_code END AS old_code,
+  CASE WHEN k % 7 = 0 THEN nmc_code WHEN k % 4 = 0 THEN nmc_code || '-X' WHEN k % 6 = 0 THEN lag(nmc_code) OVER (PARTITION BY block ORDER BY nmc_code) ELSE coalesce(lead(nmc_code, 2) OVER (PARTITION BY block ORDER BY nmc_code), nmc_code) END AS new_code,
+  CASE k % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'ok ' WHEN 2 THEN 'old' ELSE 'withdrawn by the maker' END AS reason
+FROM (SELECT block, nmc_code, row_number() OVER (PARTITION BY block ORDER BY nmc_code) AS k FROM (SELECT DISTINCT block, nmc_code FROM {m} WHERE complete) u) v"""
 
 #: Query -> SELECT over the relations named in braces.
 BODIES: dict[str, str] = {
@@ -235,10 +261,12 @@ BODIES: dict[str, str] = {
     "economics_summary": economics.summary(d, "{now}", "{by_code}"),
     "top_savings": f"SELECT nmc_code, {_r('savings')} AS savings, legacy_codes FROM {{by_code}} WHERE savings > 0 ORDER BY {_r('savings')} DESC, first_ord LIMIT 10",
     "top_combined_demand": "SELECT nmc_code, total_quantity, n_cpses FROM {by_code} WHERE n_cpses > 1 AND total_quantity IS NOT NULL ORDER BY total_quantity DESC, first_ord LIMIT 10",
-    "export_economics": _economics_lines(),
+    "export_economics": f"SELECT nmc_code, line FROM ({_economics_lines()}) x",
     "supersession_resolve": "SELECT nmc_code, root AS current_code FROM {ends}",
     "supersession_apply": "SELECT ord, nmc_code, current_code, c.new_code AS superseded_by FROM {now} n LEFT JOIN {chain} c ON n.nmc_code = c.old_code",
-    "supersession_validate": _VALIDATE,
+    "supersession_validate": f"SELECT old_code, new_code, reason, outcome FROM ({supersession.checked('{proposals}', '{m}', '{chain}', '{ends}')}) p",
+    "supersession_batch": "SELECT place, old_code, new_code, outcome FROM {batch}",
+    "cycle_resolve": "SELECT node, root FROM {circled}",
     "supersessions_latest": "SELECT old_code, new_code, at FROM (SELECT old_code, new_code, '2024-' || lpad(CAST(1 + ascii(substr(sha2(old_code, 256), 1, 1)) % 12 AS STRING), 2, '0') AS at FROM {chain}) t ORDER BY at DESC, old_code",
     "active_codes": "SELECT DISTINCT nmc_code FROM {mapping} p WHERE NOT EXISTS (SELECT 1 FROM {chain} s WHERE s.old_code = p.nmc_code)",
     "review_checks": "SELECT ord, outcome, refused, array_join(signers, '; ') AS signers FROM {checked}",
@@ -248,7 +276,8 @@ BODIES: dict[str, str] = {
     "link_members": "SELECT link_id, cpse_id, own_code, member_code, raw_description FROM (" + review.members("{proof}") + ") p",
     "export_mapping": mapping_lines("{reviewed}"),
     "export_mapping_ready": mapping_lines("{reviewed}", "ONGC", False),
-    "export_substitutions": _substitution_lines(),
+    "export_substitutions": f"SELECT link_id, line FROM ({_substitution_lines()}) x",
+    "export_documents": "SELECT * FROM {exported}",
     "graph_nodes": _NODES,
     "graph_edges": _EDGES,
     "visible_subgraph": "SELECT e.ord, e.cpse_id, e.nmc_code FROM {mapping} e WHERE EXISTS (SELECT 1 FROM {mapping} o WHERE o.nmc_code = e.nmc_code AND o.cpse_id = 'ONGC')",

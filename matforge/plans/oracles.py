@@ -13,6 +13,7 @@ from matforge.operators import dictionary as D
 from matforge.operators.decide import BEST_OF, NO_MATCH, REASONS
 from matforge.plans import derived
 from matforge.plans import views as V
+from matforge.sources import documents
 
 
 def _attribute_list(kind: str, skip: str = "") -> str:
@@ -100,7 +101,7 @@ def _text(x: str) -> str:
 
 
 def _number(x: str) -> str:
-    return f"coalesce(regexp_replace(CAST({x} AS VARCHAR), '\\.0$', ''), '')"
+    return f"coalesce(rtrim(rtrim(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12)) AS VARCHAR), '0'), '.'), '')"
 
 
 #: CTEs in order; each may read those before it.
@@ -127,7 +128,8 @@ CTES: list[tuple[str, str]] = [
     ("sums", "SELECT code, count(*) AS n, min(p) AS low, max(p) AS high, sum(CAST(q * p AS DECIMAL(28, 6))) AS spent, sum(CAST(q * (p - lowest) AS DECIMAL(28, 6))) AS over, sum(q) AS q FROM (SELECT *, min(p) OVER (PARTITION BY code) AS lowest FROM units WHERE priced) u GROUP BY code"),
     ("by_code", "SELECT k.code AS nmc_code, legacy_codes, cpses, n_cpses, uom, CASE WHEN uom <> 'MIXED' THEN pooled END AS total_quantity, CASE WHEN uom <> 'MIXED' THEN low END AS min_price, CASE WHEN uom <> 'MIXED' THEN high END AS max_price, CASE WHEN uom <> 'MIXED' THEN floor(CAST(spent AS DOUBLE) / s.q * 100 + 0.5) / 100 END AS weighted_avg_price, CASE WHEN uom <> 'MIXED' AND n > 0 THEN floor(CAST(spent AS DOUBLE) * 100 + 0.5) / 100 ELSE 0.0 END AS value, CASE WHEN uom <> 'MIXED' AND n > 1 THEN floor(CAST(over AS DOUBLE) * 100 + 0.5) / 100 ELSE 0.0 END AS savings, CASE WHEN uom <> 'MIXED' THEN coalesce(n, 0) ELSE 0 END AS priced_rows, first_ord FROM kinds k LEFT JOIN sums s ON k.code = s.code"),
     ("decisions", derived.DECISIONS.format(m="m")),
-    ("checked", "SELECT d.*, safety_risk = 'HIGH' AND outcome = 'confirmed' AS grave, CASE WHEN coalesce(p.status, '') <> 'pending-review' THEN 'not pending' WHEN trim(reviewer) = '' THEN 'reviewer missing' WHEN safety_risk = 'HIGH' AND outcome = 'confirmed' THEN CASE WHEN second_reviewer IS NULL OR trim(second_reviewer) = '' THEN 'second reviewer missing' WHEN upper(trim(second_reviewer)) = upper(trim(reviewer)) THEN 'second reviewer is the first' END END AS refused FROM decisions d LEFT JOIN mapping p USING (ord)"),
+    ("judgement", "SELECT d.*, safety_risk = 'HIGH' AND outcome = 'confirmed' AS grave, CASE WHEN coalesce(p.status, '') <> 'pending-review' THEN 'not pending' WHEN trim(reviewer) = '' THEN 'reviewer missing' WHEN safety_risk = 'HIGH' AND outcome = 'confirmed' THEN CASE WHEN second_reviewer IS NULL OR trim(second_reviewer) = '' THEN 'second reviewer missing' WHEN upper(trim(second_reviewer)) = upper(trim(reviewer)) THEN 'second reviewer is the first' END END AS fault FROM decisions d LEFT JOIN mapping p USING (ord)"),
+    ("checked", "SELECT * EXCLUDE (fault), CASE WHEN EXISTS (SELECT 1 FROM judgement k WHERE k.ord = j.ord AND k.fault IS NULL AND k.audit_seq < j.audit_seq) THEN 'not pending' ELSE fault END AS refused FROM judgement j"),
     ("taken", "SELECT *, trim(reviewer) || CASE WHEN grave THEN '; ' || trim(second_reviewer) ELSE '' END AS signers FROM checked WHERE refused IS NULL"),
     ("voted", "SELECT p.* EXCLUDE (status, nmc_code), p.nmc_code AS original_nmc, t.outcome, t.at AS reviewed_at, t.audit_seq, t.signers AS reviewed_by, CASE t.outcome WHEN 'confirmed' THEN 'reviewed-confirmed' WHEN 'rejected' THEN 'reviewed-rejected' ELSE p.status END AS status, CASE WHEN t.outcome = 'rejected' AND verdict = 'duplicate' THEN own_nmc ELSE p.nmc_code END AS nmc_code, CASE WHEN t.outcome = 'confirmed' AND verdict IN ('functionally_equivalent', 'similar') THEN nullif(matched_nmc, p.nmc_code) END AS linked_nmc FROM mapping p LEFT JOIN taken t USING (ord)"),
     ("reviewed", "SELECT v.*, nullif(e.root, v.nmc_code) AS current_code FROM voted v JOIN ends e ON v.nmc_code = e.nmc_code"),
@@ -141,6 +143,9 @@ CTES: list[tuple[str, str]] = [
     ("references", "SELECT word AS code, count(DISTINCT entry) AS entries FROM naming WHERE word IN (SELECT nmc_code FROM m) GROUP BY word"),
     ("matched", _judged("SELECT DISTINCT x.raw_description AS a_text, y.raw_description AS b_text FROM mapping x JOIN mapping y ON x.matched_ord = y.ord")),
     ("evidence", _explained("matched")),
+    ("proposals", derived.PROPOSALS.format(m="m")),
+    ("circles", derived.CIRCLES.format(m="m")),
+    ("circling(node, here, seen)", "SELECT node, node, CAST([] AS BIGINT[]) FROM circles UNION ALL SELECT w.node, c.up, list_append(w.seen, w.here) FROM circling w JOIN circles c ON c.node = w.here WHERE c.up IS NOT NULL AND NOT list_contains(w.seen, w.here)"),
     ("labelled", derived.PAIRS.format(m="m")),
     ("judged", _judged("SELECT DISTINCT a_text, b_text FROM labelled")),
     ("judged_evidence", _explained("judged")),
@@ -184,6 +189,14 @@ def _mapping_lines(where: str = "true") -> str:
 
 _LINK_CELLS = " || ',' || ".join([*(_text(x) for x in ("code_a", "code_b", "verdict", "safety_risk")), _number("round(confidence, 3)"), *(_text(x) for x in ("cpses", "confirmed_by", "confirmed_at")), _number("audit_seq"), _text("reason")])
 _ECONOMICS_CELLS = " || ',' || ".join([_text("nmc_code"), _number("legacy_codes"), _text("replace(cpses, '|', '; ')"), _text("uom"), *(_number(f"CAST({x} AS DOUBLE)") for x in ("total_quantity", "min_price", "max_price", "weighted_avg_price", "value", "savings")), _number("priced_rows")])
+_PROPOSED = """
+SELECT old_code, new_code, reason, CASE WHEN a IN ('', b) OR b = '' THEN CASE WHEN a = b AND a <> '' THEN 'itself' ELSE 'code missing' END WHEN length(trim(reason)) < 3 THEN 'reason' WHEN a NOT IN (SELECT nmc_code FROM m) THEN 'unknown code' WHEN b NOT IN (SELECT nmc_code FROM m) THEN 'unknown replacement'
+  WHEN EXISTS (SELECT 1 FROM chain WHERE chain.old_code = a) THEN 'already superseded by ' || (SELECT max(c.new_code) FROM chain c WHERE c.old_code = a) WHEN (SELECT max(root) FROM ends WHERE nmc_code = b) = a THEN 'cycle' ELSE 'ok' END AS outcome
+FROM (SELECT *, trim(old_code) AS a, trim(new_code) AS b FROM proposals) p"""
+_DOCUMENTS = " UNION ALL ".join(
+    f"SELECT '{name}' AS document, count(*) AS lines, CAST(sum(strlen(line) + 2) + {len(','.join(header)) + 5} AS BIGINT) AS bytes FROM ({lines}) {name[:3]}"
+    for name, header, lines in (("mapping.csv", documents.MAPPING_HEADER, _mapping_lines()), ("substitutions.csv", documents.SUBSTITUTION_HEADER, f"SELECT {_LINK_CELLS} AS line FROM links"), ("economics.csv", documents.ECONOMICS_HEADER, f"SELECT {_ECONOMICS_CELLS} AS line FROM by_code"))
+)
 _METRICS = """
 WITH r AS (SELECT 'matcher' AS model, truth, predicted, needs_review FROM evaluated UNION ALL SELECT 'text baseline', truth, baseline, false FROM evaluated),
 f AS (SELECT *, truth[1] IN ('D', 'F') AS t, predicted[1] IN ('D', 'F') AS p, predicted = 'DUPLICATE' AND NOT needs_review AS auto FROM r),
@@ -211,7 +224,9 @@ BODIES: dict[str, str] = {
     "export_economics": f"SELECT nmc_code, {_ECONOMICS_CELLS} AS line FROM by_code",
     "supersession_resolve": "SELECT nmc_code, root AS current_code FROM ends",
     "supersession_apply": "SELECT ord, nmc_code, current_code, (SELECT max(new_code) FROM chain WHERE old_code = nmc_code) AS superseded_by FROM now",
-    "supersession_validate": derived._VALIDATE.format(m="m", chain="chain", ends="ends"),
+    "supersession_validate": _PROPOSED,
+    "cycle_resolve": "SELECT node, arg_max(here, len(seen)) AS root FROM circling GROUP BY node",
+    "export_documents": _DOCUMENTS,
     "supersessions_latest": "SELECT old_code, new_code, '2024-' || lpad(CAST(1 + ascii(sha256(old_code)) % 12 AS VARCHAR), 2, '0') AS at FROM chain",
     "active_codes": "SELECT nmc_code FROM mapping EXCEPT SELECT old_code FROM chain",
     "review_checks": "SELECT ord, outcome, refused, trim(reviewer) || CASE WHEN grave THEN coalesce('; ' || trim(second_reviewer), '') ELSE '' END AS signers FROM checked",

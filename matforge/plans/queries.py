@@ -83,7 +83,12 @@ def exact_duplicates(d: Dialect) -> str:
 
 
 def mapping_order(d: Dialect) -> str:
-    return "SELECT ord, block, min(ord) OVER (PARTITION BY block) AS block_ord, row_number() OVER (PARTITION BY block ORDER BY ord) AS place FROM m"
+    """A row's place in its block; counted within stretches of rows first, so that a block is no single task."""
+    if not d.spark:
+        return "SELECT ord, block, min(ord) OVER (PARTITION BY block) AS block_ord, row_number() OVER (PARTITION BY block ORDER BY ord) AS place FROM m"
+    stretches = "SELECT block, ord div 65536 AS stretch, count(*) AS n, min(ord) AS low FROM m GROUP BY 1, 2"
+    before = f"SELECT block, stretch, coalesce(sum(n) OVER (PARTITION BY block ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, min(low) OVER (PARTITION BY block) AS block_ord FROM ({stretches}) s"
+    return f"SELECT ord, m.block, block_ord, before + row_number() OVER (PARTITION BY m.block, stretch ORDER BY ord) AS place FROM m JOIN ({before}) b ON m.block = b.block AND m.ord div 65536 = b.stretch"
 
 
 def cross_org_index(d: Dialect) -> str:
@@ -130,11 +135,6 @@ def zero_shot_classify(d: Dialect) -> str:
     return f"SELECT vec_id, CASE WHEN score > 0.45 THEN proto END AS predicted, {_r('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, proto) AS k FROM (SELECT v.vec_id, p.label AS proto, round({dot}, 9) AS score FROM embeddings v CROSS JOIN (SELECT label, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) q WHERE r = 1) p) s) t WHERE k = 1"
 
 
-#: Columns of the exported files.
-MAPPING_HEADER = ("CPSE", "LEGACY_MATNR", "DESCRIPTION", "MEINS", "NEW_NMC_CODE", "ORIGINALLY_ISSUED_NMC_CODE", "MIGRATION_STATUS", "REVIEW_STATUS", "VERDICT", "CONFIDENCE", "SAFETY_RISK", "DECIDED_BY_STAGE", "VALIDATED_SUBSTITUTE_NMC_CODE", "MATCHED_NMC_CODE", "REVIEWED_BY", "REVIEWED_AT", "QUANTITY", "UNIT_PRICE", "REASONS")
-SUBSTITUTION_HEADER = ("NMC_CODE_A", "NMC_CODE_B", "VERDICT", "SAFETY_RISK", "CONFIDENCE", "EVIDENCED_BY_CPSES")
-ECONOMICS_HEADER = ("NMC_CODE", "LEGACY_CODES", "CPSES", "UOM", "COMBINED_QUANTITY", "MIN_UNIT_PRICE", "MAX_UNIT_PRICE", "WEIGHTED_AVG_UNIT_PRICE", "VALUE", "PRICE_HARMONISATION_SAVINGS", "PRICED_ROWS")
-
 #: Query -> relations it reads besides base tables: materials, m (coded), scenario.
 CATALOGUE: dict[str, tuple[Body, tuple[str, ...]]] = {}
 for _needs, _bodies in {

@@ -14,6 +14,10 @@ from matforge.functions.dialect import Dialect
 from matforge.runtime import materialise
 
 BOM = "\ufeff"
+#: Columns of the exported files, and what joins several reasons in a cell.
+MAPPING_HEADER = ("CPSE", "LEGACY_MATNR", "DESCRIPTION", "MEINS", "NEW_NMC_CODE", "ORIGINALLY_ISSUED_NMC_CODE", "MIGRATION_STATUS", "REVIEW_STATUS", "VERDICT", "CONFIDENCE", "SAFETY_RISK", "DECIDED_BY_STAGE", "VALIDATED_SUBSTITUTE_NMC_CODE", "MATCHED_NMC_CODE", "REVIEWED_BY", "REVIEWED_AT", "QUANTITY", "UNIT_PRICE", "REASONS")
+SUBSTITUTION_HEADER = ("NMC_CODE_A", "NMC_CODE_B", "VERDICT", "SAFETY_RISK", "CONFIDENCE", "EVIDENCED_BY_CPSES", "CONFIRMED_BY", "CONFIRMED_AT", "AUDIT_SEQ", "REASONS")
+ECONOMICS_HEADER = ("NMC_CODE", "LEGACY_CODES", "CPSES", "UOM", "COMBINED_QUANTITY", "MIN_UNIT_PRICE", "MAX_UNIT_PRICE", "WEIGHTED_AVG_UNIT_PRICE", "VALUE", "PRICE_HARMONISATION_SAVINGS", "PRICED_ROWS")
 
 
 def text_cell(d: Dialect, value: str) -> str:
@@ -23,8 +27,9 @@ def text_cell(d: Dialect, value: str) -> str:
 
 
 def number_cell(d: Dialect, value: str) -> str:
-    """A number as a cell, whole ones without a decimal point; numbers are not guarded."""
-    return f"coalesce({d.replace(f'CAST({value} AS VARCHAR(40))', '[.]0$', '')}, '')"
+    """A number as a cell: all its digits, whole ones without a decimal point, no exponent below 10^26; numbers are not guarded."""
+    plain = f"CAST(CAST(CAST({value} AS VARCHAR(40)) AS DECIMAL(38, 12)) AS VARCHAR(60))"
+    return f"coalesce(CASE WHEN abs({value}) < 1e26 THEN {d.replace(d.replace(plain, '[.]0+$'), '([.][0-9]*[1-9])0+$', '$1')} ELSE CAST({value} AS VARCHAR(40)) END, '')"
 
 
 def line(cells: list[str]) -> str:

@@ -1,13 +1,15 @@
 """Golden expectations of the harmonisation operators."""
 
+import random
+
 import duckdb
 import pytest
 
 from matforge.functions import text as T
 from matforge.functions.dialect import DUCK, SPARK
 from matforge.operators.extract import ATTRIBUTES
-from matforge.operators.pointers import roots
-from matforge.operators import economics, match, review
+from matforge.operators import economics, match, review, supersession
+from matforge.operators.pointers import cycle_names, roots
 from matforge.plans import derived, oracles
 from matforge.plans import queries as Q
 from matforge.plans import views as V
@@ -91,10 +93,61 @@ def test_best_of_all_and_scale(spark):
     assert many.select("nmc_code").distinct().count() == 300 and many.count() == 3000
 
 
-def test_pointers_follow_chains_and_survive_cycles(spark):
-    rows = [(i, i - 1 if i else None) for i in range(20)] + [(100, 101), (101, 100)]
-    got = {r["n"]: r["root"] for r in roots(spark.createDataFrame(rows, "n long, up long"), "n", "up").collect()}
-    assert all(got[i] == 0 for i in range(20)) and {got[100], got[101]} <= {100, 101}
+def walked(up):
+    """Where each node's walk ends, or the first node that it meets again."""
+    out = {}
+    for node in up:
+        seen, at = set(), node
+        while up.get(at) is not None and at not in seen:
+            seen.add(at)
+            at = up[at]
+        out[node] = at
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pointers_follow_chains_and_cycles(spark, seed):
+    rng = random.Random(seed)
+    up = {i: i - 1 if i else None for i in range(20)} | {100: 101, 101: 102, 102: 101, 200: 999} | {300 + i: 300 + rng.choice([i + 1, i + 1, i + 1, rng.randrange(40)]) for i in range(40)}
+    frame = spark.createDataFrame(list(up.items()), "n long, up long")
+    want = walked(up)
+    assert {r["n"]: r["root"] for r in roots(frame, "n", "up").collect()} == want and want[100] == 101
+    named = {r["n"]: r["cycle"] for r in cycle_names(frame, "n", "up").collect()}
+    looped = {n for n in up if want[n] == n and up[n] is not None}
+    assert set(named) == looped and named[101] == named[102] == 101
+    assert all(named[n] == named[up[n]] for n in looped) and all(min(k for k in named if named[k] == c) == c for c in named.values())
+    assert roots(frame.limit(0), "n", "up").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_batch_of_supersessions_is_taken_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    codes = [f"N{i}" for i in range(12)]
+    said = [(i, rng.choice([*codes, "X", " N3 "]), rng.choice([*codes, "X", None, " "]), rng.choice(["worn", "ok", "no longer made"])) for i in range(40)]
+    chain = {"N0": "N1", "N5": "N6"}
+    taken, want = dict(chain), []
+    for place, old, new, reason in said:
+        a, b = old.strip(), (new or "").strip()
+        end, seen = b, set()
+        while end in taken and end not in seen:
+            seen.add(end)
+            end = taken[end]
+        outcome = "code missing" if not a or not b else "itself" if a == b else "reason" if len(reason) < 3 else "unknown code" if a not in codes else "unknown replacement" if b not in codes else f"already superseded by {taken[a]}" if a in taken else "cycle" if end == a else "ok"
+        if outcome == "ok":
+            taken[a] = b
+        want.append((place, outcome.split(" by ")[0]))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    ends = walked({c: chain.get(c) for c in codes})
+    got = supersession.accepted(frame(said, "place long, old_code string, new_code string, reason string"), frame([(c,) for c in codes], "nmc_code string"), frame(list(chain.items()), "old_code string, new_code string"), frame(list(ends.items()), "nmc_code string, root string"))
+    assert sorted((r["place"], r["outcome"].split(" by ")[0]) for r in got.collect()) == want
+
+
+def test_only_the_first_sound_decision_counts(spark):
+    mapping = spark.createDataFrame([(1, "LOW", "pending-review"), (2, "LOW", "pending-review")], "ord long, safety_risk string, status string")
+    said = [(1, "confirmed", "A", 5), (1, "rejected", "B", 4), (1, "rejected", "C", 9), (2, "confirmed", " ", 1), (2, "confirmed", "D", 2)]
+    decisions = spark.createDataFrame(said, "ord long, outcome string, reviewer string, audit_seq long").selectExpr("*", "CAST(NULL AS STRING) AS second_reviewer", "'t' AS at")
+    got = {r["audit_seq"]: r["refused"] for r in fixed(spark, mapping=mapping, decisions=decisions).sql("SELECT * FROM {checked}").collect()}
+    assert got == {5: "not pending", 4: None, 9: "not pending", 1: "reviewer missing", 2: None}
 
 
 def test_comparisons_are_those_of_a_run_row_by_row(spark):
@@ -193,5 +246,5 @@ def test_the_tables_exercise_every_subtype_and_cascade_row(small):
     assert ask("SELECT DISTINCT safety_risk FROM mapping") == {None, "LOW", "MEDIUM", "HIGH"}
     assert ask("SELECT count(*) FROM mapping WHERE nmc_code <> own_nmc").pop() > 10
     outcomes = {x.split(" by ")[0] for x in ask(f"SELECT DISTINCT outcome FROM ({oracles.BODIES['supersession_validate']})")}
-    assert outcomes == {"ok", "itself", "reason", "unknown code", "unknown replacement", "already superseded", "cycle"}
+    assert outcomes == {"ok", "code missing", "itself", "reason", "unknown code", "unknown replacement", "already superseded", "cycle"}
     assert {None, "not pending", "reviewer missing", "second reviewer missing"} <= ask("SELECT DISTINCT refused FROM checked")

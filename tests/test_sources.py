@@ -3,10 +3,11 @@
 import io
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 
-from matforge.functions.dialect import SPARK
+from matforge.functions.dialect import DUCK, SPARK
 from matforge.operators import audit, vectors
 from matforge.plans import files
 from matforge.sources import documents, grids, items, pairs, state
@@ -179,3 +180,19 @@ def test_reclassification_against_brute_force(spark, tiny):
         assert r["subtype"] == (phrases[best][0] if scores[best] > vectors.LEAST else "UNK")
         assert r["classified_by"] == ("ai" if scores[best] > vectors.LEAST else "rules")
     assert len({r["ord"] for r in rows}) == len(rows) > 0
+
+
+NUMBERS = [1e7, 12345678.9, 0.00012, 1e12, 987654321012.5, 5.0, -2.5, 0.1, 0.0, 1e15, 100.0, None]
+
+
+def test_large_numbers_are_written_out_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "ONGC", f"C-{k}", f"HEX NUT M{k + 4} SS304", "EA", x, 1.5) for k, x in enumerate(NUMBERS)], "place long, cpse string, code string, text string, uom string, q double, p double")
+    cell = documents.number_cell(SPARK, "q")
+    assert [r["c"] for r in rows.selectExpr(f"{cell} AS c", "place").orderBy("place").collect()] == ["10000000", "12345678.9", "0.00012", "1000000000000", "987654321012.5", "5", "-2.5", "0.1", "0", "1000000000000000", "100", ""]
+    duck = [duckdb.sql(f"SELECT {documents.number_cell(DUCK, 'CAST(' + repr(x) + ' AS DOUBLE)')}").fetchall()[0][0] for x in NUMBERS[:-1]]
+    assert duck == ["10000000", "12345678.9", "0.00012", "1000000000000", "987654321012.5", "5", "-2.5", "0.1", "0", "1000000000000000", "100"]
+    assert spark.sql(f"SELECT {documents.number_cell(SPARK, 'CAST(123456789012 AS BIGINT)')} AS c").first()["c"] == "123456789012"
+    cells = documents.line([*(documents.text_cell(SPARK, c) for c in ("cpse", "code", "text", "uom")), cell, documents.number_cell(SPARK, "p")])
+    documents.write_documents(rows.selectExpr("'ONGC.csv' AS document", "'CPSE,MATNR,MAKTX,MEINS,Stock Qty,Rate' AS header", "place", f"{cells} AS line"), str(tmp_path))
+    read = {r["own_code"]: r["quantity"] for r in items.items(grids.read_grids(spark, str(tmp_path))).collect()}
+    assert read == {f"C-{k}": x for k, x in enumerate(NUMBERS)}
