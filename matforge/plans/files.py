@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matforge.functions.dialect import DUCK, SPARK, Dialect
+from matforge.functions.dialect import DUCK, SPARK
 from matforge.operators import audit, vectors
 from matforge.plans import views as V
 from matforge.runtime import materialise, scratch_path
@@ -59,49 +59,64 @@ FROM (SELECT cpse_id AS file, row_number() OVER (PARTITION BY cpse_id ORDER BY o
   FROM materials) t"""
 
 
-def _entries(d: Dialect, events: str) -> str:
-    return f"SELECT row_number() OVER (PARTITION BY {_segment(d)} ORDER BY event_id) - 1 + {audit.SEGMENT} * {_segment(d)} AS seq, CAST(user_id AS VARCHAR(20)) AS timestamp, event_type AS action, props AS details FROM {events}"
+def log_of_events(spark: SparkSession, sf_dir: str) -> audit.AuditLog:
+    """The events as an audit log, appended in three batches of which none fills its last segment."""
+    events = V.named(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    log = audit.AuditLog(spark, scratch_path(spark, "audit-log"))
+    told = f"SELECT event_id, CAST(user_id AS STRING) AS timestamp, event_type AS action, concat('{{\"value\":', CAST(CAST(value * 100 AS INT) AS STRING), ',\"props\":', props, ',\"by\":\"', user_id, '\"}}') AS details FROM {events} WHERE "
+    for batch in ("event_id < 700", "event_id >= 700 AND event_id < 1111", "event_id >= 1111"):
+        log.append(spark.sql(told + batch), ["event_id"])
+    return log
 
 
-def _segment(d: Dialect) -> str:
-    return f"(event_id {'div' if d.spark else '//'} {audit.SEGMENT})"
+def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of a log that grew by batches: one gapless sequence."""
+    return log_of_events(spark, sf_dir).entries().select("seq", "action", "prev_hash", "hash")
 
 
-def log_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.append(spark.sql(_entries(SPARK, V.named(spark.read.parquet(f"{sf_dir}/events.parquet")))))
+_PAYLOAD = """'{"seq":' || seq || ',"timestamp":"' || timestamp || '","action":"' || action || '","details":{"by":"' || timestamp || '","props":' || replace(props, ' ', '') || ',"value":' || amount || '},"prevHash":"'"""
+_LOG = f"""entries AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, CAST(user_id AS VARCHAR) AS timestamp, event_type AS action, props, CAST(trunc(value * 100) AS INT) AS amount FROM events),
+said AS (SELECT seq, action, {_PAYLOAD} AS start FROM entries),
+chain(seq, action, prev_hash, hash) AS (
+  SELECT seq, action, '{audit.GENESIS}', sha256(start || '{audit.GENESIS}"}}') FROM said WHERE seq % {audit.SEGMENT} = 0
+  UNION ALL SELECT e.seq, e.action, c.hash, sha256(e.start || c.hash || '"}}') FROM chain c JOIN said e ON e.seq = c.seq + 1 WHERE e.seq % {audit.SEGMENT} <> 0
+)"""
+AUDIT_APPEND_SQL = f"WITH RECURSIVE {_LOG} SELECT seq, action, prev_hash, hash FROM chain"
 
 
-def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as an audit log."""
-    return log_of_events(spark, sf_dir).select("seq", "action", "prev_hash", "hash")
+def audit_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain over the full segments of that log."""
+    return log_of_events(spark, sf_dir).anchors()
 
 
-_DUCK_PAYLOAD = audit.payload("e.seq", "e.timestamp", "e.action", "e.details", "c.hash")
-_DUCK_FIRST = audit.payload("seq", "timestamp", "action", "details", f"'{audit.GENESIS}'")
-AUDIT_APPEND_SQL = f"""
-WITH RECURSIVE entries AS ({_entries(DUCK, "events")}),
-chain(seq, action, prev_hash, hash) AS (
-  SELECT seq, action, '{audit.GENESIS}', sha256({_DUCK_FIRST}) FROM entries WHERE seq % {audit.SEGMENT} = 0
-  UNION ALL
-  SELECT e.seq, e.action, c.hash, sha256({_DUCK_PAYLOAD}) FROM chain c JOIN entries e ON e.seq = c.seq + 1 WHERE e.seq % {audit.SEGMENT} <> 0
+AUDIT_ANCHORS_SQL = f"""
+WITH RECURSIVE {_LOG}, ends AS (SELECT seq // {audit.SEGMENT} AS segment, hash AS last_hash FROM chain WHERE seq % {audit.SEGMENT} = {audit.SEGMENT - 1}),
+linked(segment, last_hash, anchor) AS (
+  SELECT segment, last_hash, sha256('{audit.GENESIS}:0:' || last_hash) FROM ends WHERE segment = 0
+  UNION ALL SELECT e.segment, e.last_hash, sha256(l.anchor || ':' || e.segment || ':' || e.last_hash) FROM linked l JOIN ends e ON e.segment = l.segment + 1
 )
-SELECT seq, action, prev_hash, hash FROM chain"""
+SELECT segment, last_hash, anchor FROM linked"""
 
 
 def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults found in the events' log after some entries' details and others' hashes were changed."""
-    log = materialise(log_of_events(spark, sf_dir), "log")
-    kept = audit.anchors(log)
-    changed = log.selectExpr("seq", "timestamp", "action", "IF(seq % 1000 = 999, details || ' ', details) AS details", "prev_hash", "IF(seq % 1000 = 511, reverse(hash), hash) AS hash")
-    return audit.verify(changed, kept)
+    """Faults found in the events' log after some entries' details and others' hashes were changed, and an anchor."""
+    log = log_of_events(spark, sf_dir)
+    changed = log.entries().selectExpr("seq", "timestamp", "action", "IF(seq % 1000 = 999, '{}', details) AS details", "signers", "prev_hash", "IF(seq % 1000 = 511, reverse(hash), hash) AS hash")
+    kept = log.anchors().selectExpr("segment", "last_hash", "IF(segment % 5 = 3, reverse(anchor), anchor) AS anchor")
+    return audit.verify(changed, kept, log.head())
 
 
-_LAST = f"(seq % {audit.SEGMENT} = {audit.SEGMENT - 1} OR seq = (SELECT max(seq) FROM entries e WHERE e.seq // {audit.SEGMENT} = entries.seq // {audit.SEGMENT}))"
+#: One problem per entry: a changed hash is seen at its entry, at the next one, and at its segment's end; a changed anchor at its own segment and the next.
 AUDIT_VERIFY_SQL = f"""
-WITH entries AS ({_entries(DUCK, "events")}), bad AS (SELECT *, {_LAST} AS is_last FROM entries)
-SELECT seq, 'hash' AS problem FROM bad WHERE seq % 1000 IN (511, 999)
-UNION ALL SELECT seq + 1, 'link' FROM bad WHERE seq % 1000 = 511 AND NOT is_last
-UNION ALL SELECT seq, 'anchor' FROM bad WHERE seq % 1000 = 511 AND is_last"""
+WITH RECURSIVE {_LOG}, top AS (SELECT max(seq) AS top FROM chain),
+broken AS (SELECT segment FROM (SELECT seq // {audit.SEGMENT} AS segment FROM chain WHERE seq % {audit.SEGMENT} = {audit.SEGMENT - 1}) s WHERE segment % 5 = 3 OR (segment > 0 AND (segment - 1) % 5 = 3) OR (segment * {audit.SEGMENT} + {audit.SEGMENT - 1}) % 1000 = 511),
+found AS (
+  SELECT seq, 2 AS rank, 'hash' AS problem FROM chain WHERE seq % 1000 IN (511, 999)
+  UNION ALL SELECT seq, 1, 'link' FROM chain WHERE (seq - 1) % 1000 = 511 AND seq % {audit.SEGMENT} <> 0
+  UNION ALL SELECT segment * {audit.SEGMENT} + {audit.SEGMENT - 1}, 4, 'anchor' FROM broken
+  UNION ALL SELECT top, 5, 'head' FROM top WHERE top % 1000 = 511 OR ((top + 1) // {audit.SEGMENT} - 1) % 5 = 3
+)
+SELECT seq, arg_min(problem, rank) AS problem FROM found GROUP BY seq"""
 
 
 def publish_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +141,8 @@ def _publish_lookup_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (item_files, labelled_pairs, audit_append, audit_verify, publish_lookup, zero_shot_reclassify)}
+    return {q.__name__: q for q in (item_files, labelled_pairs, audit_append, audit_anchors, audit_verify, publish_lookup, zero_shot_reclassify)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"item_files": ITEM_FILES_SQL, "labelled_pairs": LABELLED_PAIRS_SQL, "audit_append": AUDIT_APPEND_SQL, "audit_verify": AUDIT_VERIFY_SQL, "publish_lookup": _publish_lookup_sql()}
+    return {"item_files": ITEM_FILES_SQL, "labelled_pairs": LABELLED_PAIRS_SQL, "audit_append": AUDIT_APPEND_SQL, "audit_anchors": AUDIT_ANCHORS_SQL, "audit_verify": AUDIT_VERIFY_SQL, "publish_lookup": _publish_lookup_sql()}

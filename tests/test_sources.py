@@ -1,7 +1,9 @@
 """Files in and out, labelled pairs, audit chains, the published index."""
 
+import hmac
 import io
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -111,18 +113,73 @@ def test_labelled_pairs(spark):
 
 
 def test_audit_chains(spark):
-    entries = spark.createDataFrame([(k, f"t{k}", "issue", None if k == 3 else f"d{k}") for k in range(600)], "seq long, timestamp string, action string, details string")
+    entries = spark.createDataFrame([(k, f"t{k}", "issue", None if k == 3 else f"d{k}" if k % 2 else f'{{"b": 1.0, "a": [{k}, "x"], "c": null}}') for k in range(600)], "seq long, timestamp string, action string, details string")
     log = audit.append(entries)
     kept = audit.anchors(log)
     assert log.count() == 600 and audit.verify(log, kept).isEmpty()
     assert len({r["hash"] for r in log.collect()}) == 600 and len(audit.digest(log).first()["digest"]) == 12
-    faults = lambda changed: sorted((r["seq"], r["problem"]) for r in audit.verify(changed, kept).collect())
+    faults = lambda changed, anchors=kept, head=None: sorted((r["seq"], r["problem"]) for r in audit.verify(changed, anchors, head).collect())
     assert faults(log.withColumn("details", audit.F.expr("IF(seq = 5, 'other', details)"))) == [(5, "hash")]
-    assert faults(log.filter("seq <> 0")) == [(1, "link"), (255, "anchor")]
-    assert faults(log.filter("seq <> 599")) == [(599, "anchor")]
+    assert faults(log.withColumn("details", audit.F.expr("IF(seq = 4, '{\"c\":null, \"a\":[4,\"x\"],\"b\":1}', details)"))) == [], "the order of keys does not matter"
+    assert faults(log.filter("seq <> 0")) == [(1, "link")] and faults(log.filter("seq <> 255")) == [(255, "anchor")]
+    first, second = (r["anchor"] for r in kept.orderBy("segment").collect())
+    assert second == audit.link_anchor(first, 1, log.filter("seq = 511").first()["hash"])
+    assert faults(log, kept.withColumn("anchor", audit.F.expr("IF(segment = 0, reverse(anchor), anchor)"))) == [(255, "anchor"), (511, "anchor")]
+    last = {"entries": 600, "last": log.filter("seq = 599").first()["hash"], "anchor": second}
+    assert faults(log, kept, last) == [] and faults(log.filter("seq <> 599"), kept, last) == [(599, "head")]
     assert audit.digest(log.filter("seq < 0")).first()["digest"] == "GENESIS" and audit.append(entries.filter("seq < 0")).isEmpty()
-    with pytest.raises(ValueError):
-        audit.append(entries, after=7)
+    whole = {r["seq"]: r["hash"] for r in log.collect()}
+    for cut in (256, 300):
+        ahead = audit.append(entries.filter(f"seq >= {cut}"), cut, whole[cut - 1])
+        assert all(whole[r["seq"]] == r["hash"] for r in ahead.collect()), "a batch goes on inside an open segment"
+
+
+def _signed(text, key):
+    return hmac.new(key.encode(), text.encode(), "sha256").hexdigest()
+
+
+def test_forged_signatures_are_found(spark):
+    """A stand-in scheme, in which the public key is the secret, for the pluggable verifier."""
+    log = audit.append(spark.createDataFrame([(k, "t", "review", '{"n":1}') for k in range(6)], "seq long, timestamp string, action string, details string"))
+    texts = {r["seq"]: r["p"] for r in log.selectExpr("seq", audit.payload("seq", audit.told("timestamp", "action"), audit.canonical("details"), "prev_hash") + " AS p").collect()}
+    signers = {0: [("R1", "k1", _signed(texts[0], "k1"))], 1: [("R1", "k1", _signed(texts[1], "k1")), ("R2", "k2", "forged")], 2: None, 3: [("R3", "k3", "")], 4: [("R1", "k1", "wrong")]}
+    rows = spark.createDataFrame(list(signers.items()), f"seq long, signers {audit.SIGNERS}")
+    signed = log.join(rows, "seq", "left")
+    check = lambda pubs, texts, sigs: [_signed(t, p) == s for p, t, s in zip(pubs, texts, sigs)]
+    status = {(r["seq"], r["id"]): r["sig_status"] for r in audit.signatures(signed, check).collect()}
+    assert status == {(0, "R1"): "valid", (1, "R1"): "valid", (1, "R2"): "forged", (3, "R3"): "unsigned", (4, "R1"): "forged"}
+    assert {r["sig_status"] for r in audit.signatures(signed).collect()} == {"unverified", "unsigned"}
+    problems = audit.verify(signed, audit.anchors(log), verifier=check)
+    assert sorted(map(tuple, problems.collect())) == [(1, "signature"), (4, "signature")] and audit.first_failure(problems).first()["seq"] == 1
+    changed = signed.withColumn("details", audit.F.expr("IF(seq = 1, '{}', details)"))
+    assert dict(map(tuple, audit.verify(changed, audit.anchors(log), verifier=check).collect())) == {1: "hash", 4: "signature"}, "a changed entry counts before its signatures"
+
+
+def test_fifty_writers_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    log = audit.AuditLog(spark, f"{tmp_path}/log")
+    schema = "place long, timestamp string, action string, details string"
+    with ThreadPoolExecutor(50) as pool:
+        list(pool.map(lambda k: log.append(spark.createDataFrame([(i, "t", f"w{k}", f'{{"i":{i}}}') for i in range(3)], schema), ["place"]), range(50)))
+    rows = log.entries().orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(150)) and {r["action"] for r in rows} == {f"w{k}" for k in range(50)}
+    assert all(rows[i]["action"] == rows[i + 1]["action"] == rows[i + 2]["action"] for i in range(0, 150, 3)), "a batch stays together"
+    assert log.verify().isEmpty() and log.head()["commits"] < 50
+    # another process took the next commit: the batch is hashed again behind it
+    other, real, taken = audit.AuditLog(spark, f"{tmp_path}/log"), log.head, []
+
+    def late():
+        now = real()
+        if not taken:
+            taken.append(1)
+            other._write(audit.placed(spark.createDataFrame([("t", "other", "{}", None)], f"timestamp string, action string, details string, signers {audit.SIGNERS}"), ["action"]))
+        return now
+
+    monkeypatch.setattr(log, "head", late)
+    log.append(spark.createDataFrame([(i, "t", "mine", "{}") for i in range(200)], schema), ["place"])
+    monkeypatch.setattr(log, "head", real)
+    actions = [r["action"] for r in log.entries().orderBy("seq").collect()]
+    assert actions[150:] == ["other"] + ["mine"] * 200 and log.verify().isEmpty() and log.anchors().count() == 1
+    assert log.head()["commits"] == len(state.names(spark, f"{tmp_path}/log/commits"))
 
 
 def test_published_index_from_a_stream(spark, tmp_path):
@@ -143,16 +200,32 @@ def test_published_index_from_a_stream(spark, tmp_path):
     assert [r["refused"] for r in refused.collect()] == ["organisation", "code", "code", None]
 
 
-def test_state_tables(spark, tmp_path):
+def test_state_tables(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "table")
     assert state.read_or_empty(spark, path, "x long").isEmpty()
-    for n in (3, 2):
+    for n in (3, 2, 4):
         state.replace(spark.range(n).selectExpr("id AS x"), path)
         assert state.read_or_empty(spark, path, "x long").count() == n
+    assert len(state.names(spark, path)) == 3, "the pointer, the table and the one before"
+    # a writer that fails before, or between, its steps leaves the old table
+    with pytest.raises(Exception):
+        state.replace(spark.range(9).selectExpr("raise_error('no') AS x"), path)
+    monkeypatch.setattr(state, "write_text", lambda *a, **k: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        state.replace(spark.range(9).selectExpr("id AS x"), path)
+    monkeypatch.undo()
+    assert state.read_or_empty(spark, path, "x long").count() == 4
+    assert state.write_text(spark, f"{path}/once", "a", overwrite=False) and not state.write_text(spark, f"{path}/once", "b", overwrite=False)
+    assert state.read_text(spark, f"{path}/once") == "a"
+    (version,) = (tmp_path / "table" / (tmp_path / "table" / "CURRENT").read_text()).glob("part-*"), 
+    for part in version:
+        part.write_bytes(b"damaged")
+    assert state.read_or_empty(spark, path, "x long").isEmpty(), "what cannot be read counts as empty"
     state.remove(spark, path)
     assert state.read_or_empty(spark, path, "x long").isEmpty()
 
 
+
 def test_vectors_are_computed_once_and_failures_again(spark, tmp_path):
     cache, seen = str(tmp_path / "cache"), tmp_path / "seen"
     seen.mkdir()
