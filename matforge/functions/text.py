@@ -34,6 +34,11 @@ def preprocess(d: Dialect, text: str) -> str:
     return trimmed(d, d.replace(d.replace(inch, "[“”″]", " "), f"[{SPACE}]+", " "))
 
 
+def cache_key(d: Dialect, text: str) -> str:
+    """A text as a model that ignores case and spacing tells it from others."""
+    return f"lower({trimmed(d, d.replace(text, f'[{SPACE}]+', ' '))})"
+
+
 def tokens(d: Dialect, clean: str) -> str:
     """Tokens of preprocessed text."""
     return d.split(d.replace(clean, "[^A-Z0-9]+", " "))

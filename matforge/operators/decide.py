@@ -51,9 +51,16 @@ def equivalent_standards(a: str, b: str) -> str:
     return f"coalesce({group(a)} = {group(b)}, false)"
 
 
-def facts(d: Dialect, pairs: str) -> str:
+def facts(d: Dialect, pairs: str, vectors: bool = False) -> str:
     """Adds to pairs of coded rows (structs a and b) what the cascade asks: equal dimensions, material
-    mismatches, equivalent standards, risk and text similarity."""
+    mismatches, equivalent standards, risk and text similarity.
+
+    With ``vectors`` a pair whose rows both have one (of norm 1) takes their product for its similarity; others stay lexical.
+    """
+    both = "(a.vector IS NOT NULL AND b.vector IS NOT NULL)"
+    dot = "aggregate(zip_with(a.vector, b.vector, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (acc, z) -> acc + z)"
+    near = f"CASE WHEN {both} THEN {dot} ELSE {similarity(d, 'a', 'b')} END" if vectors else similarity(d, "a", "b")
+    via = f"CASE WHEN {both} THEN 'embedding' ELSE 'lexical' END" if vectors else "'lexical'"
     case = lambda value: "(CASE a.subtype " + " ".join(f"WHEN '{s.code}' THEN {value(s)}" for s in D.SUBTYPES) + " END)"
     differs = lambda k: f"(a.a_{k} IS DISTINCT FROM b.a_{k})"
     soft = f"({differs('standard')} AND {equivalent_standards('a.a_standard', 'b.a_standard')})"
@@ -64,7 +71,7 @@ SELECT *, (a.complete AND b.complete) AS whole,
   {case(lambda s: " + ".join(map(hard, s.mats)) or "0")} AS hard_misses,
   {case(lambda s: soft if "standard" in s.mats else "false")} AS soft_standard,
   {risk("a", "b")} AS change_risk, coalesce(a.corrosion = b.corrosion, false) AS same_class,
-  {T.numeric_mismatch(d, "a.ctoks", "b.ctoks")} AS numbers_clash, {similarity(d, "a", "b")} AS sim
+  {T.numeric_mismatch(d, "a.ctoks", "b.ctoks")} AS numbers_clash, {near} AS sim, {via} AS via
 FROM {pairs}"""
 
 
@@ -93,12 +100,12 @@ CASCADE = (
     ("whole AND hard_misses = 0", "duplicate", "1.0", "rule", "'LOW'", False),
     ("whole AND same_class", "functionally_equivalent", "0.75", "rule", "change_risk", True),
     ("whole AND change_risk IN ('HIGH', 'MEDIUM')", "similar", "0.6", "rule", "change_risk", True),
-    ("whole AND sim > 0.7", "similar", "sim", "lexical", "change_risk", True),
-    ("whole", "distinct", "1 - sim", "lexical", "change_risk", False),
-    ("numbers_clash", "distinct", "0.7", "lexical", "NULL", False),
-    ("sim > 0.9", "duplicate", "sim", "lexical", "'MEDIUM'", True),
-    ("sim > 0.6", "similar", "sim", "lexical", "'MEDIUM'", True),
-    ("true", "distinct", "1 - sim", "lexical", "NULL", False),
+    ("whole AND sim > 0.7", "similar", "sim", "via", "change_risk", True),
+    ("whole", "distinct", "1 - sim", "via", "change_risk", False),
+    ("numbers_clash", "distinct", "0.7", "via", "NULL", False),
+    ("sim > 0.9", "duplicate", "sim", "via", "'MEDIUM'", True),
+    ("sim > 0.6", "similar", "sim", "via", "'MEDIUM'", True),
+    ("true", "distinct", "1 - sim", "via", "NULL", False),
 )
 
 
@@ -117,16 +124,16 @@ def _reason_values() -> dict[str, str]:
     }
 
 
-def decisions(d: Dialect, pairs: str) -> str:
+def decisions(d: Dialect, pairs: str, vectors: bool = False) -> str:
     """verdict, confidence, stage, risk, review, reason and the cascade row that decided, for structs a and b."""
     pick = lambda column: "CASE rule_no " + " ".join(f"WHEN {k} THEN {column(r)}" for k, r in enumerate(CASCADE, 1)) + " END"
     rule = "CASE " + " ".join(f"WHEN {row[0]} THEN {k}" for k, row in enumerate(CASCADE, 1)) + " END"
     reason = "CASE rule_no " + " ".join(f"WHEN {k} THEN {filled(t, _reason_values())}" for k, t in enumerate(REASONS, 1)) + " END"
     # a generator keeps the optimizer from writing out the rule's conditions again wherever rule_no is used
-    ruled = f"({facts(d, pairs)}) f1 LATERAL VIEW inline(array(struct({rule} AS rule_no))) f2" if d.spark else f"(SELECT *, {rule} AS rule_no FROM ({facts(d, pairs)}) f1) f2"
+    ruled = f"({facts(d, pairs, vectors)}) f1 LATERAL VIEW inline(array(struct({rule} AS rule_no))) f2" if d.spark else f"(SELECT *, {rule} AS rule_no FROM ({facts(d, pairs, vectors)}) f1) f2"
     return f"""
 SELECT a, b, sim, rule_no, {pick(lambda r: f"'{r[1]}'")} AS verdict, {pick(lambda r: f"CAST({r[2]} AS DOUBLE)")} AS confidence,
-  {pick(lambda r: f"'{r[3]}'")} AS stage, {pick(lambda r: r[4])} AS safety_risk, {pick(lambda r: str(r[5]).lower())} AS needs_review, {reason} AS reason
+  {pick(lambda r: "via" if r[3] == "via" else f"'{r[3]}'")} AS stage, {pick(lambda r: r[4])} AS safety_risk, {pick(lambda r: str(r[5]).lower())} AS needs_review, {reason} AS reason
 FROM {ruled}"""
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ HOT_TEXTS = 100
 LONG_WORDS = 64
 #: Similarity needs half the Jaccard plus half the cosine above 0.6, so their sum above this (less rounding).
 BOTH = "1.2 - 1e-9"
+#: Texts in a chunk of vectors, on average.
+CHUNK = 1024
 #: Decides pairs: SQL over a relation of structs a and b, giving the columns of :func:`decide.decisions`.
 Decide = Callable[[str], str]
 
@@ -101,12 +104,44 @@ def candidates(pool: DataFrame) -> DataFrame:
     return materialise(spark.sql(measured), "candidates")
 
 
+def near_vectors(pool: DataFrame, least: float = 0.6) -> DataFrame:
+    """(x, y) of texts, not both complete, whose vectors' product passes ``least``: exactly, by products of chunks.
+
+    No bound on words holds for vectors, so every pair of a block has to be measured. Texts lie in chunks of some ``CHUNK`` and each
+    pair of chunks is a task's group of two matrices; only pairs that pass leave it. The work is quadratic in a block's distinct texts.
+    """
+    spark, p = pool.sparkSession, _view(pool)
+    told = "tid, complete, first_ord, last_ord, vector"
+    texts = f"SELECT block, {told}, pmod(xxhash64(tid), chunks) AS chunk, chunks FROM (SELECT * FROM {p} WHERE vector IS NOT NULL AND NOT echo) t JOIN (SELECT block AS b, CAST(ceil(count(*) / {CHUNK}) AS INT) AS chunks FROM {p} WHERE vector IS NOT NULL AND NOT echo GROUP BY block) n ON block = b"
+    chunks = _view(materialise(spark.sql(f"SELECT block, chunk, chunks, collect_list(struct({told})) AS held FROM ({texts}) x GROUP BY block, chunk, chunks"), "chunks"))
+    cells = spark.sql(f"SELECT block, least(chunk, other) AS low, greatest(chunk, other) AS high, chunk, held FROM (SELECT *, explode(sequence(0, chunks - 1)) AS other FROM {chunks}) c")
+
+    def products(group: pa.Table) -> pa.Table:
+        sides = []
+        for held in group.column("held").to_pylist():
+            sides.append((np.array([h["vector"] for h in held], dtype=np.float64), *(np.array([h[k] for h in held]) for k in ("tid", "complete", "first_ord", "last_ord"))))
+        made: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
+        if len(sides) == 1 and group.column("low")[0] != group.column("high")[0]:
+            sides = []  # the other chunk has no texts
+        for a, b in () if not sides else ((sides[0], sides[-1]), (sides[-1], sides[0]))[: len(sides)]:
+            hit = (a[0] @ b[0].T > least - 1e-9) & ~(a[2][:, None] & b[2]) & (b[3] < a[4][:, None])
+            x, y = np.nonzero(hit)
+            made.append((a[1][x], b[1][y]))
+        return pa.table({"x": np.concatenate([m[0] for m in made]).astype(np.int64), "y": np.concatenate([m[1] for m in made]).astype(np.int64)})
+
+    return materialise(cells.groupBy("block", "low", "high").applyInArrow(products, "x long, y long"), "near")
+
+
 def decided_pairs(pool: DataFrame, decide: Decide | None = None) -> DataFrame:
     """Pairs of texts that are not distinct: a_text and b_text, the decision, and the place of b's first row."""
     spark, p = pool.sparkSession, _view(pool)
-    decide = decide or (lambda pairs: decisions(SPARK, pairs))
+    vectors = "vector" in pool.columns
+    decide = decide or (lambda pairs: decisions(SPARK, pairs, vectors))
     same_size = f"SELECT x.tid AS x, y.tid AS y FROM {p} x JOIN {p} y ON x.block = y.block AND x.dim_key = y.dim_key AND y.first_ord < x.last_ord WHERE x.complete AND y.complete AND NOT y.echo"
-    met = _view(materialise(spark.sql(f"{same_size} UNION ALL SELECT x, y FROM {_view(candidates(pool))}"), "met"))
+    open_ = candidates(pool)
+    if vectors:
+        open_ = open_.unionByName(near_vectors(pool)).distinct()
+    met = _view(materialise(spark.sql(f"{same_size} UNION ALL SELECT x, y FROM {_view(open_)}"), "met"))
     pairs = f"(SELECT struct(a.*) AS a, struct(b.*) AS b FROM {met} t JOIN {p} a ON a.tid = t.x JOIN {p} b ON b.tid = t.y) pairs"
     out = f"""
 SELECT a.raw_description AS a_text, a.complete AS a_complete, b.raw_description AS b_text, b.first_ord AS matched_ord, b.complete AS matched_complete, {', '.join(DECIDED)}
@@ -162,15 +197,32 @@ REASON = f"CASE WHEN n_comparable > 1 THEN concat(first_reason, ' | ', {filled(B
 STATUS = "CASE WHEN needs_review THEN 'pending-review' ELSE 'auto-issued' END"
 
 
-def map_materials(rows: DataFrame, decide: Decide | None = None) -> DataFrame:
+def planned_texts(rows: DataFrame) -> DataFrame:
+    """(raw_description): the texts that a comparison of wordings may need, each once.
+
+    Those of incomplete items in blocks of several rows, and of complete items that share their dimensions with another code.
+    """
+    spark, m = rows.sparkSession, _view(rows)
+    crowded = f"SELECT block FROM {m} GROUP BY block HAVING count(*) > 1"
+    split = f"SELECT block, dim_key FROM {m} WHERE complete GROUP BY block, dim_key HAVING count(DISTINCT nmc_code) > 1"
+    return spark.sql(f"""SELECT DISTINCT raw_description FROM (
+  SELECT raw_description FROM {m} m LEFT SEMI JOIN ({crowded}) c ON m.block = c.block WHERE NOT complete
+  UNION ALL SELECT raw_description FROM {m} m LEFT SEMI JOIN ({split}) s ON m.block = s.block AND m.dim_key = s.dim_key WHERE complete) t WHERE trim(raw_description) <> ''""")
+
+
+def map_materials(rows: DataFrame, decide: Decide | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """The mapping of coded materials (a written table): match, decision, code in force (its root's own code) and status of each.
 
+    ``vectors`` (text, vector) gives texts vectors of norm 1; pairs of which both have one are compared by them, others by their words.
+
     ``decide`` may replace the cascade, on pairs that are similar by words and trigrams. Blocks in which two representatives of the same
     dimensions ended under one incomplete item's code are played again row by row (see ``replay``), since there the second one
     is no candidate for later rows. An empty table gives an empty mapping.
     """
     spark = rows.sparkSession
-    pool = pool_texts(rows)
+    known = vectors.select(F.col("text").alias("raw_description"), "vector") if vectors is not None else None
+    seen = lambda texts: texts if known is None else materialise(texts.join(known, "raw_description", "left"), "pool")
+    pool = seen(pool_texts(rows))
     found = linked(rows, pool, decided_pairs(pool, decide))
     name = _view(found)
     ends = _view(roots(spark.sql(f"SELECT ord, CASE WHEN verdict = 'duplicate' THEN matched_ord END AS up FROM {name}"), "ord", "up"))
@@ -182,7 +234,7 @@ FROM {name} l JOIN {ends} r ON l.ord = r.ord JOIN (SELECT ord, own_nmc FROM {nam
     c = _view(closed)
     merged = materialise(spark.sql(f"SELECT DISTINCT block FROM (SELECT block, dim_key, nmc_code FROM {c} WHERE complete AND NOT copy GROUP BY block, dim_key, nmc_code HAVING count(*) > 1) g"), "blocks")
     if not merged.isEmpty():
-        again = replay(rows.join(merged, "block", "left_semi"), lambda texts: decided_pairs(texts, decide))
+        again = replay(rows.join(merged, "block", "left_semi"), lambda texts: decided_pairs(seen(texts), decide))
         closed = materialise(closed.join(merged, "block", "left_anti").unionByName(again.select(*closed.columns)), "mapping")
     return closed.selectExpr("* EXCEPT (copy)", f"{REASON} AS reason", f"{STATUS} AS status")
 

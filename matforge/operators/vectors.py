@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from matforge.functions import text as T
 from matforge.functions.dialect import SPARK
 from matforge.operators import dictionary as D
 from matforge.operators.extract import coded
@@ -21,7 +23,9 @@ from matforge.sources import state
 Embed = Callable[[list[str]], list]
 #: Texts a model gets at once; least similarity for a guess.
 BATCH, LEAST = 32, 0.45
-SCHEMA = "text string, vector array<float>"
+SCHEMA = "key string, vector array<float>, turn long"
+#: Fixed value: vectors that the cache keeps.
+MOST_CACHED = 100_000
 
 
 def trigram_vectors(texts: list[str], size: int = 32) -> list[list[float]]:
@@ -35,25 +39,63 @@ def trigram_vectors(texts: list[str], size: int = 32) -> list[list[float]]:
     return out
 
 
-def embed_texts(texts: DataFrame, embed: Embed, cache: str) -> DataFrame:
-    """(text, vector) for each distinct non-null text of the first column; the model sees each text once.
+def bucket_vectors(texts: list[str], size: int = 251) -> list[list[float]]:
+    """A stand-in model that SQL can follow: counts of character trigrams in buckets by their code points."""
+    out = []
+    for text in texts:
+        v, points = np.zeros(size), [ord(c) for c in f"  {text.upper()} "]
+        for a, b, c in zip(points, points[1:], points[2:]):
+            v[(a * 961 + b * 31 + c) % size] += 1
+        out.append((v / np.sqrt((v * v).sum())).tolist())
+    return out
+
+
+@dataclass
+class Embedded:
+    """Vectors of the texts asked for, and what the call took: texts found in the cache, computed, and failed."""
 
-    Vectors are appended to the table at ``cache``; texts found there are not computed again. A failed text has a
-    NULL vector and is tried again by a later call.
+    vectors: DataFrame
+    hits: int
+    computed: int
+    failed: int
+
+
+def embed_counted(texts: DataFrame, embed: Embed, cache: str, most: int = MOST_CACHED) -> Embedded:
+    """(text, vector) for each distinct non-null text of the first column; the model sees each text that it can tell apart once.
+
+    Texts go by :func:`text.cache_key`. Those in the cache table at ``cache`` are not computed again. The table keeps the ``most`` newest
+    vectors, whole calls at a time and then by key, and is swapped in one step; a call itself holds all that it needs, however
+    many. A failed text has a NULL vector and is tried again by a later call.
     """
+    spark = texts.sparkSession
     asked = texts.select(F.col(texts.columns[0]).alias("text")).filter("text IS NOT NULL").distinct()
-    known = state.read_or_empty(asked.sparkSession, cache, SCHEMA)
+    asked = materialise(asked.withColumn("key", F.expr(T.cache_key(SPARK, "text"))), "texts")
+    known = materialise(state.read_or_empty(spark, cache, SCHEMA), "known")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), BATCH):
-                part = frame["text"].iloc[at : at + BATCH].tolist()
-                yield pd.DataFrame({"text": part, "vector": embed(part)})
+                part = frame.iloc[at : at + BATCH]
+                yield pd.DataFrame({"key": part["key"].tolist(), "vector": embed(part["text"].tolist())})
+
+    missing = asked.join(known, "key", "left_anti").groupBy("key").agg(F.min("text").alias("text"))
+    fresh = materialise(missing.mapInPandas(run, "key string, vector array<float>"), "fresh")
+    watched, seen = Observation(), Observation()
+    asked.join(known.select("key"), "key", "left_semi").observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    fresh.observe(watched, F.count("vector").alias("computed"), F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    computed, n = watched.get["computed"], watched.get["n"]
+    made = fresh.filter("vector IS NOT NULL")
+    if computed:
+        turn = (known.agg(F.max("turn")).first()[0] or 0) + 1
+        everything = known.unionByName(made.withColumn("turn", F.lit(turn).cast("long")).select("key", "vector", "turn"))
+        state.replace(everything.orderBy(F.desc("turn"), "key").limit(most), cache)
+    vectors = asked.join(known.select("key", "vector").unionByName(made), "key", "left").select("text", "vector")
+    return Embedded(vectors, seen.get["n"], computed, n - computed)
 
-    asked = materialise(asked, "texts")
-    asked.join(known, "text", "left_anti").mapInPandas(run, SCHEMA).filter("vector IS NOT NULL").write.mode("append").parquet(cache)
-    # a batch that is retried may leave a text twice
-    return asked.join(state.read_or_empty(asked.sparkSession, cache, SCHEMA).dropDuplicates(["text"]), "text", "left")
+
+def embed_texts(texts: DataFrame, embed: Embed, cache: str) -> DataFrame:
+    """The vectors of :func:`embed_counted`."""
+    return embed_counted(texts, embed, cache).vectors
 
 
 def prototypes() -> list[tuple[str, str]]:

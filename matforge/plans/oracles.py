@@ -37,12 +37,21 @@ def _reason() -> str:
     return "CASE rule_no " + " ".join(f"WHEN {k} THEN {blanks(t)}" for k, t in enumerate(REASONS, 1)) + " END"
 
 
-def _judged(pairs: str) -> str:
+#: Product of two texts' vectors, where both have one.
+_DOT = "list_sum(list_transform(list_zip(x.vec, y.vec), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+
+
+def _judged(pairs: str, vectors: bool = False) -> str:
     """Decided pairs of texts; ``pairs`` gives a_text and b_text. One row per pair: rule, verdict, confidence, stage, risk, review, reason, sim."""
+    near = """0.5 * CASE WHEN len(x.ctoks) = 0 OR len(y.ctoks) = 0 THEN 0 ELSE len(list_intersect(x.ctoks, y.ctoks)) / len(list_distinct(x.ctoks || y.ctoks)) END
+        + 0.5 * coalesce(list_sum(list_transform(map_keys(x.hist), lambda g: CAST(x.hist[g] AS BIGINT) * coalesce(CAST(y.hist[g] AS BIGINT), 0))), 0) / sqrt(list_sum(list_transform(map_values(x.hist), lambda c: CAST(c AS DOUBLE) * c)) * list_sum(list_transform(map_values(y.hist), lambda c: CAST(c AS DOUBLE) * c)))"""
+    via = "CASE WHEN x.vec IS NOT NULL AND y.vec IS NOT NULL THEN 'embedding' ELSE 'lexical' END" if vectors else "'lexical'"
+    near = f"CASE WHEN x.vec IS NOT NULL AND y.vec IS NOT NULL THEN {_DOT} ELSE {near} END" if vectors else near
+    texts = "vector_texts" if vectors else "texts"
     return f"""
 SELECT *, CASE rule_no WHEN 1 THEN 'duplicate' WHEN 2 THEN 'distinct' WHEN 3 THEN 'similar' WHEN 4 THEN 'duplicate' WHEN 5 THEN 'functionally_equivalent' WHEN 6 THEN 'similar' WHEN 7 THEN 'similar' WHEN 10 THEN 'duplicate' WHEN 11 THEN 'similar' ELSE 'distinct' END AS verdict,
   CASE WHEN rule_no IN (1, 4) THEN 1.0 WHEN rule_no = 2 THEN 0.9 WHEN rule_no = 3 THEN 0.85 WHEN rule_no = 5 THEN 0.75 WHEN rule_no = 6 THEN 0.6 WHEN rule_no = 9 THEN 0.7 WHEN rule_no IN (7, 10, 11) THEN sim ELSE 1 - sim END AS confidence,
-  CASE WHEN rule_no < 7 THEN 'rule' ELSE 'lexical' END AS stage,
+  CASE WHEN rule_no < 7 THEN 'rule' ELSE via END AS stage,
   CASE WHEN rule_no IN (1, 4) THEN 'LOW' WHEN rule_no IN (3, 5, 6, 7, 8) THEN step_risk WHEN rule_no IN (10, 11) THEN 'MEDIUM' END AS safety_risk,
   rule_no IN (3, 5, 6, 7, 10, 11) AS needs_review,
   {_reason()} AS reason
@@ -58,9 +67,8 @@ FROM (SELECT *, CASE
       EXISTS (SELECT 1 FROM interchange g JOIN interchange h ON g.k = h.k WHERE g.name = x.a_standard AND h.name = y.a_standard) AS interchangeable,
       x.corrosion AS class_a, y.corrosion AS class_b, x.subtype AS sub_a, x.a_grade AS grade_a, y.a_grade AS grade_b, list_filter(x.ctoks, lambda w: regexp_matches(w, '[0-9]')) AS digits_a, list_filter(y.ctoks, lambda w: regexp_matches(w, '[0-9]')) AS digits_b,
       CASE abs(x.severity - y.severity) WHEN 0 THEN 'LOW' WHEN 1 THEN CASE WHEN x.subtype IN ({PRESSURE}) THEN 'MEDIUM' ELSE 'LOW' END WHEN 2 THEN CASE WHEN x.subtype IN ({PRESSURE}) THEN 'HIGH' ELSE 'MEDIUM' END END AS step_risk,
-      0.5 * CASE WHEN len(x.ctoks) = 0 OR len(y.ctoks) = 0 THEN 0 ELSE len(list_intersect(x.ctoks, y.ctoks)) / len(list_distinct(x.ctoks || y.ctoks)) END
-        + 0.5 * coalesce(list_sum(list_transform(map_keys(x.hist), lambda g: CAST(x.hist[g] AS BIGINT) * coalesce(CAST(y.hist[g] AS BIGINT), 0))), 0) / sqrt(list_sum(list_transform(map_values(x.hist), lambda c: CAST(c AS DOUBLE) * c)) * list_sum(list_transform(map_values(y.hist), lambda c: CAST(c AS DOUBLE) * c))) AS sim
-    FROM ({pairs}) t JOIN texts x ON t.a_text = x.raw_description JOIN texts y ON t.b_text = y.raw_description) f) r"""
+      {near} AS sim, {via} AS via
+    FROM ({pairs}) t JOIN {texts} x ON t.a_text = x.raw_description JOIN {texts} y ON t.b_text = y.raw_description) f) r"""
 
 
 def _explained(judged: str) -> str:
@@ -209,7 +217,35 @@ WITH flags AS (SELECT *, CASE WHEN complete AND ord = rep THEN 1 ELSE 0 END AS i
 met AS (SELECT count(*) AS n FROM flags x JOIN flags y ON x.block = y.block AND y.ord < x.ord AND CASE WHEN NOT x.complete THEN y.is_rep = 1 OR NOT y.complete WHEN x.is_rep = 1 THEN NOT y.complete OR (y.is_rep = 1 AND y.dim_key = x.dim_key) ELSE y.is_rep = 1 AND y.dim_key = x.dim_key AND y.ord <= x.rep END)
 SELECT count(*) AS materials, count(*) FILTER (subtype = 'UNK') AS uncategorised, any_value(met.n) AS comparisons, count(*) FILTER (stage = 'rule') AS rule_decisions, count(*) FILTER (stage = 'lexical') AS lexical_decisions, count(*) FILTER (stage = 'embedding') AS embedding_decisions, count(*) FILTER (stage = 'embedding') AS embedding_calls, 'not-needed' AS embedder_status FROM mapping, met"""
 
+def _vector_ctes() -> list[tuple[str, str]]:
+    """The relations from pairs to mapping again, over vectors of bucketed trigrams for the planned texts."""
+    points = "list_transform(range(1, length(raw_description) + 2), lambda i: (ascii(whole[i]) * 961 + ascii(whole[i + 1]) * 31 + ascii(whole[i + 2])) % 251)"
+    counts = f"SELECT raw_description, b, count(*) AS n FROM (SELECT raw_description, unnest({points}) AS b FROM (SELECT raw_description, '  ' || upper(raw_description) || ' ' AS whole FROM planned) w) u GROUP BY ALL"
+    planned = """SELECT DISTINCT raw_description FROM m WHERE trim(raw_description) <> '' AND CASE WHEN complete THEN (block, dim_key) IN (SELECT (block, dim_key) FROM m WHERE complete GROUP BY block, dim_key HAVING count(DISTINCT nmc_code) > 1)
+  ELSE block IN (SELECT block FROM m GROUP BY block HAVING count(*) > 1) END"""
+    made = [
+        ("planned", planned),
+        ("bucketed", counts),
+        ("vectored", "SELECT p.raw_description, list(CAST(coalesce(n, 0) / norm AS FLOAT) ORDER BY k) AS vec FROM planned p CROSS JOIN range(251) r(k) LEFT JOIN bucketed b ON b.raw_description = p.raw_description AND b.b = k JOIN (SELECT raw_description, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM bucketed GROUP BY ALL) q ON q.raw_description = p.raw_description GROUP BY p.raw_description"),
+        ("vector_texts", "SELECT t.*, v.vec FROM texts t LEFT JOIN vectored v USING (raw_description)"),
+    ]
+    again = {"ruled": _judged("SELECT a_text, b_text FROM facing UNION SELECT a_text, b_text FROM echoes", True)}
+    named = ("ruled", "tally", "ranked", "chosen", "climb", "mapping")
+    for name, query in CTES:
+        plain = name.split("(")[0]
+        if plain in named:
+            query = again.get(plain, query)
+            for other in named:
+                query = re.sub(rf"\b(FROM|JOIN) {other}\b", rf"\1 vector_{other}", query)
+            made.append((f"vector_{name}", query))
+    return made
+
+
+CTES += _vector_ctes()
+
 BODIES: dict[str, str] = {
+    "mapping_by_vectors": "SELECT ord, nmc_code, matched_ord, verdict, round(confidence, 6) AS confidence, stage, safety_risk, status FROM vector_mapping",
+    "planned_texts": "SELECT raw_description AS text, len(vec) AS width FROM vectored",
     "mapping": "SELECT ord, cpse_id, own_code, nmc_code, own_nmc, matched_ord, matched_nmc, verdict, round(confidence, 6) AS confidence, stage, safety_risk, needs_review, status, reason FROM mapping",
     "nmc_records": "SELECT p.nmc_code, canonical, category, subtype, complete, n AS n_materials, c.new_code AS superseded_by FROM (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY nmc_code) AS n FROM mapping WINDOW w AS (PARTITION BY nmc_code ORDER BY ord)) p LEFT JOIN chain c ON p.nmc_code = c.old_code WHERE k = 1",
     "stage_status_counts": "SELECT stage, verdict, status, count(*) AS n, count(DISTINCT nmc_code) AS codes FROM mapping GROUP BY ALL",

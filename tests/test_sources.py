@@ -10,8 +10,9 @@ import pytest
 from pyspark.errors import PySparkException
 
 from matforge.functions.dialect import DUCK, SPARK
-from matforge.operators import audit, vectors
+from matforge.operators import audit, match, vectors
 from matforge.plans import files
+from matforge.plans import views as V
 from matforge.sources import documents, grids, items, pairs, state
 from matforge.streaming import published
 
@@ -236,10 +237,44 @@ def test_vectors_are_computed_once_and_failures_again(spark, tmp_path):
         return [None if t == "bad" else [1.0, 0.0] for t in texts]
 
     texts = lambda *t: spark.createDataFrame([(x,) for x in t], "t string")
-    got = {r["text"]: r["vector"] for r in vectors.embed_texts(texts("a", "a", "b", "bad", None), embed, cache).collect()}
-    assert got == {"a": [1.0, 0.0], "b": [1.0, 0.0], "bad": None}
-    assert {r["text"] for r in vectors.embed_texts(texts("a", "c", "bad"), embed, cache).collect()} == {"a", "c", "bad"}
-    assert sorted(p.name.split(".")[0] for p in seen.iterdir()) == ["a", "b", "bad", "bad", "c"]
+    first = vectors.embed_counted(texts("a", " A ", "b", "bad", None), embed, cache)
+    assert {r["text"]: r["vector"] for r in first.vectors.collect()} == {"a": [1.0, 0.0], " A ": [1.0, 0.0], "b": [1.0, 0.0], "bad": None}
+    assert (first.hits, first.computed, first.failed) == (0, 2, 1)
+    again = vectors.embed_counted(texts("a", "A\t", "c", "bad"), embed, cache)
+    assert {r["text"] for r in again.vectors.collect()} == {"a", "A\t", "c", "bad"} and (again.hits, again.computed, again.failed) == (2, 1, 1)
+    assert sorted(p.name.split(".")[0].strip().lower() for p in seen.iterdir()) == ["a", "b", "bad", "bad", "c"]
+    # the oldest make room; a call's own texts are answered all the same
+    third = vectors.embed_counted(texts("d", "e", "f"), embed, cache, most=4)
+    assert all(r["vector"] for r in third.vectors.collect())
+    kept = {r["key"] for r in state.read_or_empty(spark, cache, vectors.SCHEMA).collect()}
+    assert kept == {"d", "e", "f", "c"} and vectors.embed_counted(texts("d", "c"), embed, cache).computed == 0
+    assert vectors.embed_counted(texts(None), embed, cache).vectors.count() == 0
+
+
+def test_vectors_enter_the_cascade(spark, tmp_path):
+    """Texts that a model calls alike match although they share no word; failed texts fall back on their words."""
+    names = ["MYSTERY WIDGET KIT", "UNKNOWN GADGET SET", "THIRD THING", "BROKEN WORDING HERE", "BROKEN WORDING HERE TOO", "HEX NUT M12 SS304"]
+    near = {"MYSTERY WIDGET KIT": [1.0, 0.0], "UNKNOWN GADGET SET": [0.95, (1 - 0.95**2) ** 0.5], "THIRD THING": [0.0, 1.0]}
+    rows = V.code_materials(spark.createDataFrame([(k, "ONGC", f"C{k}", "EA", 1.0, 1.0, t) for k, t in enumerate(names)], "ord long, cpse_id string, own_code string, uom string, quantity double, unit_price double, raw_description string"))
+    made = vectors.embed_counted(match.planned_texts(rows), lambda texts: [near.get(t) for t in texts], str(tmp_path / "cache"))
+    assert (made.computed, made.failed) == (3, 2), "the nut stands alone in its block and needs no vector"
+    got = {r["ord"]: r for r in match.map_materials(rows, vectors=made.vectors).collect()}
+    assert (got[1]["verdict"], got[1]["stage"], round(got[1]["confidence"], 6), got[1]["matched_ord"]) == ("duplicate", "embedding", 0.95, 0)
+    assert (got[2]["verdict"], got[4]["stage"], got[4]["matched_ord"]) == ("distinct", "lexical", 3)
+
+
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_all_near_vectors_are_found(spark, monkeypatch, chunk):
+    monkeypatch.setattr(match, "CHUNK", chunk)
+    rng = vectors.np.random.default_rng(1)
+    rows = []
+    for k in range(60):
+        v = rng.normal(0, 1, 3)
+        rows.append((k, f"B{k % 2}", k % 5 == 0, k, k + 30, k % 17 == 0, None if k % 13 == 0 else (v / vectors.np.linalg.norm(v)).tolist()))
+    pool = spark.createDataFrame(rows, "tid long, block string, complete boolean, first_ord long, last_ord long, echo boolean, vector array<double>")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[6] and b[6] and not a[5] and not b[5] and not (a[2] and b[2]) and b[3] < a[4] and sum(x * y for x, y in zip(a[6], b[6])) > 0.6}
+    found = [(r["x"], r["y"]) for r in match.near_vectors(pool).collect()]
+    assert set(found) == want and len(found) == len(set(found)) and len(want) > 50
 
 
 def test_reclassification_against_brute_force(spark, tiny):
