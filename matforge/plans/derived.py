@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matforge.functions.dialect import SPARK
-from matforge.operators import audit, economics, explain, match, review, supersession, vectors
+from matforge.operators import audit, economics, explain, graph, match, review, supersession, vectors
 from matforge.operators.decide import BEST_OF, filled
 from matforge.operators.decide import decisions as decide
 from matforge.operators.pointers import roots
@@ -131,6 +131,17 @@ class Relations:
         told = (("mapping.csv", MAPPING_HEADER, "ord", f"({mapping_lines('{reviewed}')})"), ("substitutions.csv", SUBSTITUTION_HEADER, "audit_seq", f"({_substitution_lines()})"), ("economics.csv", ECONOMICS_HEADER, "first_ord", f"({_economics_lines()})"))
         return write_documents(self.sql(" UNION ALL ".join(f"SELECT '{name}' AS document, '{','.join(header)}' AS header, {place} AS place, line FROM {lines} x" for name, header, place, lines in told)), path)
 
+    def nodes(self) -> DataFrame:
+        return materialise(self.sql(_NODES), "nodes")
+
+    def edges(self) -> DataFrame:
+        return materialise(self.sql(_EDGES), "edges")
+
+    def reach(self) -> DataFrame:
+        """What lies at most two edges away from an organisation's superseded codes."""
+        start = self.sql("SELECT DISTINCT 'n:' || old_code AS id FROM {chain} c JOIN {mapping} p ON c.old_code = p.nmc_code WHERE p.cpse_id = 'ONGC'")
+        return graph.within(self.spark.table(self.view("edges")), start, 2)
+
     def matched(self) -> DataFrame:
         """Materials with their matches, as decided and explained, once per pair of texts."""
         pairs = "SELECT DISTINCT x.raw_description AS a_text, y.raw_description AS b_text FROM {mapping} x JOIN {mapping} y ON x.matched_ord = y.ord"
@@ -152,6 +163,14 @@ class Relations:
         return materialise(self.sql(f"SELECT p.*, {LABEL} AS predicted, CASE WHEN sim >= 0.8 THEN 'DUPLICATE' ELSE 'NOT_EQUIVALENT' END AS baseline, rule_no, confidence, safety_risk, needs_review, sim, outcome, reasoning FROM ({PAIRS}) p JOIN {{judged}} j ON p.a_text = j.a_text AND p.b_text = j.b_text"), "evaluated")
 
 
+#: Two ways of looking at the graph, and a text to look for.
+VIEWS = {
+    "organisation": {"organisation": "ONGC", "relations": ("USED_BY", "MAPPED_TO", "DUPLICATE", "SUBSTITUTE", "SUPERSEDED_BY")},
+    "filtered": {"category": "Fastener", "status": "pending-review", "code": "hnt"},
+}
+SOUGHT = "Hex"
+
+
 def _r(x: str) -> str:
     return f"round({x}, 6)"
 
@@ -170,15 +189,17 @@ def _first(status: str) -> str:
     return f"min(CASE WHEN status = '{status}' THEN ord END)"
 
 
+_RECORD = "(SELECT nmc_code, min_by(struct(canonical, category), ord) AS f FROM {m} GROUP BY nmc_code)"
+_KNOWN = "coalesce(f.category, 'Unknown')"
 _NODES = f"""
-SELECT 'c:' || cpse_id AS id, 'cpse' AS type, cpse_id AS label, CASE WHEN max({_HEALTH}) = 2 THEN 'review' ELSE 'ok' END AS health, 'active' AS status FROM {{reviewed}} GROUP BY cpse_id
-UNION ALL SELECT 'm:' || CAST(ord AS VARCHAR(20)), 'material', own_code, {_word(_HEALTH)}, status FROM {{reviewed}}
-UNION ALL SELECT 'n:' || c.code, CASE WHEN {_RETIRED} THEN 'superseded' WHEN {_ONLY_LINKED} THEN 'substitute' ELSE 'nmc' END, c.code,
+SELECT 'c:' || cpse_id AS id, 'cpse' AS type, cpse_id AS label, 'CPSE' AS title, '—' AS category, CASE WHEN max({_HEALTH}) = 2 THEN 'review' ELSE 'ok' END AS health, 'active' AS status FROM {{reviewed}} GROUP BY cpse_id
+UNION ALL SELECT 'm:' || CAST(ord AS VARCHAR(20)), 'material', own_code, raw_description, {_KNOWN}, {_word(_HEALTH)}, status FROM {{reviewed}} v LEFT JOIN {_RECORD} k ON v.nmc_code = k.nmc_code
+UNION ALL SELECT 'n:' || c.code, CASE WHEN {_RETIRED} THEN 'superseded' WHEN {_ONLY_LINKED} THEN 'substitute' ELSE 'nmc' END, c.code, coalesce(f.canonical, '(not in current run)'), {_KNOWN},
   {_word(f"greatest(coalesce(u.worst, 0), CASE WHEN {_RETIRED} OR ({_ONLY_LINKED}) THEN 1 ELSE 0 END)")},
   CASE WHEN {_RETIRED} THEN 'superseded' WHEN {_ONLY_LINKED} THEN 'substitute-only' WHEN u.rejected < coalesce(u.pending, u.rejected + 1) THEN 'rejected' WHEN u.pending IS NOT NULL THEN 'pending-review' ELSE 'active' END
 FROM (SELECT nmc_code AS code FROM {{reviewed}} UNION SELECT code FROM {_LINKED} k UNION SELECT old_code FROM {{chain}} UNION SELECT new_code FROM {{chain}}) c
   LEFT JOIN (SELECT nmc_code, max({_HEALTH}) AS worst, {_first('pending-review')} AS pending, {_first('reviewed-rejected')} AS rejected FROM {{reviewed}} GROUP BY nmc_code) u ON c.code = u.nmc_code
-  LEFT JOIN (SELECT DISTINCT old_code FROM {{chain}}) s ON c.code = s.old_code LEFT JOIN {_LINKED} l ON c.code = l.code"""
+  LEFT JOIN (SELECT DISTINCT old_code FROM {{chain}}) s ON c.code = s.old_code LEFT JOIN {_LINKED} l ON c.code = l.code LEFT JOIN {_RECORD} k ON c.code = k.nmc_code"""
 _EDGES = """
 SELECT src || '|' || rel || '|' || dst AS id, src, dst, rel FROM (
   SELECT 'm:' || CAST(ord AS VARCHAR(20)) AS src, 'c:' || cpse_id AS dst, 'USED_BY' AS rel FROM {reviewed}
@@ -290,6 +311,10 @@ BODIES: dict[str, str] = {
     "export_documents": "SELECT * FROM {exported}",
     "graph_nodes": _NODES,
     "graph_edges": _EDGES,
+    "visible_edges": "SELECT id, src, dst, rel FROM (" + graph.visible_edges("{nodes}", "{edges}", **VIEWS["organisation"]) + ") e",
+    "visible_edges_filtered": "SELECT id, src, dst, rel FROM (" + graph.visible_edges("{nodes}", "{edges}", **VIEWS["filtered"]) + ") e",
+    "visible_search": "SELECT id, type, label, title FROM (" + graph.found_nodes("{nodes}", graph.visible_edges("{nodes}", "{edges}", **VIEWS["organisation"]), SOUGHT) + ") e",
+    "graph_reach": "SELECT id, hop FROM {reach}",
     "visible_subgraph": "SELECT e.ord, e.cpse_id, e.nmc_code FROM {mapping} e WHERE EXISTS (SELECT 1 FROM {mapping} o WHERE o.nmc_code = e.nmc_code AND o.cpse_id = 'ONGC')",
     "node_search": "SELECT ord, own_code, nmc_code, raw_description FROM {mapping} WHERE lower(raw_description) LIKE '%valve%' OR lower(nmc_code) LIKE '%valve%' OR lower(own_code) LIKE '%valve%' ORDER BY ord LIMIT 100",
     "filter_domains": "SELECT 'organisation' AS domain, cpse_id AS value FROM {mapping} GROUP BY cpse_id UNION ALL SELECT 'category', category FROM {mapping} GROUP BY category UNION ALL SELECT 'status', status FROM {mapping} GROUP BY status ORDER BY domain, value",

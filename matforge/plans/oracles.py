@@ -166,9 +166,9 @@ def _graph_nodes() -> str:
 WITH care AS (SELECT *, CASE WHEN status = 'reviewed-rejected' OR safety_risk = 'HIGH' THEN 'risk' WHEN status = 'pending-review' THEN 'review' ELSE 'ok' END AS health FROM reviewed),
 folded AS (SELECT nmc_code, list(health) AS seen, arg_min(status, ord) FILTER (status IN ('pending-review', 'reviewed-rejected')) AS first_status FROM care GROUP BY nmc_code),
 paired AS (SELECT code_a AS code FROM links UNION SELECT code_b FROM links), codes AS (SELECT nmc_code AS code FROM reviewed UNION SELECT code FROM paired UNION SELECT old_code FROM chain UNION SELECT new_code FROM chain)
-SELECT 'c:' || cpse_id AS id, 'cpse' AS type, cpse_id AS label, CASE WHEN bool_or(health = 'risk') THEN 'review' ELSE 'ok' END AS health, 'active' AS status FROM care GROUP BY cpse_id
-UNION ALL SELECT 'm:' || ord, 'material', own_code, health, status FROM care
-UNION ALL SELECT 'n:' || code, CASE WHEN code IN (SELECT old_code FROM chain) THEN 'superseded' WHEN seen IS NULL AND code IN (SELECT code FROM paired) THEN 'substitute' ELSE 'nmc' END, code,
+SELECT 'c:' || cpse_id AS id, 'cpse' AS type, cpse_id AS label, 'CPSE' AS title, '—' AS category, CASE WHEN bool_or(health = 'risk') THEN 'review' ELSE 'ok' END AS health, 'active' AS status FROM care GROUP BY cpse_id
+UNION ALL SELECT 'm:' || ord, 'material', own_code, raw_description, coalesce((SELECT first(x.category ORDER BY x.ord) FROM m x WHERE x.nmc_code = care.nmc_code), 'Unknown'), health, status FROM care
+UNION ALL SELECT 'n:' || code, CASE WHEN code IN (SELECT old_code FROM chain) THEN 'superseded' WHEN seen IS NULL AND code IN (SELECT code FROM paired) THEN 'substitute' ELSE 'nmc' END, code, coalesce((SELECT first(x.canonical ORDER BY x.ord) FROM m x WHERE x.nmc_code = code), '(not in current run)'), coalesce((SELECT first(x.category ORDER BY x.ord) FROM m x WHERE x.nmc_code = code), 'Unknown'),
   CASE WHEN list_contains(seen, 'risk') THEN 'risk' WHEN list_contains(seen, 'review') OR code IN (SELECT old_code FROM chain) OR (seen IS NULL AND code IN (SELECT code FROM paired)) THEN 'review' ELSE 'ok' END,
   CASE WHEN code IN (SELECT old_code FROM chain) THEN 'superseded' WHEN seen IS NULL AND code IN (SELECT code FROM paired) THEN 'substitute-only' WHEN first_status = 'reviewed-rejected' THEN 'rejected' WHEN first_status IS NOT NULL THEN 'pending-review' ELSE 'active' END
 FROM codes LEFT JOIN folded ON code = nmc_code"""
@@ -243,7 +243,26 @@ def _vector_ctes() -> list[tuple[str, str]]:
 
 CTES += _vector_ctes()
 
+CTES += [("nodes", _graph_nodes()), ("edges", _GRAPH_EDGES)]
+_FIRST = """
+SELECT e.id, e.src, e.dst, e.rel FROM edges e WHERE rel IN ('USED_BY', 'MAPPED_TO', 'DUPLICATE', 'SUBSTITUTE', 'SUPERSEDED_BY') AND (src[1] <> 'c' OR src = 'c:ONGC') AND (dst[1] <> 'c' OR dst = 'c:ONGC')"""
+_ORGANISATION = f"""
+WITH shown AS ({_FIRST}), own AS (SELECT src AS id FROM shown WHERE rel = 'USED_BY'), codes AS (SELECT dst AS id FROM edges WHERE src IN (SELECT id FROM own) AND dst[1] = 'n'),
+fine AS (SELECT 'c:ONGC' AS id UNION SELECT id FROM own UNION SELECT id FROM codes UNION SELECT dst FROM edges WHERE dst[1] = 'n' AND src IN (SELECT id FROM codes) UNION SELECT src FROM edges WHERE src[1] = 'n' AND dst IN (SELECT id FROM codes))
+SELECT * FROM shown WHERE src IN (SELECT id FROM fine) AND dst IN (SELECT id FROM fine)"""
+_FILTERED = """
+SELECT e.id, e.src, e.dst, e.rel FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id
+WHERE (a.type = 'cpse' OR (a.category = 'Fastener' AND a.status = 'pending-review' AND (a.type = 'material' OR a.label ILIKE '%hnt%'))) AND (b.type = 'cpse' OR (b.category = 'Fastener' AND b.status = 'pending-review' AND (b.type = 'material' OR b.label ILIKE '%hnt%')))"""
+_REACH = """
+WITH begun AS (SELECT DISTINCT 'n:' || old_code AS id FROM chain JOIN mapping ON old_code = nmc_code WHERE cpse_id = 'ONGC'),
+pairs AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), one AS (SELECT DISTINCT b AS id FROM pairs WHERE a IN (SELECT id FROM begun)), two AS (SELECT DISTINCT b AS id FROM pairs WHERE a IN (SELECT id FROM one))
+SELECT id, CAST(min(hop) AS INT) AS hop FROM (SELECT id, 0 AS hop FROM begun UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) u GROUP BY id"""
+
 BODIES: dict[str, str] = {
+    "visible_edges": _ORGANISATION,
+    "visible_edges_filtered": _FILTERED,
+    "visible_search": f"SELECT id, type, label, title FROM nodes WHERE (label ILIKE '%hex%' OR title ILIKE '%hex%') AND id IN (SELECT unnest([src, dst]) FROM ({_ORGANISATION}) o)",
+    "graph_reach": _REACH,
     "mapping_by_vectors": "SELECT ord, nmc_code, matched_ord, verdict, round(confidence, 6) AS confidence, stage, safety_risk, status FROM vector_mapping",
     "planned_texts": "SELECT raw_description AS text, len(vec) AS width FROM vectored",
     "mapping": "SELECT ord, cpse_id, own_code, nmc_code, own_nmc, matched_ord, matched_nmc, verdict, round(confidence, 6) AS confidence, stage, safety_risk, needs_review, status, reason FROM mapping",
