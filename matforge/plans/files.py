@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matforge.functions.dialect import DUCK, SPARK
 from matforge.operators import audit, vectors
+from matforge.plans import oracles, run
 from matforge.plans import views as V
 from matforge.runtime import materialise, scratch_path
 from matforge.sources import documents, grids, items, pairs
@@ -36,6 +37,35 @@ def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.items(read).select("cpse_id", "own_code", "raw_description", "uom", "quantity", "unit_price")
 
 
+def whole_run(spark: SparkSession, sf_dir: str) -> run.Run:
+    """A run over the materials as item lists, in order of place over as many files as they need; every fiftieth row is followed by an empty one."""
+    m = V.named(V.materials(spark, sf_dir))
+    d = SPARK
+    cells = documents.line([*(documents.text_cell(d, c) for c in ("cpse_id", "own_code", "raw_description", "uom")), *(documents.number_cell(d, c) for c in ("quantity", "unit_price"))])
+    told = f"SELECT ord, 2 * ord AS place, {cells} AS line FROM {m} UNION ALL SELECT ord, 2 * ord + 1, 'ONGC,E-' || ord || ',,EA,1,1' FROM {m} WHERE ord % 50 = 0"
+    rows = spark.sql(f"SELECT 'list-' || lpad(CAST(ord div {LIST_ROWS} AS STRING), 9, '0') || '.csv' AS document, '{STYLES[0]}' AS header, place, line FROM ({told}) t")
+    path = scratch_path(spark, "run")
+    documents.write_documents(rows, f"{path}/lists")
+    return run.run(spark, f"{path}/lists", f"{path}/home", at="2024-01-01T00:00:00.000Z")
+
+
+def run_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = V.named(whole_run(spark, sf_dir).mapping)
+    return spark.sql(f"SELECT x.own_code, x.nmc_code, y.own_code AS matched_own_code, x.verdict, round(x.confidence, 6) AS confidence, x.stage, x.safety_risk, x.status, x.reason FROM {done} x LEFT JOIN {done} y ON x.matched_ord = y.ord")
+
+
+def run_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = whole_run(spark, sf_dir).figures
+    names = ("materials", "skipped", "uncategorised", "reclassified", "comparisons", "rule_decisions", "lexical_decisions", "embedding_decisions", "audit_entries")
+    return spark.createDataFrame([(*(f[n] for n in names), f["embedder_status"])], ", ".join(f"{n} long" for n in names) + ", embedder_status string")
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's entries in order, with what they name."""
+    entries = whole_run(spark, sf_dir).log.entries()
+    return entries.selectExpr("seq", "action", "get_json_object(details, '$.ownCode') AS own_code", "get_json_object(details, '$.nmcCode') AS nmc_code")
+
+
 ITEM_FILES_SQL = V.with_clause([("materials", V.MATERIALS.format(part="part"))]) + "SELECT cpse_id, own_code, trim(raw_description) AS raw_description, uom, quantity, unit_price FROM materials"
 
 #: What a pair's row says of it, some of it unusable.
@@ -140,9 +170,20 @@ def _publish_lookup_sql() -> str:
     return V.with_clause(V.duck_coded()) + ", " + pub + " SELECT x.nmc_code, x.cpse_id, " + DUCK.collect("y.cpse_id") + " AS others FROM pub x LEFT JOIN pub y ON x.nmc_code = y.nmc_code AND x.cpse_id <> y.cpse_id GROUP BY x.nmc_code, x.cpse_id"
 
 
+def _run_sql() -> dict[str, str]:
+    """The run's results from the oracles' mapping: lists change neither rows nor their order."""
+    rest = oracles.oracle("run_stats")
+    relations = oracles.oracle("mapping").rsplit("SELECT * FROM (", 1)[0]
+    return {
+        "run_mapping": relations + "SELECT x.own_code, x.nmc_code, y.own_code AS matched_own_code, x.verdict, round(x.confidence, 6) AS confidence, x.stage, x.safety_risk, x.status, x.reason FROM mapping x LEFT JOIN mapping y ON x.matched_ord = y.ord",
+        "run_figures": f"SELECT materials, (SELECT count(*) FROM part WHERE p_partkey % 50 = 0) AS skipped, uncategorised, CAST(0 AS BIGINT) AS reclassified, comparisons, rule_decisions, lexical_decisions, CAST(0 AS BIGINT) AS embedding_decisions, materials AS audit_entries, 'not-needed' AS embedder_status FROM ({rest}) f",
+        "run_log": relations + "SELECT row_number() OVER (ORDER BY b.first, p.ord) - 1 AS seq, 'code_issued_' || verdict AS action, p.own_code, p.nmc_code FROM mapping p JOIN seats s ON p.ord = s.ord JOIN (SELECT block, min(ord) AS first FROM seats GROUP BY block) b ON s.block = b.block",
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (item_files, labelled_pairs, audit_append, audit_anchors, audit_verify, publish_lookup, zero_shot_reclassify)}
+    return {q.__name__: q for q in (item_files, labelled_pairs, audit_append, audit_anchors, audit_verify, publish_lookup, zero_shot_reclassify, run_mapping, run_figures, run_log)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"item_files": ITEM_FILES_SQL, "labelled_pairs": LABELLED_PAIRS_SQL, "audit_append": AUDIT_APPEND_SQL, "audit_anchors": AUDIT_ANCHORS_SQL, "audit_verify": AUDIT_VERIFY_SQL, "publish_lookup": _publish_lookup_sql()}
+    return {"item_files": ITEM_FILES_SQL, "labelled_pairs": LABELLED_PAIRS_SQL, "audit_append": AUDIT_APPEND_SQL, "audit_anchors": AUDIT_ANCHORS_SQL, "audit_verify": AUDIT_VERIFY_SQL, "publish_lookup": _publish_lookup_sql()} | _run_sql()
