@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once per text. The ledger keeps the measurements and one failure bit per
-rule; versioned policies are masks over those bits, so changing a policy or asking what
-a rule costs never reads a text again.
+Every rule is evaluated once per text. The ledger is a written table that keeps the measurements and one failure bit per
+rule, and names the rules it was made by; versioned policies are masks over those bits, so changing a policy, asking what
+a rule costs or filtering by another policy never measures a text again.
 """
 
 from __future__ import annotations
@@ -13,17 +13,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matforge.llm.selection import staying
 from matforge.llm.words import chunks, utf8
+from matforge.runtime import materialise, scratch_path
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 #: Rule names; a rule's place is its bit.
 RULES = ("too_short", "repeated_windows", "symbol_heavy", "duplicate_lines", "word_length", "shouting", "one_word_dominates", "few_letters", "stutter")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_letter_bytes", "top_word", "n_stutter")
-LEDGER_SCHEMA = ", ".join(["doc_id long", *[f"{m} long" for m in MEASURES], "failed long"])
+LEDGER_SCHEMA = ", ".join(["doc_id long", "text_hash long", *[f"{m} long" for m in MEASURES], "failed long"])
+#: Version of the rules and their thresholds; a ledger of another version is not read.
+RULES_VERSION = "rules-1"
 
 
 @dataclass(frozen=True)
@@ -119,7 +123,7 @@ def failures(m: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: its id, the measurements and the failure bits.
+    """One row per text: its id, a hash of the text, the measurements and the failure bits.
 
     Works row by row on whole texts, without a shuffle. Null texts measure as empty and fail
     ``too_short``; null ids stay null; repeated rows are measured alike; an empty table gives no
@@ -129,9 +133,30 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             m = measure(utf8(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *[pa.array(m[k]) for k in MEASURES], pa.array(failures(m))], ["doc_id", *MEASURES, "failed"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text_hash"), *[pa.array(m[k]) for k in MEASURES], pa.array(failures(m))], ["doc_id", "text_hash", *MEASURES, "failed"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(evaluate, LEDGER_SCHEMA)
+    text = F.col(text_col)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text")).mapInArrow(evaluate, LEDGER_SCHEMA)
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def write_ledger(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Measure the texts, write the ledger with the version of its rules, and read it back."""
+    ledger(df, id_col, text_col).withColumn("rules", F.lit(RULES_VERSION)).write.parquet(path)
+    return read_ledger(df.sparkSession, path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A written ledger; ``ValueError`` if it was made by other rules."""
+    book = spark.read.schema(f"{LEDGER_SCHEMA}, rules string").parquet(path)
+    other = book.filter(F.col("rules") != RULES_VERSION).first()
+    if other:
+        raise ValueError(f"{path}: made by {other['rules']}, not {RULES_VERSION}")
+    return book.drop("rules")
 
 
 def rejects(policy: Policy, failed: str = "failed") -> Column:
@@ -156,15 +181,14 @@ def ablation(book: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     )
 
 
-def keep_passing(df: DataFrame, policy: Policy = PRODUCTION, text_col: str = "text") -> DataFrame:
-    """The rows whose text the policy accepts, with their own columns. No shuffle, no added column.
+def keep_passing(df: DataFrame, policy: Policy = PRODUCTION, id_col: str = "doc_id", text_col: str = "text", book: DataFrame | None = None) -> DataFrame:
+    """The rows whose text the policy accepts, with their own columns, by a stored ledger of them.
 
-    Null texts measure as empty, so a policy with ``too_short`` drops them; ids do not matter; repeated rows are kept
-    or dropped alike; an empty table gives no rows.
+    ``book`` is the ledger of these rows if there is one; else it is written to the shared folder first. Rows go by id; only where rows of one
+    id, or without one, fare differently are they told apart by their texts. Null texts measure as empty, so a policy with ``too_short`` drops
+    them; repeated rows are kept or dropped alike; an empty table gives no rows.
     """
-
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, text_col):
-            yield part.filter(pa.array(failures(measure(utf8(part.column(text_col)))) & policy.mask == 0))
-
-    return df.mapInArrow(select, df.schema)
+    if book is None:
+        book = write_ledger(df, scratch_path(df.sparkSession, "ledger"), id_col, text_col)
+    marks = book.groupBy("doc_id", F.col("text_hash").alias("key")).agg(F.bool_and(~rejects(policy)).alias("stays"), F.count(F.lit(1)).alias("n"))
+    return staying(df, materialise(marks, "marks"), id_col, text_hash(F.col(text_col)), once=False)

@@ -21,14 +21,18 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.read_training_order(spark, layout).withColumnRenamed("closed", "n_closed")
 
 
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.write_ledger(table(spark, sf_dir, "documents"), scratch_path(spark, "ledger"))
+
+
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger.ledger(table(spark, sf_dir, "documents"))
+    book = stored_ledger(spark, sf_dir)
     base, verdict = ledger.rejects(ledger.BASE), ledger.rejects(ledger.PRODUCTION)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~verdict).alias("kept"), F.col("failed").alias("failure_bits"))
 
 
 def op2_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.ablation(ledger.ledger(table(spark, sf_dir, "documents")))
+    return ledger.ablation(stored_ledger(spark, sf_dir))
 
 
 def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
