@@ -29,6 +29,8 @@ BATCH = """SELECT row_number() OVER (ORDER BY k, block, old_code, new_code) AS p
   UNION ALL SELECT block, k * 5 % 11, nmc_code, coalesce(lag(nmc_code, 2) OVER w, lead(nmc_code, 3) OVER w, '') FROM {coded_places} WINDOW w AS (PARTITION BY block ORDER BY nmc_code)) b"""
 #: Materials as pointers: chains of eight, every other one of which turns back into a circle.
 CIRCLES = "SELECT ord AS node, CASE WHEN ord % 8 <> 7 THEN ord + 1 WHEN ord % 16 = 15 THEN ord - ord % 5 - 1 END AS up FROM {m}"
+#: Parts as materials that are described by their names, types and brands.
+FREE_TEXTS = "SELECT p_partkey AS ord, 'ONGC' AS cpse_id, 'P-' || CAST(p_partkey AS VARCHAR(20)) AS own_code, 'EA' AS uom, CAST(p_size AS DOUBLE) AS quantity, p_retailprice AS unit_price, upper(p_name) || ' ' || p_type || ' ' || p_brand AS raw_description FROM {part}"
 #: Review decisions on some materials, pending or not; a few lack a reviewer, or a second one where that is needed, and some
 #: materials are decided a second time, the other way round.
 DECISIONS = """SELECT ord, CASE WHEN (ord + again) % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS outcome, CASE WHEN ord % 11 = 0 AND again = 0 THEN ' ' ELSE 'REV-' || CAST(ord % 4 AS VARCHAR(9)) END AS reviewer,
@@ -71,6 +73,11 @@ class Relations:
     def vector_mapping(self) -> DataFrame:
         return match.map_materials(self.spark.table(self.view("m")), vectors=self.spark.table(self.view("vectors")))
 
+    def free_mapping(self) -> DataFrame:
+        """The mapping of the parts under their own names: incomplete texts of few words, nearly all different."""
+        rows = V.code_materials(self.spark.sql(FREE_TEXTS.format(part=V.named(self.spark.read.parquet(f"{self.sf_dir}/part.parquet")))))
+        return match.map_materials(materialise(rows, "coded"))
+
     def chain(self) -> DataFrame:
         return materialise(self.sql(CHAIN), "chain")
 
@@ -281,6 +288,7 @@ FROM (SELECT block, nmc_code, row_number() OVER (PARTITION BY block ORDER BY nmc
 BODIES: dict[str, str] = {
     "mapping": f"SELECT ord, cpse_id, own_code, nmc_code, own_nmc, matched_ord, matched_nmc, verdict, {_r('confidence')} AS confidence, stage, safety_risk, needs_review, status, reason FROM {{mapping}}",
     "mapping_by_vectors": f"SELECT ord, nmc_code, matched_ord, verdict, {_r('confidence')} AS confidence, stage, safety_risk, status FROM {{vector_mapping}}",
+    "mapping_free_texts": f"SELECT ord, nmc_code, matched_ord, verdict, {_r('confidence')} AS confidence, status, reason FROM {{free_mapping}}",
     "planned_texts": "SELECT text, size(vector) AS width FROM {vectors}",
     "nmc_records": "SELECT g.nmc_code, f.canonical, f.category, f.subtype, f.complete, n_materials, c.new_code AS superseded_by FROM (SELECT nmc_code, min_by(struct(canonical, category, subtype, complete), ord) AS f, count(*) AS n_materials FROM {mapping} GROUP BY nmc_code) g LEFT JOIN {chain} c ON g.nmc_code = c.old_code",
     "stage_status_counts": "SELECT stage, verdict, status, count(*) AS n, count(DISTINCT nmc_code) AS codes FROM {mapping} GROUP BY stage, verdict, status",

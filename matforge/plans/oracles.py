@@ -264,6 +264,7 @@ BODIES: dict[str, str] = {
     "visible_search": f"SELECT id, type, label, title FROM nodes WHERE (label ILIKE '%hex%' OR title ILIKE '%hex%') AND id IN (SELECT unnest([src, dst]) FROM ({_ORGANISATION}) o)",
     "graph_reach": _REACH,
     "mapping_by_vectors": "SELECT ord, nmc_code, matched_ord, verdict, round(confidence, 6) AS confidence, stage, safety_risk, status FROM vector_mapping",
+    "mapping_free_texts": "SELECT ord, nmc_code, matched_ord, verdict, round(confidence, 6) AS confidence, status, reason FROM mapping",
     "planned_texts": "SELECT raw_description AS text, len(vec) AS width FROM vectored",
     "mapping": "SELECT ord, cpse_id, own_code, nmc_code, own_nmc, matched_ord, matched_nmc, verdict, round(confidence, 6) AS confidence, stage, safety_risk, needs_review, status, reason FROM mapping",
     "nmc_records": "SELECT p.nmc_code, canonical, category, subtype, complete, n AS n_materials, c.new_code AS superseded_by FROM (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY nmc_code) AS n FROM mapping WINDOW w AS (PARTITION BY nmc_code ORDER BY ord)) p LEFT JOIN chain c ON p.nmc_code = c.old_code WHERE k = 1",
@@ -313,7 +314,8 @@ BODIES: dict[str, str] = {
 
 def oracle(name: str) -> str:
     # relations that several others read are kept; a recursion is none of them
-    ctes = ",\n".join(f"{n if n != 'references' else chr(34) + n + chr(34)} AS {'' if '(' in n else 'MATERIALIZED '}({q})" for n, q in CTES)
+    base = {"materials": derived.FREE_TEXTS.format(part="part")} if name == "mapping_free_texts" else {}
+    ctes = ",\n".join(f"{n if n != 'references' else chr(34) + n + chr(34)} AS {'' if '(' in n else 'MATERIALIZED '}({base.get(n, q)})" for n, q in CTES)
     return f"WITH RECURSIVE {ctes}\nSELECT * FROM ({BODIES[name]}) answer"
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matforge.sources.formats import BUILT_IN, formatted
+
 MAX_BYTES = 25 * 1024 * 1024
 ENDINGS = r"(?i)[.](csv|tsv|txt|xlsx)$"
 DELIMITERS = ",\t|;"
@@ -53,11 +55,32 @@ def _text(element: ElementTree.Element) -> str:
     return "".join(t.text or "" for t in element.iter() if _local(t) == "t")
 
 
+def _styles(book: zipfile.ZipFile) -> list[str]:
+    """The format code of each cell style."""
+    if "xl/styles.xml" not in book.namelist():
+        return []
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(e.attrib["numFmtId"]): e.attrib["formatCode"] for e in root.iter() if _local(e) == "numFmt"}
+    cells = next((e for e in root if _local(e) == "cellXfs"), [])
+    return [(own | {k: v for k, v in BUILT_IN.items() if k not in own}).get(int(e.attrib.get("numFmtId", 0)), "General") for e in cells]
+
+
+def _shown(value: str, style: str, from_1904: bool) -> str:
+    """A stored number as its cell shows it."""
+    try:
+        return formatted(float(value), style, from_1904)
+    except (ValueError, OverflowError):
+        return value
+
+
 def workbook_rows(content: bytes) -> Iterator[list[str]]:
-    """Rows of the first sheet; cells that a row leaves out are empty."""
+    """Rows of the first sheet as its cells show them; cells that a row leaves out are empty."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
-        sheet = next(e for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _local(e) == "sheet")
+        parts = list(ElementTree.fromstring(book.read("xl/workbook.xml")).iter())
+        sheet = next(e for e in parts if _local(e) == "sheet")
+        from_1904 = any(_local(e) == "workbookPr" and e.attrib.get("date1904") in ("1", "true") for e in parts)
+        styles = _styles(book)
         key = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
         target = next(e.attrib["Target"] for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")) if e.attrib["Id"] == key)
         shared = [_text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
@@ -73,7 +96,16 @@ def workbook_rows(content: bytes) -> Iterator[list[str]]:
                     cells += [""] * (column - 1 - len(cells))
                     value = next((e.text or "" for e in c if _local(e) == "v"), "")
                     kind = c.attrib.get("t")
-                    cells.append(shared[int(value)] if kind == "s" and value else _text(c) if kind == "inlineStr" else value)
+                    if kind == "s" and value:
+                        value = shared[int(value)]
+                    elif kind == "inlineStr":
+                        value = _text(c)
+                    elif kind == "b":
+                        value = "TRUE" if value == "1" else "FALSE"
+                    elif kind in (None, "n") and value:
+                        place = int(c.attrib.get("s", 0))
+                        value = _shown(value, styles[place] if place < len(styles) else "General", from_1904)
+                    cells.append(value)
                 row.clear()
                 if any(cells):
                     yield cells
