@@ -289,7 +289,7 @@ BODIES: dict[str, str] = {
     "mapping": f"SELECT ord, cpse_id, own_code, nmc_code, own_nmc, matched_ord, matched_nmc, verdict, {_r('confidence')} AS confidence, stage, safety_risk, needs_review, status, reason FROM {{mapping}}",
     "mapping_by_vectors": f"SELECT ord, nmc_code, matched_ord, verdict, {_r('confidence')} AS confidence, stage, safety_risk, status FROM {{vector_mapping}}",
     "mapping_free_texts": f"SELECT ord, nmc_code, matched_ord, verdict, {_r('confidence')} AS confidence, status, reason FROM {{free_mapping}}",
-    "planned_texts": "SELECT text, size(vector) AS width FROM {vectors}",
+    "planned_texts": "SELECT text, CAST(size(vector) AS BIGINT) AS width FROM {vectors}",
     "nmc_records": "SELECT g.nmc_code, f.canonical, f.category, f.subtype, f.complete, n_materials, c.new_code AS superseded_by FROM (SELECT nmc_code, min_by(struct(canonical, category, subtype, complete), ord) AS f, count(*) AS n_materials FROM {mapping} GROUP BY nmc_code) g LEFT JOIN {chain} c ON g.nmc_code = c.old_code",
     "stage_status_counts": "SELECT stage, verdict, status, count(*) AS n, count(DISTINCT nmc_code) AS codes FROM {mapping} GROUP BY stage, verdict, status",
     "verdict_summary": "SELECT count(*) AS materials, count_if(verdict = 'duplicate') AS duplicates, count_if(verdict = 'functionally_equivalent') AS equivalents, count_if(verdict = 'similar') AS similars, count_if(verdict = 'distinct') AS uniques, CAST(floor(CAST(count_if(NOT needs_review) AS DOUBLE) * 1000 / count(*) + 0.5) AS DOUBLE) / 10 AS auto_resolved_pct FROM {mapping}",
