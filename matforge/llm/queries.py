@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matforge.llm import chat_tree, exact_dedup, feistel, langid, ledger, main_text, near_dup, packing, ppm, ranked_search, sentencepiece_viterbi, sharding, training_order, vector_codes
+from matforge.llm import byte_ppm, chat_tree, exact_dedup, feistel, langid, ledger, main_text, near_dup, packing, ranked_search, sentencepiece_viterbi, sharding, training_order, vector_codes
 from matforge.runtime import scratch_path
 
 
@@ -54,7 +54,7 @@ def op6_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score_documents(table(spark, sf_dir, "documents"))
+    return byte_ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
