@@ -304,3 +304,23 @@ def test_large_numbers_are_written_out_and_read_back(spark, tmp_path):
     documents.write_documents(rows.selectExpr("'ONGC.csv' AS document", "'CPSE,MATNR,MAKTX,MEINS,Stock Qty,Rate' AS header", "place", f"{cells} AS line"), str(tmp_path))
     read = {r["own_code"]: r["quantity"] for r in items.items(grids.read_grids(spark, str(tmp_path))).collect()}
     assert read == {f"C-{k}": x for k, x in enumerate(NUMBERS)}
+
+
+def test_a_long_document_is_sorted_by_many_tasks(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 10 = 0 THEN 'b.csv' ELSE 'a.csv' END AS document", "'N' AS header", "(id * 7919) % 20000 AS place", "CAST((id * 7919) % 20000 AS STRING) AS line")
+    made = {r["document"]: r for r in documents.write_documents(rows, str(tmp_path / "out")).collect()}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.csv", "b.csv"]
+    want = {name: [n for n in range(20_000) if (n % 10 == 0) == (name == "b.csv")] for name in ("a.csv", "b.csv")}
+    for name, numbers in want.items():
+        raw = (tmp_path / "out" / name).read_bytes()
+        assert raw.decode() == "\ufeffN\r\n" + "".join(f"{n}\r\n" for n in numbers)
+        assert (made[name]["lines"], made[name]["bytes"]) == (len(numbers), len(raw))
+    assert documents.write_documents(rows.limit(0), str(tmp_path / "none")).count() == 0 and not any((tmp_path / "none").iterdir())
+    tasks = []
+    monitor = documents.materialise
+    documents.materialise = lambda df, name: tasks.append((name, df.rdd.getNumPartitions())) or monitor(df, name)
+    try:
+        documents.write_documents(rows, str(tmp_path / "again"))
+    finally:
+        documents.materialise = monitor
+    assert max(n for name, n in tasks) == 4
