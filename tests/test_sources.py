@@ -139,6 +139,15 @@ def _signed(text, key):
     return hmac.new(key.encode(), text.encode(), "sha256").hexdigest()
 
 
+def test_only_codes_are_compared_by_entry(spark):
+    log = spark.createDataFrame([(1, '{"nmcCode": "A-1", "verdict": "similar", "reasons": ["A-1", "B-2", "B-2"]}'), (1, '{"nmcCode": "B-2"}'), (2, '{"nmcCode": "B-2", "linkedNmcCode": null}'), (3, '{"ownCode": "C-9"}')], "entry long, details string")
+    codes = spark.createDataFrame([("A-1",), ("B-2",), ("D-4",)], "nmc_code string")
+    found = spark.sql(audit.references(V.named(log), V.named(codes)))
+    assert sorted(map(tuple, found.collect())) == [("A-1", 1), ("B-2", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[plan.index("Join ") : plan.index("Generate ")]
+
+
 def test_forged_signatures_are_found(spark):
     """A stand-in scheme, in which the public key is the secret, for the pluggable verifier."""
     log = audit.append(spark.createDataFrame([(k, "t", "review", '{"n":1}') for k in range(6)], "seq long, timestamp string, action string, details string"))
