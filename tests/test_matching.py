@@ -5,7 +5,7 @@ import random
 import pytest
 
 from matforge.functions.dialect import SPARK
-from matforge.operators import match
+from matforge.operators import match, pointers
 from matforge.operators.decide import decisions
 from matforge.plans import derived
 from matforge.plans import views as V
@@ -140,3 +140,20 @@ def test_texts_are_compared_without_grouping_or_sorting_their_words(spark):
     assert "SortAggregate" not in plan and "any_value" not in plan
     related = derived.Relations(spark, "/root/testdata/sf0.001")
     assert related.spark.table(related.view("judged")).count() and not {"gram_set", "ctoks", "toks"} & set(spark.table(related.view("m")).columns)
+
+
+def test_no_table_of_rows_is_broadcast(spark, tiny, monkeypatch):
+    plans = {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, name, *more, kept=match.materialise):
+        plans.setdefault(name, plan(df))
+        return kept(df, name, *more)
+
+    monkeypatch.setattr(match, "materialise", noted)
+    monkeypatch.setattr(pointers, "materialise", noted)
+    relations = derived.Relations(spark, tiny)
+    relations.view("mapping")
+    assert "BroadcastHashJoin [ord" not in plans["linked"] and "ShuffledHashJoin [raw_description" in plans["linked"]
+    assert all("Broadcast" not in plans[name] for name in ("mapping", "pointers"))
+    assert "Broadcast" not in plan(relations.labelled())
