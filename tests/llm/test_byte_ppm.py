@@ -1,8 +1,11 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from matforge.llm import byte_ppm, ppm
@@ -99,3 +102,21 @@ def test_odd_rows_and_orders(spark):
     assert len({r["score"] for r in got if r["doc_id"] in (0, 1, 2)}) == 1 and byte_ppm.score_documents(odd.limit(0)).count() == 0
     with pytest.raises(ValueError, match="order"):
         byte_ppm.score_documents(odd, order=7)
+
+
+def test_counting_takes_little_memory_whatever_is_counted():
+    """Of many distinct words and runs a task holds some tens of megabytes, and adds up the same counts."""
+    rng = np.random.default_rng(7)
+    texts = [b" ".join(w.tobytes() for w in rng.integers(97, 123, (20_000, 8), dtype=np.uint8)).decode() for _ in range(26)]
+    batches = pa.Table.from_pydict({"doc_id": list(range(26)), "text": texts}, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())])).to_batches(max_chunksize=8)
+    for summed, column, least, most in ((ppm.summed_tokens, "token", 0.5e6, 90e6), (lambda b: byte_ppm.summed_runs(b, 5), "code", 4e6, 90e6)):
+        tracemalloc.start()
+        before, rows, everywhere = tracemalloc.get_traced_memory()[0], 0, 0
+        tracemalloc.reset_peak()
+        for out in summed(iter(batches)):
+            rows, everywhere = rows + out.num_rows, everywhere + pc.sum(out.column("everywhere")).as_py()
+            assert pc.all(pc.less_equal(out.column("trained"), out.column("everywhere"))).as_py()
+        peak = tracemalloc.get_traced_memory()[1] - before
+        tracemalloc.stop()
+        print(f"{column}: {rows} rows, {peak / 1e6:.0f} MB")
+        assert rows > least and everywhere == sum(len(t) + 2 if column == "code" else t.count(" ") + 2 for t in texts) and peak < most
